@@ -17,8 +17,8 @@ def generate_unified_artist_mappings(
     lastfm_artist_name_col: str = "name",
     lastfm_artist_id_col: str = "artistID",
     spotify_artist_name_col: str = "artist_name",
-    output_lastfm_path: str | None = "lastfm_unified_artists.parquet",
-    output_spotify_path: str | None = "spotify_unified_tracks.parquet",
+    output_lastfm_path: str | None = "../data/lastfm_unified_artists.parquet",
+    output_spotify_path: str | None = "../data/spotify_unified_artists.parquet",
     score_cutoff: float = 85,
     scorer: str = "ratio",
 ) -> tuple[DataFrame, DataFrame]:
