@@ -43,7 +43,8 @@ def most_popular_track(df: DataFrame, artist_col: str = "artistID", popularity_c
     """The most popular row of each artist; all rows of artists without any popularity."""
     ties = tie_cols
     if ties is None:
-        ties = ["track_id"] if "track_id" in df.columns else [c for c in df.columns if c not in (artist_col, popularity_col)]
+        rest = [c for c in df.columns if c not in (artist_col, popularity_col)]
+        ties = sorted(rest, key=lambda c: c != "track_id")  # the track id first, where there is one
     known = df.filter(F.col(artist_col).isNotNull())
     rated = known.filter(F.col(popularity_col).isNotNull())
     best = first_rows(rated, [artist_col], [F.desc(popularity_col), *[F.asc_nulls_last(c) for c in ties]])
@@ -125,7 +126,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 def dense_index(df: DataFrame, id_col: str, index_col: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(id, index): distinct ids numbered 0..n-1 in digest order, without one global sort."""
     ids = df.select(id_col).filter(F.col(id_col).isNotNull()).distinct().withColumn("__digest", digest(id_col))
-    numbered = positions(ids, [], "__digest", [id_col], start_col=index_col, total_col="__n", slice_rows=slice_rows)
+    numbered = positions(ids, [], "__digest", [id_col], start_col=index_col, total_col="__total", slice_rows=slice_rows)
     return numbered.select(id_col, index_col)
 
 

@@ -82,7 +82,8 @@ def top_items(users: DataFrame, items: DataFrame, k: int = 10, exclude: DataFram
     """
     pairs = _block_pairs(users, items, user_col, item_col)
     user_type, item_type = users.schema[user_col].dataType, items.schema[item_col].dataType
-    if exclude is not None:
+    barring = exclude is not None
+    if barring:
         n_u, n_i = users.count(), items.count()
         ublock = F.pmod(F.xxhash64(user_col), F.lit(max(1, -(-n_u // USER_BLOCK)))).cast("int")
         iblock = F.pmod(F.xxhash64(item_col), F.lit(max(1, -(-n_i // ITEM_BLOCK)))).cast("int")
@@ -104,7 +105,7 @@ def top_items(users: DataFrame, items: DataFrame, k: int = 10, exclude: DataFram
                 u, u_bias, u_ids = _matrix(batch, i, "u")
                 v, v_bias, v_ids = _matrix(batch, i, "i")
                 scores = u @ v.T + v_bias + u_bias[:, None]
-                if exclude is not None and batch.column("xu")[i].is_valid:
+                if barring and batch.column("xu")[i].is_valid:
                     rows = _positions(u_ids, batch.column("xu")[i].values)
                     cols = _positions(v_ids, batch.column("xi")[i].values)
                     known = (rows >= 0) & (cols >= 0)

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from harmonium.functions import text
 from harmonium.operators import matching
 from harmonium.operators.idmap import ArtistIDMapper
-from harmonium.plans.registry import query, r, with_views
+from harmonium.plans.registry import known_id, query, r, with_views
 from harmonium.plans.unified_mapping import generate_unified_artist_mappings
 from harmonium.sources import views
 from harmonium.sources.views import V_NAMES_LEFT, V_NAMES_RIGHT
 
 _SIMPLE = "TRIM(REGEXP_REPLACE(LOWER({c}), '\\s+', ' ', 'g'))"
-_FULL = "TRIM(REGEXP_REPLACE(REGEXP_REPLACE(STRIP_ACCENTS(LOWER({c})), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_PLAIN = "REPLACE(REPLACE(REPLACE(STRIP_ACCENTS({c}), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')"
+_FULL = "TRIM(REGEXP_REPLACE(REGEXP_REPLACE(" + _PLAIN.format(c="LOWER({c})") + ", '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_CLEAN = "LOWER(" + _PLAIN.format(c="REGEXP_REPLACE(REGEXP_REPLACE(TRIM(LOWER({c})), '[()\\[\\]{{}}]+', '', 'g'), '\\s+', ' ', 'g')") + ")"
 
 
 def simple_sql(c: str) -> str:
@@ -73,7 +77,7 @@ def mat2(spark, folder):
     return views.table(spark, folder, "documents").select("doc_id", text.full_name("text").alias("norm"))
 
 
-@query("mat3_clean_names", """SELECT page_id, LOWER(STRIP_ACCENTS(REGEXP_REPLACE(REGEXP_REPLACE(TRIM(LOWER(html)), '[()\\[\\]{}]+', '', 'g'), '\\s+', ' ', 'g'))) AS cleaned FROM pages""")
+@query("mat3_clean_names", f"SELECT page_id, {_CLEAN.format(c='html')} AS cleaned FROM pages")
 def mat3(spark, folder):
     return views.table(spark, folder, "pages").select("page_id", text.clean_name("html").alias("cleaned"))
 
@@ -118,7 +122,6 @@ def mat8(spark, folder):
     return best.withColumn("similarity", r("similarity", 9))
 
 
-_CLEAN = "LOWER(STRIP_ACCENTS(REGEXP_REPLACE(REGEXP_REPLACE(TRIM(LOWER({c})), '[()\\[\\]{{}}]+', '', 'g'), '\\s+', ' ', 'g')))"
 V_NEAREST = with_views(V_NAMES_RIGHT, V_NAMES_LEFT, f"lc AS (SELECT artist_name, {_CLEAN.format(c='artist_name')} AS q FROM v_names_left)",
     f"rc AS (SELECT DISTINCT {_CLEAN.format(c='name')} AS c FROM v_names_right)",
     f"sims AS (SELECT artist_name, c, 1.0::DOUBLE - (LENGTH(q) + LENGTH(c) - 2 * {lcs_sql('q', 'c')}) / (LENGTH(q) + LENGTH(c))::DOUBLE AS sim FROM lc, rc)",
@@ -132,12 +135,12 @@ def mat9(spark, folder):
     return nearest.withColumn("similarity", r("similarity"))
 
 
-@query("joi11_fuzzy_key_join", V_NEAREST + f"""SELECT n.artist_name, r."artistID" FROM nearest n
+@query("joi11_fuzzy_key_join", V_NEAREST + f"""SELECT n.artist_name, COALESCE(r."artistID", -1) AS "artistID" FROM nearest n
 LEFT JOIN v_names_right r ON n.spotify_match = {_CLEAN.format(c='r.name')}""")
 def joi11(spark, folder):
     right = views.names_right(spark, folder).withColumn("clean", text.clean_name("name"))
     nearest = matching.nearest_names(views.names_left(spark, folder), right, "artist_name", "name")
-    return nearest.join(right, nearest["spotify_match"] == right["clean"], "left").select("artist_name", "artistID")
+    return nearest.join(right, nearest["spotify_match"] == right["clean"], "left").select("artist_name", known_id("artistID"))
 
 
 @query("mat10_one_to_one", """SELECT p_name AS matched_name, score, phase, left_idx FROM (SELECT p_name, p_size AS score, p_partkey % 2 AS phase, p_partkey AS left_idx,
@@ -148,10 +151,10 @@ def mat10(spark, folder):
     return matching.one_to_one(given, "matched_name", "score", ["phase", "left_idx"])
 
 
-@query("mat11_matched_table", V_MATCH + "SELECT artist_name, right_name, right_id, right_matched_artist, right_match_score FROM matched")
+@query("mat11_matched_table", V_MATCH + "SELECT artist_name, right_name, COALESCE(right_id, -1) AS right_id, right_matched_artist, COALESCE(right_match_score, -1) AS right_match_score FROM matched")
 def mat11(spark, folder):
     rows = _matcher(spark, folder).match(views.names_left(spark, folder), "artist_name")
-    return rows.withColumnRenamed("right_artistID", "right_id")
+    return rows.select("artist_name", "right_name", known_id("right_artistID", "right_id"), "right_matched_artist", known_id("right_match_score"))
 
 
 @query("mat11_matched_only", V_MATCH + "SELECT artist_name, right_name, right_id, right_matched_artist, right_match_score FROM matched WHERE right_id IS NOT NULL")
@@ -187,13 +190,13 @@ def mat14(spark, folder):
     return _mapper(spark, folder).get_mapping_summary()
 
 
-@query("mat15_id_lookup", V_MATCH + """SELECT t.track_id, s.unified_artist_id, r."artistID" AS lastfm_id FROM v_named_tracks t LEFT JOIN smap s ON t.artist_name = s.artist_name
+@query("mat15_id_lookup", V_MATCH + """SELECT t.track_id, s.unified_artist_id, COALESCE(r."artistID", -1) AS lastfm_id FROM v_named_tracks t LEFT JOIN smap s ON t.artist_name = s.artist_name
 LEFT JOIN v_names_right r ON s.unified_artist_id = r."artistID" """)
 def mat15(spark, folder):
     mapper = _mapper(spark, folder)
     tracks = views.named_tracks(spark, folder).select("track_id", "artist_name")
     found = mapper.transform_dataframe(tracks, "artist_name", "auto")
-    return mapper.source_ids(found, "unified_artist_id", "lastfm", "lastfm_id").select("track_id", "unified_artist_id", "lastfm_id")
+    return mapper.source_ids(found, "unified_artist_id", "lastfm", "lastfm_id").select("track_id", "unified_artist_id", known_id("lastfm_id"))
 
 
 @query("mat16_unified_mapping", V_MATCH + """SELECT t.artist_name, t.track_id, t.price, s.unified_artist_id FROM v_named_tracks t LEFT JOIN smap s ON t.artist_name = s.artist_name""")

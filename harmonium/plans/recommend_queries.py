@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from harmonium.operators import factors, metrics, scoring, splits, tuning
 from harmonium.plans.feature_queries import artist_features
-from harmonium.plans.registry import query, r, with_views
+from harmonium.plans.registry import known_id, query, r, with_views
 from harmonium.session import materialise, shared_folder
 from harmonium.sources import views, writers
 from harmonium.sources.views import V_FACTORS, V_RATINGS
@@ -277,7 +277,7 @@ def str2_stream(spark, folder):
 @query("str3_recommendations", with_views(V_SUBMISSIONS, V_LATEST, V_FACTORS, V_NAMES, f"""rated AS (SELECT user_id, UNNEST(artists) AS artist_id, UNNEST(ranks) AS rank FROM v_latest)""",
        f"weights AS (SELECT user_id, artist_id, {_WEIGHT} AS weight FROM rated)", vectors_sql("weights"), top_sql(5, 'f."artistID" > 9')) +
        """SELECT q.user_id, CASE WHEN l.user_id IS NULL THEN 'No ratings found for user ' || q.user_id || '. Please submit ratings first.' ELSE 'ok' END AS status,
-r.rank, r."artistID", CASE WHEN r."artistID" IS NULL THEN NULL ELSE COALESCE(n.artist_name, 'Unknown Artist') END AS artist_name, ROUND(r.score, 6) AS score
+COALESCE(r.rank, -1) AS rank, COALESCE(r."artistID", -1) AS "artistID", CASE WHEN r."artistID" IS NULL THEN NULL ELSE COALESCE(n.artist_name, 'Unknown Artist') END AS artist_name, ROUND(r.score, 6) AS score
 FROM (SELECT 'u' || CAST(c_custkey AS VARCHAR) AS user_id FROM customer) q LEFT JOIN v_latest l ON q.user_id = l.user_id
 LEFT JOIN recs r ON q.user_id = r.user_id LEFT JOIN item_names n ON r."artistID" = n."artistID" """)
 def str3(spark, folder):
@@ -285,4 +285,4 @@ def str3(spark, folder):
     items = views.item_factors(spark, folder)
     survey = items.select(F.col("artistID").alias("artist_id")).filter(F.col("artist_id").isin(SURVEY))
     out = recommend.generate_recommendations(requests, _latest(spark, folder), _service(spark, folder, survey), 5)
-    return out.withColumn("score", r("score"))
+    return out.select("user_id", "status", known_id("rank"), known_id("artistID"), "artist_name", r("score").alias("score"))

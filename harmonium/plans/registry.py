@@ -38,3 +38,8 @@ def with_views(*views: str) -> str:
 def r(c: Column | str, digits: int = 6) -> Column:
     """A rounded double, for comparison across engines."""
     return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), digits)
+
+
+def known_id(c: str, name: str | None = None) -> Column:
+    """A whole number with -1 for missing, so that no engine turns the column into floats."""
+    return F.coalesce(F.col(c), F.lit(-1)).alias(name or c)

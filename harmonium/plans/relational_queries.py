@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from harmonium.functions import scalars, text
 from harmonium.operators import aggregates, cleaning, joins, ranking, splits
-from harmonium.plans.registry import query, r, with_views
+from harmonium.plans.registry import known_id, query, r, with_views
 from harmonium.session import shared_folder
 from harmonium.sources import readers, views, writers
 from harmonium.sources.views import V_INTERACTIONS, V_TAGS, V_TRACKS
@@ -244,12 +244,12 @@ def joi3_coverage(spark, folder):
     return joins.coverage(views.interactions(spark, folder), _known(spark, folder)).withColumn("ratio", r("ratio"))
 
 
-@query("joi4_unified_ids", """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, m.u AS unified_artist_id FROM lineitem l
+@query("joi4_unified_ids", """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, COALESCE(m.u, -1) AS unified_artist_id FROM lineitem l
 LEFT JOIN (SELECT p_partkey, p_partkey + 1000000 AS u FROM part WHERE p_size > 10) m ON l.l_partkey = m.p_partkey""")
 def joi4(spark, folder):
     mapping = views.table(spark, folder, "part").filter(F.col("p_size") > 10).select("p_partkey", (F.col("p_partkey") + 1000000).alias("unified_artist_id"))
     lines = views.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return joins.attach_unified_id(lines, mapping, "l_partkey", "p_partkey")
+    return joins.attach_unified_id(lines, mapping, "l_partkey", "p_partkey").select(*lines.columns, known_id("unified_artist_id"))
 
 
 @query("joi5_artists_tracks", """SELECT s.s_suppkey AS unified_artist_id, s.s_name, l.l_orderkey FROM supplier s
