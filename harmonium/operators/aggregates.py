@@ -91,7 +91,7 @@ def value_counts(df: DataFrame, column: str, dropna: bool = True) -> DataFrame:
 
 def count_of_counts(df: DataFrame, column: str) -> DataFrame:
     """(n, keys): how many keys occur n times."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__key")).agg(F.count("*").alias("n"))
     return counts.groupBy("n").agg(F.count("*").alias("keys"))
 
 
@@ -119,9 +119,9 @@ def quantile_report(df: DataFrame, column: str, probs: Sequence[float] = (0.25,
 def information_loss(df: DataFrame, matched: str, user_col: str = "userID") -> DataFrame:
     """(lost_fraction, users, share): how much of a user's rows fails ``matched``, over users with any match."""
     per_user = df.groupBy(user_col).agg(
-        F.count("*").alias("n"), F.count_if(F.coalesce(F.col(matched), F.lit(False))).alias("kept"))
-    survivors = per_user.filter(F.col("kept") > 0)
-    lost = (F.col("n") - F.col("kept")).cast("double") / F.col("n")
+        F.count("*").alias("__n"), F.count_if(F.coalesce(F.col(matched), F.lit(False))).alias("__kept"))
+    survivors = per_user.filter(F.col("__kept") > 0)
+    lost = (F.col("__n") - F.col("__kept")).cast("double") / F.col("__n")
     spread = survivors.groupBy(lost.alias("lost_fraction")).agg(F.count("*").alias("users"))
     total = spread.agg(F.sum("users").cast("double")).scalar()
     return spread.withColumn("share", F.try_divide(F.col("users").cast("double"), total))

@@ -115,5 +115,5 @@ def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: rows beyond the first of their kind; nulls are equal."""
-    counts = df.groupBy(*(columns or df.columns)).agg(F.count("*").alias("n"))
-    return counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    counts = df.groupBy(*(columns or df.columns)).agg(F.count("*").alias("__n"))
+    return counts.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))

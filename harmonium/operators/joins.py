@@ -41,11 +41,11 @@ def keep_known(interactions: DataFrame, known: DataFrame, key: str = "artistID")
 
 def coverage(interactions: DataFrame, known: DataFrame, key: str = "artistID") -> DataFrame:
     """One row: all rows, kept rows and their ratio, from per-key counts."""
-    counts = interactions.groupBy(key).agg(F.count("*").alias("n"))
-    flagged = counts.join(known.select(key).distinct().withColumn("known", F.lit(True)), key, "left")
+    counts = interactions.groupBy(key).agg(F.count("*").alias("__n"))
+    flagged = counts.join(known.select(key).distinct().withColumn("__known", F.lit(True)), key, "left")
     totals = flagged.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("all_rows"),
-        F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("kept_rows"),
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("all_rows"),
+        F.coalesce(F.sum(F.when(F.col("__known"), F.col("__n"))), F.lit(0)).alias("kept_rows"),
     )
     return totals.withColumn("ratio", F.try_divide(F.col("kept_rows").cast("double"), F.col("all_rows").cast("double")))
 

@@ -17,8 +17,14 @@ _PROFILE = "section STRING, column STRING, stat STRING, value DOUBLE, text STRIN
 
 
 def _corr(a: str, b: str) -> Column:
-    """Pearson correlation over rows where both are present; null where undefined."""
-    return F.nanvl(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(None).cast("double"))
+    """Pearson correlation over rows where both are present; null where undefined.
+
+    Made of covariance and deviations: the built-in ``corr`` divides by zero
+    for a constant column, which is an error in ANSI mode.
+    """
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 class EDA:
@@ -114,14 +120,18 @@ class EDA:
 
     @staticmethod
     def _bin(c: str, low: float, high: float, bins: int) -> Column:
-        place = F.floor((F.col(c).cast("double") - F.lit(low)) / F.lit(high - low) * F.lit(float(bins)))
-        return F.least(place, F.lit(bins - 1)).cast("int")
+        """Bin number; a value on an edge belongs to the upper bin, the maximum to the last one."""
+        x, step = F.col(c).cast("double"), F.lit((high - low) / bins)
+        place = F.least(F.floor((x - F.lit(low)) / F.lit(high - low) * F.lit(float(bins))), F.lit(bins - 1))
+        under = x < place * step + F.lit(low)
+        over = (place < bins - 1) & (x >= (place + 1) * step + F.lit(low))
+        return (place - F.when(under, 1).otherwise(0) + F.when(over, 1).otherwise(0)).cast("int")
 
     def distribution_analysis(self, bins: int = 30) -> DataFrame:
         """(column, bin, low, high, n): equal-width histograms of the numeric columns, empty bins included."""
         bounds = self._bounds()
         schema = "column STRING, bin INT, low DOUBLE, high DOUBLE"
-        edges = [(c, i, lo + (hi - lo) * i / bins, lo + (hi - lo) * (i + 1) / bins) for c, (lo, hi) in bounds.items() for i in range(bins)]
+        edges = [(c, i, i * ((hi - lo) / bins) + lo, (i + 1) * ((hi - lo) / bins) + lo) for c, (lo, hi) in bounds.items() for i in range(bins)]
         grid = self.spark.createDataFrame(edges, schema)
         if not bounds:
             return grid.withColumn("n", F.lit(0).cast("bigint"))

@@ -25,7 +25,7 @@ _GRID = 1000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return df.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
 
 
 def percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
@@ -50,27 +50,27 @@ def _built_in(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float]
 
 def _narrowed(values: DataFrame, keys: list[str], probs: Sequence[float], limit: int) -> DataFrame:
     sizes = materialise(
-        values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")),
+        values.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("value").alias("__lo"), F.max("value").alias("__hi")),
         "percentile-sizes",
     )
     grid = F.array(*[F.lit(float(p)) for p in probs])
-    small = _with_state(values, sizes.filter(F.col("n") <= limit).select(*keys), keys)
+    small = _with_state(values, sizes.filter(F.col("__n") <= limit).select(*keys), keys)
     quick = small.groupBy(*keys).agg(F.percentile("value", grid).alias("values"))
     quick = quick.select(*keys, F.inline(F.arrays_zip(grid.alias("prob"), F.col("values").alias("value")))).toDF(
         *keys, "prob", "value")
 
-    wanted = sizes.filter(F.col("n") > limit).withColumn("prob", F.explode(grid))
-    place = F.col("prob") * (F.col("n") - 1)
+    wanted = sizes.filter(F.col("__n") > limit).withColumn("prob", F.explode(grid))
+    place = F.col("prob") * (F.col("__n") - 1)
     wanted = wanted.withColumns({
-        "k0": F.floor(place).cast("bigint"), "k1": F.ceil(place).cast("bigint"), "part": place - F.floor(place),
+        "__k0": F.floor(place).cast("bigint"), "__k1": F.ceil(place).cast("bigint"), "__part": place - F.floor(place),
     })
-    ranks = wanted.select(*keys, "lo", "hi", F.explode(F.array("k0", "k1")).alias("k")).distinct()
+    ranks = wanted.select(*keys, "__lo", "__hi", F.explode(F.array("__k0", "__k1")).alias("__k")).distinct()
     chosen = _rank_values(values, ranks, keys, limit)
 
-    first = chosen.withColumnsRenamed({"k": "k0", "value": "v0"})
-    second = chosen.withColumnsRenamed({"k": "k1", "value": "v1"})
-    slow = wanted.join(first, [*keys, "k0"]).join(second, [*keys, "k1"]).select(
-        *keys, "prob", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")).alias("value")
+    first = chosen.withColumnsRenamed({"__k": "__k0", "value": "__v0"})
+    second = chosen.withColumnsRenamed({"__k": "__k1", "value": "__v1"})
+    slow = wanted.join(first, [*keys, "__k0"]).join(second, [*keys, "__k1"]).select(
+        *keys, "prob", (F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.col("__part")).alias("value")
     )
     return quick.unionByName(slow)
 
@@ -84,55 +84,55 @@ def _with_state(values: DataFrame, state: DataFrame, keys: list[str]) -> DataFra
 
 def _rank_values(values: DataFrame, ranks: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """(keys, k, value): the k-th smallest value (from 0) of each group."""
-    target = [*keys, "k"]
+    target = [*keys, "__k"]
     state = materialise(_counted(values, ranks, keys), "percentile-state")
     grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
     margin = 1
     while True:
-        unsettled = state.filter(_between_bounds() & (F.col("inside") > limit))
+        unsettled = state.filter(_between_bounds() & (F.col("__inside") > limit))
         if unsettled.isEmpty():
             break
-        inner = _with_state(values, unsettled, keys).filter((F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi")))
-        sketch = inner.groupBy(*target).agg(F.percentile_approx("value", grid, 10 * _GRID).alias("cuts"))
-        share = (F.col("k") - F.col("below") - F.col("at_lo")) / F.col("inside") * _GRID
+        inner = _with_state(values, unsettled, keys).filter((F.col("value") > F.col("__lo")) & (F.col("value") < F.col("__hi")))
+        sketch = inner.groupBy(*target).agg(F.percentile_approx("value", grid, 10 * _GRID).alias("__cuts"))
+        share = (F.col("__k") - F.col("__below") - F.col("__at_lo")) / F.col("__inside") * _GRID
         left = F.floor(share).cast("int") - margin
         right = F.ceil(share).cast("int") + margin
         proposal = unsettled.join(sketch, target).select(
             *target,
-            F.when(left <= 0, F.col("lo")).otherwise(F.get("cuts", left)).alias("lo"),
-            F.when(right >= _GRID, F.col("hi")).otherwise(F.get("cuts", right)).alias("hi"),
+            F.when(left <= 0, F.col("__lo")).otherwise(F.get("__cuts", left)).alias("__lo"),
+            F.when(right >= _GRID, F.col("__hi")).otherwise(F.get("__cuts", right)).alias("__hi"),
         )
         tried = materialise(_counted(values, proposal, keys), "percentile-try")
-        holds = (F.col("k") >= F.col("below")) & (F.col("k") < F.col("below") + F.col("at_lo") + F.col("inside") + F.col("at_hi"))
+        holds = (F.col("__k") >= F.col("__below")) & (F.col("__k") < F.col("__below") + F.col("__at_lo") + F.col("__inside") + F.col("__at_hi"))
         good = tried.filter(holds)
         if good.isEmpty():
             margin *= 2
             continue
         state = materialise(state.join(good.select(*target), target, "left_anti").unionByName(good), "percentile-state")
 
-    at_low = F.col("k") < F.col("below") + F.col("at_lo")
-    edge = state.filter(~_between_bounds()).select(*target, F.when(at_low, F.col("lo")).otherwise(F.col("hi")).alias("value"))
-    last = state.filter(_between_bounds()).withColumn("r", F.col("k") - F.col("below") - F.col("at_lo"))
-    inner = _with_state(values, last.select(*target, "r", "lo", "hi"), keys)
-    inner = inner.filter((F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi")))
-    counts = inner.groupBy(*target, "r", "value").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*target).orderBy("value"))
-    inside = counts.withColumn("upto", upto).filter((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("n")))
+    at_low = F.col("__k") < F.col("__below") + F.col("__at_lo")
+    edge = state.filter(~_between_bounds()).select(*target, F.when(at_low, F.col("__lo")).otherwise(F.col("__hi")).alias("value"))
+    last = state.filter(_between_bounds()).withColumn("__r", F.col("__k") - F.col("__below") - F.col("__at_lo"))
+    inner = _with_state(values, last.select(*target, "__r", "__lo", "__hi"), keys)
+    inner = inner.filter((F.col("value") > F.col("__lo")) & (F.col("value") < F.col("__hi")))
+    counts = inner.groupBy(*target, "__r", "value").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*target).orderBy("value"))
+    inside = counts.withColumn("__upto", upto).filter((F.col("__r") < F.col("__upto")) & (F.col("__r") >= F.col("__upto") - F.col("__n")))
     return edge.unionByName(inside.select(*target, "value"))
 
 
 def _between_bounds():
     """The wanted rank lies strictly between the bounds, not at one of them."""
-    start = F.col("below") + F.col("at_lo")
-    return (F.col("k") >= start) & (F.col("k") < start + F.col("inside"))
+    start = F.col("__below") + F.col("__at_lo")
+    return (F.col("__k") >= start) & (F.col("__k") < start + F.col("__inside"))
 
 
 def _counted(values: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
     """Bounds with the number of values below, at, inside and at the upper bound."""
-    v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    return _with_state(values, bounds, keys).groupBy(*keys, "k", "lo", "hi").agg(
-        F.count_if(v < lo).alias("below"),
-        F.count_if(v == lo).alias("at_lo"),
-        F.count_if((v > lo) & (v < hi)).alias("inside"),
-        F.count_if((v == hi) & (hi > lo)).alias("at_hi"),
+    v, lo, hi = F.col("value"), F.col("__lo"), F.col("__hi")
+    return _with_state(values, bounds, keys).groupBy(*keys, "__k", "__lo", "__hi").agg(
+        F.count_if(v < lo).alias("__below"),
+        F.count_if(v == lo).alias("__at_lo"),
+        F.count_if((v > lo) & (v < hi)).alias("__inside"),
+        F.count_if((v == hi) & (hi > lo)).alias("__at_hi"),
     )

@@ -84,12 +84,12 @@ def assign_split(df: DataFrame, strategy: str = "random", test_size: float = 0.2
 
     first, second = F.col("__test"), F.col("__test") + F.col("__val")
     parts = F.array(
-        F.struct(F.lit("test").alias(PART), inside(F.lit(0), first).alias("n")),
-        F.struct(F.lit("val").alias(PART), inside(first, second).alias("n")),
-        F.struct(F.lit("train").alias(PART), inside(second, F.col("__total")).alias("n")),
+        F.struct(F.lit("test").alias(PART), inside(F.lit(0), first).alias("__n")),
+        F.struct(F.lit("val").alias(PART), inside(first, second).alias("__n")),
+        F.struct(F.lit("train").alias(PART), inside(second, F.col("__total")).alias("__n")),
     )
-    dealt = ranked.select(*df.columns, F.inline(F.filter(parts, lambda p: p["n"] > 0)))
-    return repeat_rows(dealt, "n", largest["copies"], copy_chunk)
+    dealt = ranked.select(*df.columns, F.inline(F.filter(parts, lambda p: p["__n"] > 0)))
+    return repeat_rows(dealt, "__n", largest["copies"], copy_chunk)
 
 
 def user_stratified_split(df: DataFrame, test_size: float = 0.2, val_size: float = 0.1, random_state: int = 42,

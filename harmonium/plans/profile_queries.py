@@ -63,8 +63,16 @@ def eda5(spark, folder):
     return EDA(views.tracks(spark, folder)).missing_values_analysis().withColumn("percent", r("percent"))
 
 
+def _bin_sql(x: str, lo: str, hi: str, bins: int) -> str:
+    """Bin number of a value; values on an edge belong to the upper bin, the maximum to the last one."""
+    place = f"LEAST(FLOOR(({x} - {lo}) / ({hi} - {lo}) * {bins}.0::DOUBLE), {bins - 1})"
+    step = f"(({hi} - {lo}) / {bins}.0::DOUBLE)"
+    return (f"({place} - CASE WHEN {x} < {place} * {step} + {lo} THEN 1 ELSE 0 END"
+            f" + CASE WHEN {place} < {bins - 1} AND {x} >= ({place} + 1) * {step} + {lo} THEN 1 ELSE 0 END)::INTEGER")
+
+
 @query("eda6_histograms", "WITH " + ", ".join(
-    f"""g_{c} AS (SELECT LEAST(FLOOR(({c}::DOUBLE - lo) / (hi - lo) * 30.0), 29)::INTEGER AS bin, COUNT(*) AS n FROM lineitem,
+    f"""g_{c} AS (SELECT {_bin_sql(f"{c}::DOUBLE", "lo", "hi", 30)} AS bin, COUNT(*) AS n FROM lineitem,
     (SELECT MIN({c})::DOUBLE AS lo, MAX({c})::DOUBLE AS hi FROM lineitem) s WHERE {c} IS NOT NULL GROUP BY 1)""" for c in _NUMERIC) + "\n" + _union(
     f"""SELECT '{c}' AS "column", i::INTEGER AS bin, ROUND(lo + (hi - lo) * i / 30, 4) AS low, ROUND(lo + (hi - lo) * (i + 1) / 30, 4) AS high, COALESCE(n, 0) AS n
     FROM RANGE(0, 30) b(i) CROSS JOIN (SELECT MIN({c})::DOUBLE AS lo, MAX({c})::DOUBLE AS hi FROM lineitem) s LEFT JOIN g_{c} ON bin = i""" for c in _NUMERIC))
@@ -72,7 +80,7 @@ def eda6(spark, folder):
     return EDA(_lines(spark, folder)).distribution_analysis().withColumns({"low": r("low", 4), "high": r("high", 4)})
 
 
-@query("eda6_scatter_counts", """SELECT LEAST(FLOOR((l_quantity - ql) / (qh - ql) * 20.0), 19)::INTEGER AS x_bin, LEAST(FLOOR((l_extendedprice - pl) / (ph - pl) * 20.0), 19)::INTEGER AS y_bin, COUNT(*) AS n
+@query("eda6_scatter_counts", f"""SELECT {_bin_sql("l_quantity", "ql", "qh", 20)} AS x_bin, {_bin_sql("l_extendedprice", "pl", "ph", 20)} AS y_bin, COUNT(*) AS n
 FROM lineitem, (SELECT MIN(l_quantity) AS ql, MAX(l_quantity) AS qh, MIN(l_extendedprice) AS pl, MAX(l_extendedprice) AS ph FROM lineitem) s GROUP BY 1, 2""")
 def eda6_scatter(spark, folder):
     return EDA(_lines(spark, folder)).scatter_counts("l_quantity", "l_extendedprice")
