@@ -16,14 +16,18 @@ SUMMARY_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 _PROFILE = "section STRING, column STRING, stat STRING, value DOUBLE, text STRING"
 
 
-def _corr(a: str, b: str) -> Column:
+def _corr(a: str, b: str, complete: set[str]) -> Column:
     """Pearson correlation over rows where both are present; null where undefined.
 
     Made of covariance and deviations: the built-in ``corr`` divides by zero
-    for a constant column, which is an error in ANSI mode.
+    for a constant column, which is an error in ANSI mode.  The deviation of a
+    column without nulls (``complete``) is one aggregate shared by all its pairs.
     """
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    if b not in complete:
+        x = F.when(F.col(b).isNotNull(), x)
+    if a not in complete:
+        y = F.when(F.col(a).isNotNull(), y)
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
@@ -37,6 +41,7 @@ class EDA:
         self.numeric = numeric_columns(data)
         self.strings = string_columns(data)
         self.spark = data.sparkSession
+        self._without_nulls: set[str] | None = None
 
     # -- one-table summaries --------------------------------------------------
 
@@ -74,9 +79,17 @@ class EDA:
         label = F.concat(F.round(F.col("prob") * 100).cast("int").cast("string"), F.lit("%"))
         return basic.unionByName(cuts.select("column", label.alias("stat"), "value"))
 
+    def _complete(self) -> set[str]:
+        """Numeric columns without nulls, found in one pass and kept."""
+        if self._without_nulls is None:
+            row = self.data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in self.numeric]).first()
+            self._without_nulls = {c for c in self.numeric if row[c] == 0}
+        return self._without_nulls
+
     def _correlations(self, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         """(feature_1, feature_2, correlation) of the given pairs, from one pass."""
-        wide = self.data.agg(*[_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+        complete = self._complete()
+        wide = self.data.agg(*[_corr(a, b, complete).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
         cells = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"c{i}").alias("correlation"))
                  for i, (a, b) in enumerate(pairs)]
         return wide.select(F.inline(F.array(*cells)))
@@ -125,7 +138,8 @@ class EDA:
         place = F.least(F.floor((x - F.lit(low)) / F.lit(high - low) * F.lit(float(bins))), F.lit(bins - 1))
         under = x < place * step + F.lit(low)
         over = (place < bins - 1) & (x >= (place + 1) * step + F.lit(low))
-        return (place - F.when(under, 1).otherwise(0) + F.when(over, 1).otherwise(0)).cast("int")
+        number = place - F.when(under, 1).otherwise(0) + F.when(over, 1).otherwise(0)
+        return F.when(x.isNotNull(), number.cast("int"))
 
     def distribution_analysis(self, bins: int = 30) -> DataFrame:
         """(column, bin, low, high, n): equal-width histograms of the numeric columns, empty bins included."""

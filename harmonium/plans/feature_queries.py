@@ -83,12 +83,12 @@ def fea3(spark, folder):
 
 
 @query("fea4_artist_features", with_views(V_ENRICHED, _IMPUTED, _FLAGGED, _features_cte("flagged")) +
-       f'SELECT "artistID", {", ".join(f"ROUND({c}, 4) AS {c}" for c in NUMERIC)}, {", ".join(FLAGS)} FROM feats')
+       f'SELECT "artistID", {", ".join(f"ROUND({c}, {4 if c == 'duration_ms' else 8}) AS {c}" for c in NUMERIC)}, {", ".join(FLAGS)} FROM feats')
 def fea4(spark, folder):
     texted = features.GenreTagCombiner().transform(enriched(spark, folder))
     flagged = features.HighLevelGenreFeatureGenerator().transform(texted)
     built = features.ArtistNumericFeatureBuilder(numeric_cols=NUMERIC).transform(flagged)
-    return built.withColumns({c: r(c, 4) for c in NUMERIC})
+    return built.withColumns({c: r(c, 4 if c == "duration_ms" else 8) for c in NUMERIC})
 
 
 @query("agg5_mean_with_fallback", with_views(V_TRACKS) + """SELECT "artistID", ROUND(COALESCE(AVG(popularity), (SELECT AVG(popularity) FROM v_tracks)), 6) AS popularity,
