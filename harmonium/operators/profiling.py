@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 from harmonium.operators import quantiles, ranking
 from harmonium.operators.cleaning import duplicate_rows, numeric_columns, string_columns
 
-SUMMARY_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
-_PROFILE = "section STRING, column STRING, stat STRING, value DOUBLE, text STRING"
 
 
 def _corr(a: str, b: str, complete: set[str]) -> Column:
@@ -41,116 +38,125 @@ class EDA:
         self.numeric = numeric_columns(data)
         self.strings = string_columns(data)
         self.spark = data.sparkSession
-        self._without_nulls: set[str] | None = None
+        self._scalar_row: dict | None = None
+        self._quartile_map: dict | None = None
+        self._pair_map: dict | None = None
+
+    # -- shared passes: a handful of numbers per column, taken once ------------
+
+    def _scalars(self) -> dict[str, float]:
+        """Row count, nulls of every column and moments of the numeric ones, from one pass."""
+        if self._scalar_row is None:
+            makers = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+            self._scalar_row = self.data.agg(
+                F.count("*").alias("rows"),
+                *[F.count_if(F.col(c).isNull()).alias(f"missing:{c}") for c in self.data.columns],
+                *[f(F.col(c).cast("double")).cast("double").alias(f"{n}:{c}") for c in self.numeric for n, f in makers.items()],
+            ).first().asDict()
+        return self._scalar_row
+
+    def _quartiles(self) -> dict[tuple[str, float], float]:
+        """(column, prob) -> exact quartile, for columns with values."""
+        if self._quartile_map is None:
+            rows = quantiles.percentiles(self.data, self.numeric, [0.25, 0.5, 0.75], limit=self.limit).collect() if self.numeric else []
+            self._quartile_map = {(r["column"], r["prob"]): r["value"] for r in rows}
+        return self._quartile_map
+
+    def _pairs(self) -> dict[tuple[str, str], float | None]:
+        """(column, later or same column) -> correlation, all pairs from one pass."""
+        if self._pair_map is None:
+            pairs = [(a, b) for i, a in enumerate(self.numeric) for b in self.numeric[i:]]
+            missing = self._scalars()
+            complete = {c for c in self.numeric if missing[f"missing:{c}"] == 0}
+            row = self.data.agg(*[_corr(a, b, complete).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first() if pairs else []
+            self._pair_map = {pair: row[i] for i, pair in enumerate(pairs)}
+        return self._pair_map
+
+    def _correlation(self, a: str, b: str) -> float | None:
+        pairs = self._pairs()
+        return pairs[a, b] if (a, b) in pairs else pairs[b, a]
+
+    def _table(self, rows: list[tuple], schema: str) -> DataFrame:
+        return self.spark.createDataFrame(rows, schema)
 
     # -- one-table summaries --------------------------------------------------
 
     def basic_info(self) -> DataFrame:
         """(column, stat, value, text): shape, types, nulls per column and duplicate rows; '*' is the table."""
         kinds = {f.name: f.dataType.simpleString() for f in self.data.schema.fields}
-        counts = self.data.agg(
-            F.count("*").cast("double").alias("rows"),
-            *[F.count_if(F.col(c).isNull()).cast("double").alias(f"missing:{c}") for c in self.data.columns])
-        total = reduce(lambda a, b: a + b, [F.col(f"`missing:{c}`") for c in self.data.columns])
-        wide = counts.withColumns({"missing": total, "columns": F.lit(float(len(kinds)))})
-        names = ["rows", "columns", "missing", *[f"missing:{c}" for c in self.data.columns]]
-        tall = wide.unpivot([], [F.col(f"`{n}`") for n in names], "name", "value")
-        parts = F.split("name", ":", 2)
-        values = tall.select(F.coalesce(F.get(parts, F.lit(1)), F.lit("*")).alias("column"),
-                             F.get(parts, F.lit(0)).alias("stat"), "value", F.lit(None).cast("string").alias("text"))
+        numbers = self._scalars()
+        missing = {c: float(numbers[f"missing:{c}"]) for c in kinds}
+        rows = [("*", "rows", float(numbers["rows"]), None), ("*", "columns", float(len(kinds)), None), ("*", "missing", sum(missing.values()), None)]
+        rows += [(c, "missing", n, None) for c, n in missing.items()]
+        rows += [(c, "dtype", None, k) for c, k in kinds.items()]
+        rows += [("*", "dtype_count", float(list(kinds.values()).count(k)), k) for k in sorted(set(kinds.values()))]
         copies = duplicate_rows(self.data).select(
             F.lit("*").alias("column"), F.lit("duplicate_rows").alias("stat"),
             F.col("duplicate_rows").cast("double").alias("value"), F.lit(None).cast("string").alias("text"))
-        rows = [(c, "dtype", None, k) for c, k in kinds.items()]
-        rows += [("*", "dtype_count", float(list(kinds.values()).count(k)), k) for k in sorted(set(kinds.values()))]
-        types = self.spark.createDataFrame(rows, "column STRING, stat STRING, value DOUBLE, text STRING")
-        return values.unionByName(copies).unionByName(types)
+        return self._table(rows, "column STRING, stat STRING, value DOUBLE, text STRING").unionByName(copies)
 
     def numeric_summary(self) -> DataFrame:
         """(column, stat, value): count, mean, std, min, exact quartiles and max."""
-        if not self.numeric:
-            return self.spark.createDataFrame([], "column STRING, stat STRING, value DOUBLE")
-        makers = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-        wide = self.data.agg(*[f(F.col(c).cast("double")).cast("double").alias(f"{s}:{c}") for c in self.numeric for s, f in makers.items()])
-        tall = wide.unpivot([], [F.col(f"`{n}`") for n in wide.columns], "name", "value")
-        parts = F.split("name", ":", 2)
-        basic = tall.select(F.get(parts, F.lit(1)).alias("column"), F.get(parts, F.lit(0)).alias("stat"), "value")
-        cuts = quantiles.percentiles(self.data, self.numeric, [0.25, 0.5, 0.75], limit=self.limit)
-        label = F.concat(F.round(F.col("prob") * 100).cast("int").cast("string"), F.lit("%"))
-        return basic.unionByName(cuts.select("column", label.alias("stat"), "value"))
-
-    def _complete(self) -> set[str]:
-        """Numeric columns without nulls, found in one pass and kept."""
-        if self._without_nulls is None:
-            row = self.data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in self.numeric]).first()
-            self._without_nulls = {c for c in self.numeric if row[c] == 0}
-        return self._without_nulls
-
-    def _correlations(self, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-        """(feature_1, feature_2, correlation) of the given pairs, from one pass."""
-        complete = self._complete()
-        wide = self.data.agg(*[_corr(a, b, complete).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-        cells = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"c{i}").alias("correlation"))
-                 for i, (a, b) in enumerate(pairs)]
-        return wide.select(F.inline(F.array(*cells)))
+        numbers, cuts = self._scalars(), self._quartiles()
+        rows = [(c, s, numbers[f"{s}:{c}"]) for c in self.numeric for s in ("count", "mean", "std", "min", "max")]
+        rows += [(c, f"{round(p * 100)}%", v) for (c, p), v in cuts.items()]
+        return self._table(rows, "column STRING, stat STRING, value DOUBLE")
 
     def correlation_matrix(self) -> DataFrame:
         """(feature_1, feature_2, correlation) for all ordered pairs; empty below two numeric columns."""
-        if len(self.numeric) < 2:
-            return self.spark.createDataFrame([], "feature_1 STRING, feature_2 STRING, correlation DOUBLE")
-        half = self._correlations([(a, b) for i, a in enumerate(self.numeric) for b in self.numeric[i:]])
-        mirror = half.filter(F.col("feature_1") != F.col("feature_2")).select(
-            F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2"), "correlation")
-        return half.unionByName(mirror)
+        several = self.numeric if len(self.numeric) > 1 else []
+        rows = [(a, b, self._correlation(a, b)) for a in several for b in several]
+        return self._table(rows, "feature_1 STRING, feature_2 STRING, correlation DOUBLE")
 
     def top_correlations(self, n: int = 10) -> DataFrame:
         """(feature_1, feature_2, correlation, abs_corr): strongest pairs, each once."""
-        pairs = [(min(a, b), max(a, b)) for a, b in combinations(self.numeric, 2)]
-        if not pairs:
-            return self.spark.createDataFrame([], "feature_1 STRING, feature_2 STRING, correlation DOUBLE, abs_corr DOUBLE")
-        ranked = self._correlations(pairs).withColumn("abs_corr", F.abs("correlation"))
+        rows = [(min(a, b), max(a, b), self._correlation(a, b)) for a, b in combinations(self.numeric, 2)]
+        ranked = self._table(rows, "feature_1 STRING, feature_2 STRING, correlation DOUBLE").withColumn("abs_corr", F.abs("correlation"))
         return ranking.top_rows(ranked, [F.desc_nulls_last("abs_corr"), F.asc("feature_1"), F.asc("feature_2")], n)
 
     def missing_values_analysis(self) -> DataFrame:
         """(column, missing, percent) of columns with nulls."""
-        wide = self.data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in self.data.columns], F.count("*").alias("__rows"))
-        tall = wide.unpivot(["__rows"], self.data.columns, "column", "missing").filter(F.col("missing") > 0)
-        percent = F.col("missing").cast("double") * F.lit(100.0) / F.col("__rows")
-        return tall.select("column", "missing", percent.alias("percent")).orderBy(F.desc("missing"), "column")
+        numbers = self._scalars()
+        counts = {c: numbers[f"missing:{c}"] for c in self.data.columns}
+        rows = [(c, n, n * 100.0 / numbers["rows"]) for c, n in counts.items() if n]
+        return self._table(rows, "column STRING, missing BIGINT, percent DOUBLE").orderBy(F.desc("missing"), "column")
 
     # -- distributions --------------------------------------------------------
 
     def _bounds(self) -> dict[str, tuple[float, float]]:
         """Histogram ranges; a constant column gets half a unit on both sides."""
-        row = self.data.agg(*[f(F.col(c).cast("double")).alias(f"{n}:{c}") for c in self.numeric
-                              for n, f in (("lo", F.min), ("hi", F.max))]).first()
-        out = {}
+        numbers, out = self._scalars(), {}
         for c in self.numeric:
-            low, high = row[f"lo:{c}"], row[f"hi:{c}"]
+            low, high = numbers[f"min:{c}"], numbers[f"max:{c}"]
             if low is not None:
                 out[c] = (low - 0.5, high + 0.5) if low == high else (low, high)
         return out
 
-    @staticmethod
-    def _bin(c: str, low: float, high: float, bins: int) -> Column:
-        """Bin number; a value on an edge belongs to the upper bin, the maximum to the last one."""
-        x, step = F.col(c).cast("double"), F.lit((high - low) / bins)
-        place = F.least(F.floor((x - F.lit(low)) / F.lit(high - low) * F.lit(float(bins))), F.lit(bins - 1))
-        under = x < place * step + F.lit(low)
-        over = (place < bins - 1) & (x >= (place + 1) * step + F.lit(low))
-        number = place - F.when(under, 1).otherwise(0) + F.when(over, 1).otherwise(0)
-        return F.when(x.isNotNull(), number.cast("int"))
+    def _binned(self, columns: list[str], bins: int) -> DataFrame:
+        """(column, bin) of every value; a value on an edge belongs to the upper bin, the maximum to the last one.
+
+        Columns become rows first, so that one short expression serves them all.
+        """
+        bounds = self._bounds()
+        limits = self._table([(c, *bounds[c], (bounds[c][1] - bounds[c][0]) / bins) for c in columns if c in bounds],
+                             "column STRING, lo DOUBLE, hi DOUBLE, step DOUBLE")
+        values = self.data.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+        x, lo, step = F.col("value"), F.col("lo"), F.col("step")
+        # one row per numeric column is broadcast
+        placed = values.join(F.broadcast(limits), "column").withColumn(
+            "at", F.least(F.floor((x - lo) / (F.col("hi") - lo) * F.lit(float(bins))), F.lit(bins - 1)))
+        at = F.col("at")
+        number = F.when(x < at * step + lo, at - 1).when((at < bins - 1) & (x >= (at + 1) * step + lo), at + 1).otherwise(at)
+        return placed.filter(x.isNotNull()).select("column", number.cast("int").alias("bin"))
 
     def distribution_analysis(self, bins: int = 30) -> DataFrame:
         """(column, bin, low, high, n): equal-width histograms of the numeric columns, empty bins included."""
         bounds = self._bounds()
-        schema = "column STRING, bin INT, low DOUBLE, high DOUBLE"
         edges = [(c, i, i * ((hi - lo) / bins) + lo, (i + 1) * ((hi - lo) / bins) + lo) for c, (lo, hi) in bounds.items() for i in range(bins)]
-        grid = self.spark.createDataFrame(edges, schema)
+        grid = self._table(edges, "column STRING, bin INT, low DOUBLE, high DOUBLE")
         if not bounds:
             return grid.withColumn("n", F.lit(0).cast("bigint"))
-        binned = self.data.select(*[self._bin(c, lo, hi, bins).alias(c) for c, (lo, hi) in bounds.items()])
-        counts = binned.unpivot([], list(bounds), "column", "bin").dropna().groupBy("column", "bin").agg(F.count("*").alias("n"))
+        counts = self._binned(list(bounds), bins).groupBy("column", "bin").agg(F.count("*").alias("n"))
         return grid.join(counts, ["column", "bin"], "left").fillna(0, ["n"])
 
     def categorical_analysis(self, top: int = 15) -> DataFrame:
@@ -163,36 +169,38 @@ class EDA:
 
     def outlier_analysis(self) -> DataFrame:
         """(column, q1, median, q3, iqr, outliers): values strictly outside 1.5 interquartile ranges."""
-        if not self.numeric:
-            return self.spark.createDataFrame([], "column STRING, q1 DOUBLE, median DOUBLE, q3 DOUBLE, iqr DOUBLE, outliers BIGINT")
-        cuts = quantiles.percentiles(self.data, self.numeric, [0.25, 0.5, 0.75], limit=self.limit).collect()
-        q = {(r["column"], r["prob"]): r["value"] for r in cuts}
+        q = self._quartiles()
         filled = [c for c in self.numeric if (c, 0.25) in q]
-        counters, cells = [], []
-        for i, c in enumerate(filled):
+        schema = "column STRING, q1 DOUBLE, median DOUBLE, q3 DOUBLE, iqr DOUBLE, outliers BIGINT"
+        if not filled:
+            return self._table([], schema)
+        counters = []
+        for c in filled:
             q1, q3 = q[c, 0.25], q[c, 0.75]
             spread = 1.5 * (q3 - q1)
             x = F.col(c).cast("double")
-            counters.append(F.count_if((x < F.lit(q1 - spread)) | (x > F.lit(q3 + spread))).alias(f"o{i}"))
-            cells.append(F.struct(
-                F.lit(c).alias("column"), F.lit(q1).alias("q1"), F.lit(q[c, 0.5]).alias("median"), F.lit(q3).alias("q3"),
-                F.lit(q3 - q1).alias("iqr"), F.col(f"o{i}").alias("outliers")))
-        if not filled:
-            return EDA(self.data.select(*self.strings[:0])).outlier_analysis()
-        return self.data.agg(*counters).select(F.inline(F.array(*cells)))
+            counters.append(F.count_if((x < F.lit(q1 - spread)) | (x > F.lit(q3 + spread))).alias(c))
+        outside = self.data.agg(*counters).first()
+        return self._table([(c, q[c, 0.25], q[c, 0.5], q[c, 0.75], q[c, 0.75] - q[c, 0.25], outside[c]) for c in filled], schema)
 
     def bivariate_analysis(self, max_pairs: int = 15) -> DataFrame:
         """(feature_1, feature_2, correlation) of the first column pairs in column order."""
-        pairs = list(combinations(self.numeric, 2))[:max_pairs]
-        if not pairs:
-            return self.spark.createDataFrame([], "feature_1 STRING, feature_2 STRING, correlation DOUBLE")
-        return self._correlations(pairs)
+        rows = [(a, b, self._correlation(a, b)) for a, b in list(combinations(self.numeric, 2))[:max_pairs]]
+        return self._table(rows, "feature_1 STRING, feature_2 STRING, correlation DOUBLE")
 
     def scatter_counts(self, x: str, y: str, bins: int = 20) -> DataFrame:
         """(x_bin, y_bin, n): a scatter plot as binned counts."""
         bounds = self._bounds()
-        binned = self.data.select(self._bin(x, *bounds[x], bins).alias("x_bin"), self._bin(y, *bounds[y], bins).alias("y_bin"))
-        return binned.dropna().groupBy("x_bin", "y_bin").agg(F.count("*").alias("n"))
+
+        def place(c: str) -> Column:
+            low, high = bounds[c]
+            v, step = F.col(c).cast("double"), F.lit((high - low) / bins)
+            at = F.least(F.floor((v - F.lit(low)) / F.lit(high - low) * F.lit(float(bins))), F.lit(bins - 1))
+            moved = F.when(v < at * step + F.lit(low), at - 1).when((at < bins - 1) & (v >= (at + 1) * step + F.lit(low)), at + 1)
+            return moved.otherwise(at).cast("int")
+
+        both = self.data.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+        return both.groupBy(place(x).alias("x_bin"), place(y).alias("y_bin")).agg(F.count("*").alias("n"))
 
     # -- target ---------------------------------------------------------------
 
@@ -203,12 +211,8 @@ class EDA:
         target = self.target_column
         if not target or target not in self.data.columns:
             return self.spark.createDataFrame([], schema)
-        parts = [self.spark.createDataFrame([], schema)]
-        others = [c for c in self.numeric if c != target]
-        if others:
-            parts.append(self._correlations([(c, target) for c in others]).select(
-                F.col("feature_1").alias("column"), F.lit("correlation").alias("kind"),
-                F.lit(None).cast("string").alias("key"), F.col("correlation").alias("value")))
+        numeric = [(c, "correlation", None, self._correlation(c, target)) for c in self.numeric if c != target and target in self.numeric]
+        parts = [self._table(numeric, schema)]
         texts = [c for c in self.strings if c != target]
         if texts:
             cells = self.data.select(F.col(target).cast("double").alias("__target"), *texts)

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from harmonium.functions.scalars import rank_weight
 from harmonium.operators import ranking
 from harmonium.operators.joins import lookup_name
+from harmonium.session import materialise
 
 USER_BLOCK = 512
 ITEM_BLOCK = 2048
@@ -50,8 +51,8 @@ def _with_bias(rows: DataFrame, id_col: str) -> DataFrame:
 
 def _block_pairs(users: DataFrame, items: DataFrame, user_col: str, item_col: str) -> DataFrame:
     """Every user block next to every item block, spread over (item block, lane) keys."""
-    left, n_users = _blocks(_with_bias(users, user_col), user_col, USER_BLOCK, "u")
-    right, n_items = _blocks(_with_bias(items, item_col), item_col, ITEM_BLOCK, "i")
+    left, n_users = _blocks(users, user_col, USER_BLOCK, "u")
+    right, n_items = _blocks(items, item_col, ITEM_BLOCK, "i")
     lanes = max(1, min(n_users, -(-4 * users.sparkSession.sparkContext.defaultParallelism // n_items)))
     left = left.withColumn("iblock", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))))
     left = left.withColumn("lane", F.pmod(F.col("ublock"), F.lit(lanes)))
@@ -80,6 +81,8 @@ def top_items(users: DataFrame, items: DataFrame, k: int = 10, exclude: DataFram
     ``exclude`` lists (user, item) pairs that may not be recommended.  Equal
     scores are ordered by item.
     """
+    users = materialise(_with_bias(users, user_col), "score-users")  # counted, then packed
+    items = materialise(_with_bias(items, item_col), "score-items")
     pairs = _block_pairs(users, items, user_col, item_col)
     user_type, item_type = users.schema[user_col].dataType, items.schema[item_col].dataType
     barring = exclude is not None
@@ -146,7 +149,8 @@ def user_auc(users: DataFrame, items: DataFrame, truth: DataFrame, user_col: str
     positives = positives.select(user_col, value.alias("score"))
     hits = positives.groupBy(user_col).agg(F.collect_list("score").alias("scores"))
 
-    wanted = users.join(hits.select(user_col), user_col, "left_semi")
+    wanted = materialise(_with_bias(users.join(hits.select(user_col), user_col, "left_semi"), user_col), "score-users")
+    items = materialise(_with_bias(items, item_col), "score-items")
     pairs = _block_pairs(wanted, items, user_col, item_col)
     n_users = max(1, -(-wanted.count() // USER_BLOCK))
     block = F.pmod(F.xxhash64(user_col), F.lit(n_users)).cast("int")

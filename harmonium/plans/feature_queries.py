@@ -12,6 +12,7 @@ from harmonium.operators.joins import JoinArtistListeners
 from harmonium.plans.preprocessing import ArtistMetadataPipeline, GeneralPreprocessingPipeline
 from harmonium.plans.registry import query, r, with_views
 from harmonium.plans.relational_queries import _LISTENERS_CTE, _TAGS_CTE, flag_sql, split_sql
+from harmonium.session import materialise
 from harmonium.sources import views
 from harmonium.sources.views import V_INTERACTIONS, V_TAGS, V_TRACKS
 
@@ -54,6 +55,12 @@ def enriched(spark, folder):
     return flow.run(views.interactions(spark, folder), views.tag_assignments(spark, folder), views.tracks(spark, folder))["spotify"]
 
 
+def split_interactions(spark, folder):
+    """The user-stratified split, written once for all its readers."""
+    rows = materialise(views.interactions(spark, folder), "interactions")
+    return materialise(splits.user_stratified_split(rows, 0.15, 0.15, 42), "split")
+
+
 def artist_features(spark, folder):
     """One scaled feature row per artist."""
     return ArtistMetadataPipeline(NUMERIC, popularity_path="").fit_transform(enriched(spark, folder))
@@ -135,7 +142,7 @@ def fea6(spark, folder):
 @query("fea7_user_scaling", split_sql(True, 0.15, 0.15, 42) + """SELECT s.split, s."userID", s."artistID", ROUND(CASE WHEN hi > lo THEN (weight - lo) / (hi - lo) ELSE 1.0 END, 6) AS weight
 FROM v_split s JOIN (SELECT "userID", MIN(weight) AS lo, MAX(weight) AS hi FROM v_split WHERE split = 'train' GROUP BY "userID") r ON s."userID" = r."userID" """)
 def fea7(spark, folder):
-    parts = splits.user_stratified_split(views.interactions(spark, folder), 0.15, 0.15, 42)
+    parts = split_interactions(spark, folder)
     scaler = features.UserMinMaxListeningScaler().fit(splits.in_part(parts, "train"))
     scaled = [scaler.transform(splits.in_part(parts, p)).withColumn("split", F.lit(p)) for p in ("train", "val", "test")]
     rows = scaled[0].unionByName(scaled[1]).unionByName(scaled[2])
@@ -167,7 +174,7 @@ def _index_cte(name: str, column: str, out: str) -> str:
 
 
 def _builder(spark, folder):
-    parts = splits.user_stratified_split(views.interactions(spark, folder), 0.15, 0.15, 42)
+    parts = split_interactions(spark, folder)
     return InteractionMatrixBuilder().fit(*[splits.in_part(parts, p) for p in ("train", "test", "val")])
 
 

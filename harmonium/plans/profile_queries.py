@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from harmonium.operators.profiling import EDA
 from harmonium.plans.registry import query, r, with_views
+from harmonium.session import spread
 from harmonium.sources import views
 from harmonium.sources.views import V_TRACKS
 
@@ -114,4 +115,4 @@ def eda10(spark, folder):
 
 @query("eda11_full_profile")
 def eda11(spark, folder):
-    return EDA(_lines(spark, folder), "l_extendedprice").run_full_analysis()
+    return EDA(spread(_lines(spark, folder)), "l_extendedprice").run_full_analysis()

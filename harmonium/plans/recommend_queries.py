@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from harmonium.operators import factors, metrics, scoring, splits, tuning
-from harmonium.plans.feature_queries import artist_features
+from harmonium.plans.feature_queries import artist_features, split_interactions
 from harmonium.plans.registry import known_id, query, r, with_views
 from harmonium.session import materialise, shared_folder
 from harmonium.sources import views, writers
@@ -163,7 +163,7 @@ def rec13(spark, folder):
 # -- training: checked by rows here, by quality in the tests -------------------
 
 def _scaled_split(spark, folder):
-    parts = materialise(splits.user_stratified_split(views.interactions(spark, folder), 0.15, 0.15, 42), "parts")
+    parts = split_interactions(spark, folder)
     return {p: splits.in_part(parts, p) for p in ("train", "val", "test")}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from harmonium.functions import scalars, text
 from harmonium.operators import aggregates, cleaning, joins, ranking, splits
 from harmonium.plans.registry import known_id, query, r, with_views
-from harmonium.session import shared_folder
+from harmonium.session import materialise, shared_folder
 from harmonium.sources import readers, views, writers
 from harmonium.sources.views import V_INTERACTIONS, V_TAGS, V_TRACKS
 
@@ -434,12 +434,12 @@ def split_sql(per_user: bool, test: float, val: float, seed: int, view: str = V_
 
 @query("win4_random_split", split_sql(False, 0.2, 0.1, 42) + "SELECT * FROM v_split")
 def win4(spark, folder):
-    return splits.random_split(views.interactions(spark, folder))
+    return splits.random_split(materialise(views.interactions(spark, folder), "interactions"))
 
 
 @query("win5_user_split", split_sql(True, 0.15, 0.15, 42) + "SELECT * FROM v_split")
 def win5(spark, folder):
-    return splits.user_stratified_split(views.interactions(spark, folder), 0.15, 0.15, 42)
+    return splits.user_stratified_split(materialise(views.interactions(spark, folder), "interactions"), 0.15, 0.15, 42)
 
 
 @query("win6_split_sizes", split_sql(True, 0.2, 0.1, 42) + "SELECT split, COUNT(*) AS n FROM v_split GROUP BY split")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from harmonium.functions.scalars import nan_to_null
 from harmonium.operators import splits
+from harmonium.session import materialise
 
 SCHEMAS = {
     "interactions": "userID BIGINT, artistID BIGINT, weight DOUBLE",
@@ -78,8 +79,8 @@ class StandardLoader:
 
     def train_test_val_split(self, df: DataFrame, strategy: str = "random", test_size: float = 0.2,
                              val_size: float = 0.1, random_state: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(train, test, val), in that order."""
-        parts = splits.assign_split(df, strategy, test_size, val_size, random_state)
+        """(train, test, val), in that order; dealt once, then read three times."""
+        parts = materialise(splits.assign_split(df, strategy, test_size, val_size, random_state), "split")
         return tuple(
             parts.filter(F.col(splits.PART) == name).drop(splits.PART) for name in ("train", "test", "val")
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from harmonium.operators.scoring import RecommendationService
+from harmonium.session import materialise
 from harmonium.streaming.submissions import RatingStore
 
 MAX_TOP_K = 50
@@ -26,10 +27,11 @@ def generate_recommendations(requests: DataFrame, submissions: DataFrame, servic
     if not 1 <= top_k <= MAX_TOP_K:
         raise ValueError(f"top_k must be between 1 and {MAX_TOP_K}")
     users = requests.select("user_id").distinct()
-    ratings = exploded_ratings(submissions.join(users, "user_id", "left_semi"))
-    best = service.get_recommendations(service.create_user_vector_from_survey(ratings), top_k)
+    submitted = materialise(submissions.join(users, "user_id", "left_semi"), "requested")
+    vectors = service.create_user_vector_from_survey(exploded_ratings(submitted))
+    best = service.get_recommendations(vectors, top_k)
     missing = F.concat(F.lit("No ratings found for user "), F.col("user_id"), F.lit(". Please submit ratings first."))
-    rated = submissions.select("user_id", F.lit(True).alias("rated"))
+    rated = submitted.select("user_id", F.lit(True).alias("rated"))
     answered = users.join(rated, "user_id", "left").join(best, "user_id", "left")
     status = F.when(F.col("rated").isNull(), missing).when(F.col("rank").isNull(), "User vector has no preferences!").otherwise("ok")
     return answered.select("user_id", status.alias("status"), "rank", "artistID", "artist_name", "score")
