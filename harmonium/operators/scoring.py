@@ -23,6 +23,10 @@ from harmonium.session import materialise
 
 USER_BLOCK = 512
 ITEM_BLOCK = 2048
+#: bytes of item factors one task holds
+GROUP_BYTES = 256 << 20
+#: scores of one user's positives that one row carries
+POSITIVES = 10_000
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -50,14 +54,21 @@ def _with_bias(rows: DataFrame, id_col: str) -> DataFrame:
 
 
 def _block_pairs(users: DataFrame, items: DataFrame, user_col: str, item_col: str) -> DataFrame:
-    """Every user block next to every item block, spread over (item block, lane) keys."""
+    """Every user block next to every item block, spread over (item group, user lane) keys."""
     left, n_users = _blocks(users, user_col, USER_BLOCK, "u")
     right, n_items = _blocks(items, item_col, ITEM_BLOCK, "i")
-    lanes = max(1, min(n_users, -(-4 * users.sparkSession.sparkContext.defaultParallelism // n_items)))
-    left = left.withColumn("iblock", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))))
+    width = items.select(F.max(F.size("factors"))).first()[0] or 1
+    tasks = 4 * users.sparkSession.sparkContext.defaultParallelism
+    # Users are sent once per item group, items once per user lane: as few groups as memory allows,
+    # more only when there are too few user blocks to keep all cores busy.
+    groups = min(n_items, -(-n_items * ITEM_BLOCK * width * 8 // GROUP_BYTES))
+    lanes = max(1, min(n_users, -(-tasks // groups)))
+    groups = max(groups, min(n_items, -(-tasks // lanes)))
     left = left.withColumn("lane", F.pmod(F.col("ublock"), F.lit(lanes)))
+    left = left.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = right.withColumn("group", F.pmod(F.col("iblock"), F.lit(groups)))
     right = right.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    return left.join(right.hint("shuffle_hash"), ["iblock", "lane"])
+    return left.join(right.hint("shuffle_hash"), ["group", "lane"])
 
 
 def _matrix(row: pa.RecordBatch, i: int, prefix: str) -> tuple[np.ndarray, np.ndarray, list]:
@@ -146,15 +157,18 @@ def user_auc(users: DataFrame, items: DataFrame, truth: DataFrame, user_col: str
     listed = _with_bias(items, item_col).withColumnsRenamed({"factors": "vf", "bias": "vb"})
     value = F.round(dot("uf", "vf") + F.col("ub") + F.col("vb"), digits)
     positives = truth.select(user_col, item_col).distinct().join(known, user_col).join(listed, item_col)
-    positives = positives.select(user_col, value.alias("score"))
-    hits = positives.groupBy(user_col).agg(F.collect_list("score").alias("scores"))
+    positives = materialise(positives.select(user_col, item_col, value.alias("score")), "positives")
+    counts = positives.groupBy(user_col).agg(F.count("*").alias("p"))
+    # a user with very many positives is cut into parts; the sums below add up over them
+    part = F.pmod(F.xxhash64(item_col), F.ceil(F.col("p") / F.lit(POSITIVES))).cast("int")
+    hits = positives.join(counts, user_col).groupBy(user_col, part.alias("part")).agg(F.collect_list("score").alias("scores"))
 
-    wanted = materialise(_with_bias(users.join(hits.select(user_col), user_col, "left_semi"), user_col), "score-users")
+    wanted = materialise(_with_bias(users.join(counts.select(user_col), user_col, "left_semi"), user_col), "score-users")
     items = materialise(_with_bias(items, item_col), "score-items")
     pairs = _block_pairs(wanted, items, user_col, item_col)
     n_users = max(1, -(-wanted.count() // USER_BLOCK))
     block = F.pmod(F.xxhash64(user_col), F.lit(n_users)).cast("int")
-    packed = hits.groupBy(block.alias("ublock")).agg(F.collect_list(F.struct(F.col(user_col).alias("u"), "scores")).alias("p"))
+    packed = hits.groupBy(block.alias("ublock"), "part").agg(F.collect_list(F.struct(F.col(user_col).alias("u"), "scores")).alias("p"))
     packed = packed.select("ublock", F.transform("p", lambda r: r["u"]).alias("pu"),
                            F.transform("p", lambda r: F.size(r["scores"])).alias("pn"),
                            F.flatten(F.transform("p", lambda r: r["scores"])).alias("ps"))
@@ -178,7 +192,7 @@ def user_auc(users: DataFrame, items: DataFrame, truth: DataFrame, user_col: str
                 yield pa.RecordBatch.from_arrays([batch.column("pu")[i].values, pa.array(totals)], names=[user_col, "below"])
 
     sums = pairs.join(packed, "ublock").mapInArrow(below, schema).groupBy(user_col).agg(F.sum("below").alias("below"))
-    sizes = hits.select(user_col, F.size("scores").cast("double").alias("p"))
+    sizes = counts.select(user_col, F.col("p").cast("double").alias("p"))
     total = items.agg(F.count("*").cast("double")).scalar()
     area = F.try_divide(F.col("below") - F.col("p") * F.col("p") / 2, F.col("p") * (total - F.col("p")))
     return sums.join(sizes, user_col).select(user_col, area.alias("auc"))
