@@ -150,11 +150,12 @@ def fea7(spark, folder):
 
 
 @query("joi8_user_ranges", with_views(V_INTERACTIONS) + """SELECT i."userID", i."artistID", ROUND(CASE WHEN lo IS NULL THEN NULL WHEN hi > lo THEN (weight - lo) / (hi - lo) ELSE 1.0 END, 6) AS weight
-FROM v_interactions i LEFT JOIN (SELECT "userID", MIN(weight) AS lo, MAX(weight) AS hi FROM v_interactions WHERE "userID" % 3 > 0 GROUP BY "userID") r ON i."userID" = r."userID" """)
+FROM v_interactions i LEFT JOIN (SELECT "userID", MIN(weight) AS lo, MAX(weight) AS hi FROM v_interactions JOIN customer ON "userID" = c_custkey WHERE c_acctbal > 0 GROUP BY "userID") r ON i."userID" = r."userID" """)
 def joi8(spark, folder):
-    """Users whose id is a multiple of three are unseen in the fit and get null."""
+    """Users without a positive balance are unseen in the fit and get null."""
     rows = views.interactions(spark, folder)
-    scaler = features.UserMinMaxListeningScaler(on_unseen="null").fit(rows.filter(F.col("userID") % 3 > 0))
+    solvent = views.table(spark, folder, "customer").filter(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("userID"))
+    scaler = features.UserMinMaxListeningScaler(on_unseen="null").fit(rows.join(solvent, "userID", "left_semi"))
     return scaler.transform(rows).withColumn("weight", r("weight"))
 
 

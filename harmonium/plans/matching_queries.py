@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harmonium.functions import text
+from harmonium.functions.similarity import indel_similarity
 from harmonium.operators import matching
 from harmonium.operators.idmap import ArtistIDMapper
 from harmonium.plans.registry import known_id, query, r, with_views
@@ -94,6 +95,14 @@ def mat5(spark, folder):
     return matching.blocks_of(names, "name")
 
 
+@query("mat7_similarity_scorer", f"""SELECT p_partkey, ROUND(1.0::DOUBLE - (LENGTH(a) + LENGTH(b) - 2 * {lcs_sql('a', 'b')}) / (LENGTH(a) + LENGTH(b))::DOUBLE, 9) AS ratio
+FROM (SELECT p_partkey, LOWER(p_name) AS a, LOWER(p_type || ' ' || p_brand) AS b FROM part) t""")
+def mat7(spark, folder):
+    pairs = views.table(spark, folder, "part").select(
+        "p_partkey", F.lower("p_name").alias("a"), F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("b"))
+    return pairs.select("p_partkey", r(indel_similarity(F.col("a"), F.col("b")), 9).alias("ratio"))
+
+
 _BEST_SQL = "SELECT q AS norm, c AS match, ROUND(sim, 9) AS similarity FROM best"
 
 
