@@ -40,11 +40,11 @@ def schedule(shares: DataFrame) -> DataFrame:
     rows = rows.where("size(sources) > 0").withColumn("period", F.expr("aggregate(sources, 0L, (a, x) -> a + x.share)"))
     step = """
         transform(array(array_min(filter(transform(sources, (x, i) ->
-            if(state.done[i] < x.share and div(state.done[i] * period, x.share) <= t,
-               named_struct('due', -div(-((state.done[i] + 1) * period), x.share), 'i', i), null)), x -> x is not null))),
+            if(state.done[i] < x.share and (state.done[i] * period) div x.share <= t,
+               named_struct('due', ((state.done[i] + 1) * period + x.share - 1) div x.share, 'i', i), null)), x -> x is not null))),
           best -> named_struct('done', transform(state.done, (n, i) -> if(i = best.i, n + 1, n)),
                                'picks', concat(state.picks, array(best.i))))[0]
-    """.replace("div(state.done[i] * period, x.share)", "(state.done[i] * period) div x.share").replace("-div(-((state.done[i] + 1) * period), x.share)", "((state.done[i] + 1) * period + x.share - 1) div x.share")
+    """
     picks = f"aggregate(sequence(0L, period - 1), named_struct('done', transform(sources, x -> 0L), 'picks', cast(array() as array<int>)), (state, t) -> {step}).picks"
     slots = rows.select("sources", "period", F.posexplode(F.expr(picks)).alias("slot", "i"))
     # the period is as long as the shares say, whatever the number of documents
@@ -104,11 +104,11 @@ shares AS (
     row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM sizes),
 spec AS (SELECT list(share ORDER BY i) AS p, CAST(sum(share) AS BIGINT) AS period, CAST(count(*) AS BIGINT) AS k FROM shares),
 sched(t, done, pick) AS (
-  SELECT CAST(-1 AS BIGINT), list_transform(generate_series(1, k), x -> CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM spec
+  SELECT CAST(-1 AS BIGINT), list_transform(generate_series(1, k), lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM spec
   UNION ALL
-  SELECT t, list_transform(generate_series(1, k), x -> done[x] + CASE WHEN x = best THEN 1 ELSE 0 END), best FROM (
-    SELECT s.t + 1 AS t, s.done, k, list_min(list_transform(list_filter(generate_series(1, k), x -> s.done[x] < p[x] AND (s.done[x] * period) // p[x] <= s.t + 1),
-      x -> {{'due': ((s.done[x] + 1) * period + p[x] - 1) // p[x], 'i': x}})).i AS best
+  SELECT t, list_transform(generate_series(1, k), lambda x: done[x] + CASE WHEN x = best THEN 1 ELSE 0 END), best FROM (
+    SELECT s.t + 1 AS t, s.done, k, list_min(list_transform(list_filter(generate_series(1, k), lambda x: s.done[x] < p[x] AND (s.done[x] * period) // p[x] <= s.t + 1),
+      lambda x: {{'due': ((s.done[x] + 1) * period + p[x] - 1) // p[x], 'i': x}})).i AS best
     FROM sched s, spec WHERE s.t + 1 < period)),
 turns AS (SELECT pick AS i, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM sched WHERE t >= 0),
 ranked AS (SELECT d.doc_id, d.source, s.share, s.i, row_number() OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id) - 1 AS rank
