@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from harmonium.llm.fingerprints import OP4_SQL, op4_scaled_sketch
+from harmonium.llm.html_text import op1_html_extraction
 from harmonium.llm.jaccard_join import op9_ngram_jaccard_join
 from harmonium.llm.langid import op6_language_id
 from harmonium.llm.mixing import OP2_SQL, op2_pfair_mixing
 from harmonium.llm.sentencepiece import op3_sentencepiece_nbest
 
-QUERIES = {f.__name__: f for f in (op2_pfair_mixing, op3_sentencepiece_nbest, op6_language_id, op9_ngram_jaccard_join)}
-ORACLES = {"op2_pfair_mixing": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_pfair_mixing, op3_sentencepiece_nbest, op4_scaled_sketch, op6_language_id, op9_ngram_jaccard_join)}
+ORACLES = {"op2_pfair_mixing": OP2_SQL, "op4_scaled_sketch": OP4_SQL}
