@@ -40,7 +40,7 @@ WORDS, PERCENT = 5, 80
 #: Ratio of the largest to the smallest size of a band.
 BAND_RATIO = 1.6
 #: Every so many segments, one has its one-deletion neighbourhood indexed (at least ``LEAST_DELETIONS`` of a band's).
-DELETION_EVERY, LEAST_DELETIONS = 16, 4
+DELETION_EVERY, LEAST_DELETIONS = 32, 4
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -90,7 +90,7 @@ def band_shape(band: int, percent: int = PERCENT) -> tuple[int, int]:
 
 
 def segment_keys(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set and their codes: ``size << 26 | segment << 2 | deletion << 1 | probe`` (probe: own band)."""
+    """Keys of a set and their codes: ``segment << 3 | empty << 2 | deletion << 1 | probe`` (probe: own band)."""
     keys, codes = [], []
     token = mix(h + np.uint64(0x632BE59BD9B4E019))
     for probe, band in zip((1, 0), bands(len(h), percent), strict=False):
@@ -104,15 +104,15 @@ def segment_keys(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.
         base = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32) + np.uint64(1))
         upto = edge[with_deletions]
         keys += [mix(sums + base), mix(sums[at[:upto]] - held[:upto] + base[at[:upto]])]
-        codes += [np.arange(m) << 2 | probe, at[:upto] << 2 | 2 | probe]
-    return np.concatenate(keys).view(np.int64), np.concatenate(codes) | len(h) << 26
+        codes += [np.arange(m) << 3 | (edge[1:] == edge[:-1]).astype(np.int64) << 2 | probe, at[:upto] << 3 | 2 | probe]
+    return np.concatenate(keys).view(np.int64), np.concatenate(codes).astype(np.int32)
 
 
-_SETS = "doc_id long, n_shingles long, set_a long, set_b long, keys array<struct<key:long,code:long>>"
+_SETS = "doc_id long, n_shingles long, set_a long, set_b long, keys array<struct<key:long,code:int>>"
 
 
 def _sets(k: int, percent: int, with_keys: bool):
-    item = pa.struct([("key", pa.int64()), ("code", pa.int64())])
+    item = pa.struct([("key", pa.int64()), ("code", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(item))])
     #: up to this size only equal sets link, and those are one node
     alone = next(n for n in range(1, 1000) if largest_difference(n + 1, n + 1, percent))
@@ -131,7 +131,7 @@ def _sets(k: int, percent: int, with_keys: bool):
                     codes.append(y)
                 ends.append(ends[-1] + (len(keys[-1]) if with_keys and len(h) > alone else 0))
             none = np.empty(0, np.int64)
-            pairs = pa.StructArray.from_arrays([np.concatenate(keys or [none]), np.concatenate(codes or [none])], fields=list(item))
+            pairs = pa.StructArray.from_arrays([np.concatenate(keys or [none]), np.concatenate(codes or [none]).astype(np.int32)], fields=list(item))
             yield batches(schema, [part.column(0), sizes, a, b, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)])
 
     return run
@@ -154,7 +154,18 @@ def _hashes(k: int):
 
 
 def _size(code: str) -> Column:
-    return F.shiftright(code, 26)
+    return F.shiftright(code, 32)
+
+
+def _flag(bit: int) -> Column:
+    return F.col("code").bitwiseAND(bit) != 0
+
+
+#: Bits of a code; above 32 of them stands the size.
+PROBE, DELETION, EMPTY = 1, 2, 4
+#: In the first comparison of a key's holders with the first of them, two sets are compared if this share of the smaller
+#: one's size is the number of keys that say so.  The second comparison does not depend on it.
+HUB_SHARE = 1 / 16
 
 
 class JaccardJoin:
@@ -197,22 +208,24 @@ class JaccardJoin:
     def _shared(self) -> DataFrame:
         """Keys that at least two nodes hold in a way that can match, with the number of holders and the first one."""
         first = self._nodes.select(F.col("node").alias("row"))
-        keys = self._sets.where("size(keys) > 0").select("row", "keys").join(first, "row", "left_semi").select(F.col("row").alias("node"), F.inline("keys"))
+        keys = self._sets.where("size(keys) > 0").select("row", "n_shingles", "keys").join(first, "row", "left_semi")
+        keys = keys.select(F.col("row").alias("node"), "n_shingles", F.inline("keys")).select("node", "key", F.expr("shiftleft(n_shingles, 32) | code").alias("code"))
         by_key = W.partitionBy("key")
-        deletion = F.col("code").bitwiseAND(2) != 0
+        deletion = _flag(DELETION)
         return (
             keys.withColumn("n_all", F.count("*").over(by_key)).where("n_all > 1")
             .withColumn("n_whole", F.sum(F.when(deletion, 0).otherwise(1)).over(by_key))
-            .withColumn("probed", F.max(F.col("code").bitwiseAND(1)).over(by_key))
+            .withColumn("probed", F.max(F.col("code").bitwiseAND(PROBE)).over(by_key))
             .withColumn("hub", F.min(F.when(~deletion, F.struct("node", _size("code").alias("size")))).over(by_key))
             .where("n_whole > 0 and probed = 1").drop("probed")
         )
 
     def _hub_pairs(self, shared: DataFrame) -> DataFrame:
         """Each holder of a whole-segment key with the first holder."""
-        size = _size("code")
-        fits = (F.least(size, F.col("hub.size")) * 100 >= F.greatest(size, F.col("hub.size")) * self.percent) & (F.col("node") != F.col("hub.node"))
-        return shared.where((F.col("code").bitwiseAND(2) == 0) & fits).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        size, hub = _size("code"), F.col("hub.size")
+        fits = (F.least(size, hub) * 100 >= F.greatest(size, hub) * self.percent) & (F.col("node") != F.col("hub.node"))
+        pairs = shared.where(~_flag(DELETION) & ~_flag(EMPTY) & fits).groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.least(size, hub).alias("size")).count()
+        return pairs.where(F.col("count") >= F.col("size") * HUB_SHARE).select("a", "b")
 
     def _cross_pairs(self, shared: DataFrame, merged: DataFrame) -> DataFrame:
         """Candidate pairs of different components, by the cheapest sufficient points of the larger set."""
@@ -220,8 +233,8 @@ class JaccardJoin:
         held = shared.drop("hub").join(merged.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
         apart = held.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
         held = materialise(held.join(apart, "key", "left_semi"), "apart")
-        deletion, probe = F.col("code").bitwiseAND(2) != 0, F.col("code").bitwiseAND(1) != 0
-        segment = F.shiftright(F.col("code").bitwiseAND((1 << 26) - 1), 2)
+        deletion, probe = _flag(DELETION), _flag(PROBE)
+        segment = F.shiftright(F.col("code").bitwiseAND((1 << 32) - 1), 3)
         starts = _starts(percent)
 
         def shape(sizes):
