@@ -268,9 +268,11 @@ class JaccardJoin:
             .where(~deletion | (F.col("second") == 1))
             .select("key", F.col("node").alias("a"), _size("code").alias("size_a"), F.col("group").alias("group_a"), deletion.alias("deletion_a"), "second")
         )
+        asks = materialise(asks, "asks")
         gives = held.select("key", F.col("node").alias("b"), _size("code").alias("size_b"), F.col("group").alias("group_b"), deletion.alias("deletion_b"))
-        groups = held.select("key", "group").distinct()
-        other = groups.select("key", F.col("group").alias("group_a")).join(groups.select("key", F.col("group").alias("group_b")), "key").where("group_a <> group_b")
+        # components meet before their members do, and only on keys that someone asks for
+        gives = gives.join(asks.select("key").distinct(), "key", "left_semi")
+        other = asks.select("key", "group_a").distinct().join(gives.select("key", "group_b").distinct(), "key").where("group_a <> group_b")
         smaller = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("b") < F.col("a")))
         return (
             asks.join(other, ["key", "group_a"]).join(gives, ["key", "group_b"])
