@@ -108,47 +108,52 @@ def segment_keys(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.
     return np.concatenate(keys).view(np.int64), np.concatenate(codes).astype(np.int32)
 
 
-_SETS = "doc_id long, n_shingles long, set_a long, set_b long, keys array<struct<key:long,code:int>>"
+def _identity(h: np.ndarray) -> tuple[int, int]:
+    """Two hashes that stand for a set."""
+    return int(np.sum(mix(h), dtype=np.uint64).view(np.int64)), int(np.sum(mix(h ^ np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64).view(np.int64))
 
 
-def _sets(k: int, percent: int, with_keys: bool):
-    item = pa.struct([("key", pa.int64()), ("code", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(item))])
-    #: up to this size only equal sets link, and those are one node
-    alone = next(n for n in range(1, 1000) if largest_difference(n + 1, n + 1, percent))
+def _sets(k: int):
+    """(doc_id, text) to (doc_id, n_shingles, set_a, set_b)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())])
 
     def run(parts):
         for part in slices(parts):
-            sizes, a, b, keys, codes, ends = [], [], [], [], [], [0]
-            for text in part.column(1).to_pylist():
+            out = [(len(h), *_identity(h)) for h in (shingles(t, k) for t in part.column(1).to_pylist())]
+            yield batches(schema, [part.column(0), *map(list, zip(*out, strict=True))])
+
+    return run
+
+
+def _keys(k: int, percent: int):
+    """(text, set_a, set_b, node) to the keys of the node; texts of another set that share the doc_id are left out."""
+    schema = pa.schema([("node", pa.int64()), ("key", pa.int64()), ("code", pa.int64())])
+
+    def run(parts):
+        for part in slices(parts):
+            nodes, keys, codes = [], [], []
+            for text, a, b, node in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 h = shingles(text, k)
-                sizes.append(len(h))
-                a.append(int(np.sum(mix(h), dtype=np.uint64).view(np.int64)))
-                b.append(int(np.sum(mix(h ^ np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64).view(np.int64)))
-                if with_keys and len(h) > alone:
-                    x, y = segment_keys(h, percent)
-                    keys.append(x)
-                    codes.append(y)
-                ends.append(ends[-1] + (len(keys[-1]) if with_keys and len(h) > alone else 0))
-            none = np.empty(0, np.int64)
-            pairs = pa.StructArray.from_arrays([np.concatenate(keys or [none]), np.concatenate(codes or [none]).astype(np.int32)], fields=list(item))
-            yield batches(schema, [part.column(0), sizes, a, b, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)])
+                if _identity(h) != (a, b):
+                    continue
+                key, code = segment_keys(h, percent)
+                nodes.append(np.full(len(key), node, np.int64))
+                keys.append(key)
+                codes.append(code.astype(np.int64) | len(h) << 32)
+            if keys:
+                yield batches(schema, [np.concatenate(nodes), np.concatenate(keys), np.concatenate(codes)])
 
     return run
 
 
 def _hashes(k: int):
+    """(doc_id, text) to (set_a, set_b, hashes)."""
     schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(parts):
         for part in slices(parts):
-            a, b, hashes = [], [], []
-            for text in part.column(1).to_pylist():
-                h = shingles(text, k)
-                a.append(int(np.sum(mix(h), dtype=np.uint64).view(np.int64)))
-                b.append(int(np.sum(mix(h ^ np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64).view(np.int64)))
-                hashes.append(h.view(np.int64))
-            yield batches(schema, [a, b, hashes])
+            found = [shingles(t, k) for t in part.column(1).to_pylist()]
+            yield batches(schema, [*map(list, zip(*map(_identity, found), strict=True)), [h.view(np.int64) for h in found]])
 
     return run
 
@@ -188,15 +193,12 @@ class JaccardJoin:
 
     def fit(self, docs: DataFrame) -> JaccardJoin:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        sets = texts.mapInArrow(_sets(self.k, self.percent, True), _SETS)
-        # the row numbers are fixed by being written
-        self._sets = materialise(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
-        nodes = (
-            self._sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
-            .agg(F.min(F.struct("doc_id", "row")).alias("least")).select("set_a", "set_b", F.col("least.doc_id").alias("first"), F.col("least.row").alias("node"))
-        )
-        self._nodes = materialise(nodes, "nodes")
-        shared = materialise(self._shared(), "keys")
+        self._sets = materialise(texts.mapInArrow(_sets(self.k), "doc_id long, n_shingles long, set_a long, set_b long"), "sets")
+        nodes = self._sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"))
+        # a node is called by its first doc_id; by a hash, if different sets have that doc_id
+        alone = F.count("*").over(W.partitionBy("first")) == 1
+        self._nodes = materialise(nodes.withColumn("node", F.when(alone, F.col("first")).otherwise(F.xxhash64("set_a", "set_b"))), "nodes")
+        shared = materialise(self._shared(texts), "keys")
         near = self._verified(self._hub_pairs(shared), texts)
         merged = components(near)
         cross = self._verified(self._cross_pairs(shared, merged), texts)
@@ -205,11 +207,18 @@ class JaccardJoin:
         self.membership = self._members()
         return self
 
-    def _shared(self) -> DataFrame:
+    def _shared(self, texts: DataFrame) -> DataFrame:
         """Keys that at least two nodes hold in a way that can match, with the number of holders and the first one."""
-        first = self._nodes.select(F.col("node").alias("row"))
-        keys = self._sets.where("size(keys) > 0").select("row", "n_shingles", "keys").join(first, "row", "left_semi")
-        keys = keys.select(F.col("row").alias("node"), "n_shingles", F.inline("keys")).select("node", "key", F.expr("shiftleft(n_shingles, 32) | code").alias("code"))
+        #: up to this size only equal sets link, and those are one node
+        alone = next(n for n in range(1, 1000) if largest_difference(n + 1, n + 1, self.percent)) if self.percent < 100 else 1 << 40
+        dealt = self._nodes.where(F.col("size") > alone).select(F.col("first").alias("doc_id"), "set_a", "set_b", "node")
+        dealt = texts.join(broadcast_if_small(dealt), "doc_id").select("text", "set_a", "set_b", "node")
+        keys = dealt.mapInArrow(_keys(self.k, self.percent), "node long, key long, code long")
+        repeated = self._sets.groupBy("doc_id", "set_a", "set_b").count().where("count > 1").select(F.col("doc_id").alias("first"), "set_a", "set_b")
+        repeated = self._nodes.join(repeated, ["first", "set_a", "set_b"]).select("node")
+        if repeated.limit(1).count():  # rows that repeat a first document bring its keys again
+            twice = broadcast_if_small(repeated)
+            keys = keys.join(twice, "node", "left_anti").unionByName(keys.join(twice, "node", "left_semi").distinct())
         by_key = W.partitionBy("key")
         deletion = _flag(DELETION)
         return (
