@@ -158,6 +158,23 @@ def _hashes(k: int):
     return run
 
 
+def _parities(k: int):
+    """(doc_id, text) to (set_a, set_b, p): for each of ``PARITIES`` classes of shingles, whether the set holds an odd number.
+
+    Every element in which two sets differ turns one parity at most, so the number of different parities is never more
+    than that of different elements.
+    """
+    schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("p", pa.list_(pa.int64()))])
+
+    def run(parts):
+        for part in slices(parts):
+            found = [shingles(t, k) for t in part.column(1).to_pylist()]
+            odd = [np.packbits((np.bincount((h >> np.uint64(20)).astype(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1).astype(bool)).view(np.int64) for h in found]
+            yield batches(schema, [*map(list, zip(*map(_identity, found), strict=True)), odd])
+
+    return run
+
+
 def _size(code: str) -> Column:
     return F.shiftright(code, 32)
 
@@ -171,6 +188,10 @@ PROBE, DELETION, EMPTY = 1, 2, 4
 #: In the first comparison of a key's holders with the first of them, two sets are compared if this share of the smaller
 #: one's size is the number of keys that say so.  The second comparison does not depend on it.
 HUB_SHARE = 1 / 16
+#: Such comparisons at most, each with other first holders; all they leave to the second is work.
+HUB_ROUNDS = 3
+#: Keys with more holders are joined under the parity bound as well; its number of classes.
+CROWDED, PARITIES = 64, 1024
 
 
 class JaccardJoin:
@@ -199,9 +220,14 @@ class JaccardJoin:
         alone = F.count("*").over(W.partitionBy("first")) == 1
         self._nodes = materialise(nodes.withColumn("node", F.when(alone, F.col("first")).otherwise(F.xxhash64("set_a", "set_b"))), "nodes")
         shared = materialise(self._shared(texts), "keys")
-        near = self._verified(self._hub_pairs(shared), texts)
-        merged = components(near)
-        cross = self._verified(self._cross_pairs(shared, merged), texts)
+        near, merged = None, None
+        for turn in range(HUB_ROUNDS):
+            found = self._verified(self._hub_pairs(shared, merged, turn), texts)
+            near = found if near is None else near.unionByName(found)
+            merged = components(near)
+            if not found.limit(1).count():
+                break
+        cross = self._verified(self._cross_pairs(shared, merged, texts), texts)
         self.edges = materialise(near.unionByName(cross), "links")
         self._components = components(self.edges)
         self.membership = self._members()
@@ -225,21 +251,24 @@ class JaccardJoin:
             keys.withColumn("n_all", F.count("*").over(by_key)).where("n_all > 1")
             .withColumn("n_whole", F.sum(F.when(deletion, 0).otherwise(1)).over(by_key))
             .withColumn("probed", F.max(F.col("code").bitwiseAND(PROBE)).over(by_key))
-            .withColumn("hub", F.min(F.when(~deletion, F.struct("node", _size("code").alias("size")))).over(by_key))
             .where("n_whole > 0 and probed = 1").drop("probed")
         )
 
-    def _hub_pairs(self, shared: DataFrame) -> DataFrame:
-        """Each holder of a whole-segment key with the first holder."""
-        size, hub = _size("code"), F.col("hub.size")
-        fits = (F.least(size, hub) * 100 >= F.greatest(size, hub) * self.percent) & (F.col("node") != F.col("hub.node"))
-        pairs = shared.where(~_flag(DELETION) & ~_flag(EMPTY) & fits).groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.least(size, hub).alias("size")).count()
+    def _hub_pairs(self, shared: DataFrame, merged: DataFrame | None, turn: int) -> DataFrame:
+        """Each holder of a whole-segment key with one of them, another one in each turn, unless they are connected."""
+        held = shared.where(~_flag(DELETION) & ~_flag(EMPTY)).select("node", "key", _size("code").alias("size"), F.col("node").alias("group"))
+        if merged is not None:
+            held = held.drop("group").join(merged.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+        hubs = held.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), "node", "size", "group")).alias("hub"))
+        size, hub = F.col("size"), F.col("hub.size")
+        fits = (F.least(size, hub) * 100 >= F.greatest(size, hub) * self.percent) & (F.col("group") != F.col("hub.group"))
+        pairs = held.join(hubs, "key").where(fits).groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.least(size, hub).alias("size")).count()
         return pairs.where(F.col("count") >= F.col("size") * HUB_SHARE).select("a", "b")
 
-    def _cross_pairs(self, shared: DataFrame, merged: DataFrame) -> DataFrame:
+    def _cross_pairs(self, shared: DataFrame, merged: DataFrame, texts: DataFrame) -> DataFrame:
         """Candidate pairs of different components, by the cheapest sufficient points of the larger set."""
         percent = self.percent
-        held = shared.drop("hub").join(merged.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+        held = shared.join(merged.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
         apart = held.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
         held = materialise(held.join(apart, "key", "left_semi"), "apart")
         deletion, probe = _flag(DELETION), _flag(PROBE)
@@ -275,31 +304,40 @@ class JaccardJoin:
         asks = (
             held.where(probe).withColumn("segment", segment).join(chosen, ["node", "segment"])
             .where(~deletion | (F.col("second") == 1))
-            .select("key", F.col("node").alias("a"), _size("code").alias("size_a"), F.col("group").alias("group_a"), deletion.alias("deletion_a"), "second")
+            .select("key", F.col("node").alias("a"), _size("code").alias("size_a"), F.col("group").alias("group_a"), deletion.alias("deletion_a"), "second", "n_all")
         )
         asks = materialise(asks, "asks")
         gives = held.select("key", F.col("node").alias("b"), _size("code").alias("size_b"), F.col("group").alias("group_b"), deletion.alias("deletion_b"))
-        # components meet before their members do, and only on keys that someone asks for
-        gives = gives.join(asks.select("key").distinct(), "key", "left_semi")
-        other = asks.select("key", "group_a").distinct().join(gives.select("key", "group_b").distinct(), "key").where("group_a <> group_b")
         smaller = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("b") < F.col("a")))
-        return (
-            asks.join(other, ["key", "group_a"]).join(gives, ["key", "group_b"])
-            .where(smaller & (F.col("size_b") * 100 >= F.col("size_a") * percent))
-            .where(~F.col("deletion_a") & (~F.col("deletion_b") | (F.col("second") == 1)) | F.col("deletion_a") & ~F.col("deletion_b"))
-            .select("a", "b").distinct()
-        )
+        fits = smaller & (F.col("size_b") * 100 >= F.col("size_a") * percent) & (
+            ~F.col("deletion_a") & (~F.col("deletion_b") | (F.col("second") == 1)) | F.col("deletion_a") & ~F.col("deletion_b"))
+        few, many = asks.where(F.col("n_all") <= CROWDED).drop("n_all"), asks.where(F.col("n_all") > CROWDED).drop("n_all")
+        # components meet before their members do, and only on keys that someone asks for
+        few_gives = gives.join(few.select("key").distinct(), "key", "left_semi")
+        other = few.select("key", "group_a").distinct().join(few_gives.select("key", "group_b").distinct(), "key").where("group_a <> group_b")
+        pairs = few.join(other, ["key", "group_a"]).join(few_gives, ["key", "group_b"]).where(fits).select("a", "b")
+        if not many.limit(1).count():
+            return pairs.distinct()
+        many_gives = materialise(gives.join(many.select("key").distinct(), "key", "left_semi"), "crowded")
+        parity = self._of_nodes(many.select(F.col("a").alias("node")).union(many_gives.select(F.col("b").alias("node"))).distinct(), texts, _parities(self.k), "p")
+        words_ = range(PARITIES // 64)
+        of = lambda end: parity.select(F.col("node").alias(end), *[F.col("p")[i].alias(f"{end}{i}") for i in words_])
+        differ = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in words_)
+        bound = F.expr(f"((size_a + size_b) * {100 - percent}) div {100 + percent}")
+        crowded = many.join(of("a"), "a").join(many_gives.join(of("b"), "b"), "key").where((F.col("group_a") != F.col("group_b")) & fits & (differ <= bound)).select("a", "b")
+        return pairs.union(crowded).distinct()
+
+    def _of_nodes(self, nodes: DataFrame, texts: DataFrame, step, column: str) -> DataFrame:
+        """(node, column): what ``step`` makes of the nodes' texts."""
+        kept = materialise(self._nodes.join(nodes, "node", "left_semi"), "wanted")
+        ids = broadcast_if_small(kept.select(F.col("first").alias("doc_id")).distinct())
+        found = texts.join(ids, "doc_id", "left_semi").mapInArrow(step, f"set_a long, set_b long, {column} array<long>")
+        return materialise(found.dropDuplicates(["set_a", "set_b"]).join(kept, ["set_a", "set_b"]).select("node", column), column)
 
     def _verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = materialise(self._nodes.join(wanted, "node", "left_semi"), "wanted")
-        ids = broadcast_if_small(wanted.select(F.col("first").alias("doc_id")).distinct())
-        hashes = (
-            texts.join(ids, "doc_id", "left_semi").mapInArrow(_hashes(self.k), "set_a long, set_b long, hashes array<long>")
-            .dropDuplicates(["set_a", "set_b"]).join(wanted, ["set_a", "set_b"]).select("node", "hashes")
-        )
-        hashes = materialise(hashes, "hashes")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        hashes = self._of_nodes(nodes, texts, _hashes(self.k), "hashes")
         both = F.size(F.array_intersect("x", "y"))
         return materialise(
             pairs.join(hashes.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(hashes.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
