@@ -29,7 +29,7 @@ from harmonium.llm.common import batches, read, slices
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Chunks a worker remembers; on reaching it, the older half is forgotten.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Loss of a byte against the rarest piece.
 BYTE_LOSS = 10.0
 
@@ -46,16 +46,18 @@ class PieceModel:
         ranked = all(float(sp.get_score(i)).is_integer() for i in whole)
         norm = math.log(math.fsum(1 / (r + 2.7) for r in range(len(whole))))
         self.bytes_of: list[bytes] = [b""] * size
-        self.pieces: dict[str, tuple[int, float]] = {}
+        self.pieces: dict[str, tuple[int, float, tuple[int]]] = {}
         for r, i in enumerate(whole):
             piece = sp.id_to_piece(i).replace("▁", " ")
-            self.pieces[piece] = (i, -math.log(r + 2.7) - norm if ranked else float(sp.get_score(i)))
+            self.pieces[piece] = (i, -math.log(r + 2.7) - norm if ranked else float(sp.get_score(i)), (i,))
             self.bytes_of[i] = piece.encode()
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
-        self.byte_score = min(s for _, s in self.pieces.values()) - BYTE_LOSS
+        self.byte_score = min(s for _, s, _ in self.pieces.values()) - BYTE_LOSS
         self.longest = max(map(len, self.pieces))
+        #: beginnings of pieces
+        self.starts = {p[:n] for p in self.pieces for n in range(1, len(p))}
         if any(re.search("[^ ] ", p) for p in self.pieces):
             raise ValueError("the vocabulary has pieces with a space after other characters")
         # characters of no piece end a chunk
@@ -75,7 +77,7 @@ class PieceModel:
             for j in range(i + 1, min(n, i + longest) + 1):
                 found = get(chunk[i:j])
                 if found:
-                    ends[j].append((i, (found[0],), found[1]))
+                    ends[j].append((i, found[2], found[1]))
         return ends
 
     @staticmethod
@@ -94,31 +96,51 @@ class PieceModel:
         known = self._young.get(chunk)
         if known is not None:
             return known
-        known = self._old.get(chunk)
-        if known is None:
-            ends = self.edges(chunk)
-            score, back = self.forward(ends)
-            rest = [-math.inf] * len(chunk) + [0.0]
-            ids: list[tuple[int, ...]] = []
-            at, path = len(chunk), set()
-            while at:
-                path.add((back[at][0], at))
-                ids.append(back[at][1])
-                at = back[at][0]
-            second = -math.inf
-            for j in range(len(chunk), 0, -1):
-                r = rest[j]
-                for i, _, s in ends[j]:
-                    rest[i] = max(rest[i], r + s)
-                    if (i, j) not in path and score[i] + s + r > second:
-                        second = score[i] + s + r
-            known = (tuple(x for part in reversed(ids) for x in part), score[-1], score[-1] - second)
+        known = self._old.get(chunk) or self._best(chunk)
         if len(self._young) >= REMEMBERED // 2:
             self._young, self._old = {}, self._young
         if len(chunk) <= 64:
             self._young[chunk] = known
         return known
 
+    def _best(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
+        n, get, longest, start = len(chunk), self.pieces.get, self.longest, self.starts
+        low = -math.inf
+        score, came, ids_at = [0.0] + [low] * n, [0] * (n + 1), [()] * (n + 1)
+        edges = []
+        for i in range(n):
+            here = score[i]
+            if chunk[i] not in self.pieces:
+                ids = tuple(self.byte_ids[b] for b in chunk[i].encode("utf-8", "surrogatepass"))
+                s = self.byte_score * len(ids)
+                edges.append((i, i + 1, s))
+                if here + s > score[i + 1]:
+                    score[i + 1], came[i + 1], ids_at[i + 1] = here + s, i, ids
+            for j in range(i + 1, min(n, i + longest) + 1):
+                piece = chunk[i:j]
+                found = get(piece)
+                if found:
+                    s = found[1]
+                    edges.append((i, j, s))
+                    if here + s > score[j]:
+                        score[j], came[j], ids_at[j] = here + s, i, found[2]
+                elif piece not in start:
+                    break
+        follows, parts, at = [0] * n, [], n
+        while at:
+            parts.append(ids_at[at])
+            follows[came[at]] = at
+            at = came[at]
+        # an alternative path has an edge that the best one lacks; edges come in the order of their start
+        rest, second = [low] * n + [0.0], low
+        for i, j, s in reversed(edges):
+            s += rest[j]
+            if s > rest[i]:
+                rest[i] = s
+            if follows[i] != j and score[i] + s > second:
+                second = score[i] + s
+        return tuple(x for part in reversed(parts) for x in part), score[n], score[n] - second
+
     def search(self, ends: list, n: int) -> list[tuple[float, list]]:
         """The ``n`` best paths of a lattice: (score, edges as (start, end, ids)), best first."""
         ahead, _ = self.forward(ends)
@@ -140,7 +162,8 @@ class PieceModel:
     def encode(self, text: str | None, n: int = 1) -> list[tuple[float, list[int]]]:
         """Up to ``n`` best segmentations of the whole text: (score, ids); null and empty: one of no piece."""
         chunks = self.chunks(" " + text) if text else []
-        parts = [self.best(c) for c in chunks]
+        get, best = self._young.get, self.best
+        parts = [get(c) or best(c) for c in chunks]
         ids = [x for part in parts for x in part[0]]
         total = math.fsum(part[1] for part in parts)
         loose = heapq.nsmallest(n - 1, ((p[2], k) for k, p in enumerate(parts) if p[2] < math.inf)) if n > 1 else []
