@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from harmonium.session import materialise, tune
 
-__all__ = ["batches", "broadcast_if_small", "materialise", "mix", "read", "slices", "word_hashes", "words"]
+__all__ = ["batches", "broadcast_if_small", "materialise", "mix", "prepared", "read", "slices", "word_hashes", "words"]
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows of a Python step that are worked on together.
@@ -21,8 +21,17 @@ SLICE_ROWS = 512
 BROADCAST_ROWS = 500_000
 
 
+#: Rows of an Arrow batch: texts can be long, and every task holds a batch on either side of Python.
+ARROW_ROWS = "1024"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return spark
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from harmonium.llm.common import DOCUMENT_COLUMNS, batches, broadcast_if_small, materialise, mix, read, slices, word_hashes, words
+from harmonium.llm.common import DOCUMENT_COLUMNS, batches, broadcast_if_small, materialise, mix, prepared, read, slices, word_hashes, words
 from harmonium.llm.components import components
 
 #: Shingle length in words, and the threshold in per cent.
@@ -364,6 +364,7 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Documents without words are in no group and stay; so do rows without a doc_id.  Rows that repeat a doc_id are
     reduced to one if they are equal in their text too.
     """
+    prepared(spark)
     docs = docs.select(*DOCUMENT_COLUMNS)
     members = JaccardJoin().fit(docs).membership
     gone = members.where("doc_id <> component_id").select("doc_id").distinct()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmonium.llm.common import DOCUMENT_COLUMNS, batches, broadcast_if_small, materialise, read, slices
+from harmonium.llm.common import DOCUMENT_COLUMNS, batches, broadcast_if_small, materialise, prepared, read, slices
 
 BUCKET_BITS = 14
 #: Neighbouring trigrams overlap, so their joint evidence is a third of the sum.
@@ -32,7 +32,7 @@ TEMPER = 1 / 3
 #: Pseudo-counts: of a trigram bucket, of a declared value or address, of the wider group in a host's prior.
 SMOOTH_TEXT, SMOOTH_VALUE, SMOOTH_HOST = 0.5, 0.5, 10.0
 #: Prior of text in no known language.
-UNKNOWN_PRIOR = 1e-3
+UNKNOWN_PRIOR = 1e-6
 UNKNOWN = "und"
 
 _LETTERS = None
@@ -229,6 +229,7 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, with the language found in ``lang``; texts in none are dropped."""
+    prepared(spark)
     docs = document_records(docs.select(*DOCUMENT_COLUMNS))
     found = LanguageIdentifier().fit(docs).transform(docs).where(F.col("language.lang") != UNKNOWN)
     return found.withColumn("lang", F.col("language.lang")).select(*DOCUMENT_COLUMNS)

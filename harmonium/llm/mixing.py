@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from harmonium.llm.common import DOCUMENT_COLUMNS, broadcast_if_small, read
+from harmonium.llm.common import DOCUMENT_COLUMNS, broadcast_if_small, prepared, read
 
 #: Documents of a block, and hexadecimal digits of the digest by which a source is cut into slices.
 BLOCK_DOCS, SLICE_DIGITS = 16, 3
@@ -94,6 +94,7 @@ def op2_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the order of the mixture; none is dropped."""
+    prepared(spark)
     return mixed(docs.select(*DOCUMENT_COLUMNS)).orderBy("slot", "place", "source", "doc_id").select(*DOCUMENT_COLUMNS)
 
 

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmonium.llm.common import batches, read, slices
+from harmonium.llm.common import batches, prepared, read, slices
 
 #: Vocabulary file; a parameter of everything below.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Chunks a worker remembers; on reaching it, the older half is forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Loss of a byte against the rarest piece.
 BYTE_LOSS = 10.0
 
@@ -268,6 +268,7 @@ def op3_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as the ids of its best segmentation, and the scores of the ``N_BEST`` best."""
+    prepared(spark)
     rows = docs.select("doc_id", "source", "lang", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("ids", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("decoded_equal", pa.bool_())])
 
