@@ -34,6 +34,8 @@ SMOOTH_TEXT, SMOOTH_VALUE, SMOOTH_HOST = 0.5, 0.5, 10.0
 #: Prior of text in no known language.
 UNKNOWN_PRIOR = 1e-6
 UNKNOWN = "und"
+#: A text is rejected if it is in no known language with at least this posterior; a doubtful one keeps its declaration.
+SURE = 0.999
 
 _LETTERS = None
 _LANGUAGE = r"^[a-z]{2,3}$"
@@ -215,6 +217,10 @@ def page_records(pages: DataFrame) -> DataFrame:
                         blank(F.substring_index(address, ".", -2)).alias("domain"), blank(address).alias("host"))
 
 
+def _accepted() -> Column:
+    return (F.col("language.lang") != UNKNOWN) | (F.col("language.confidence") < SURE)
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document and every page (doc_id or page_id is null), and whether it is accepted."""
     docs = document_records(read(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
@@ -223,13 +229,14 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     of_pages = of_docs.like(html=True).fit_context(pages)
     found = lambda df, kind, key, other: df.select(
         F.lit(kind).alias("kind"), F.col(key), F.lit(None).cast("long").alias(other), "declared", F.col("language.lang").alias("lang"), F.round("language.confidence", 6).alias("confidence"),
-        F.col("language.trigrams").alias("n_trigrams"), (F.col("language.lang") != UNKNOWN).alias("accepted"))
+        F.col("language.trigrams").alias("n_trigrams"), _accepted().alias("accepted"))
     return found(of_docs.transform(docs), "document", "doc_id", "page_id").unionByName(found(of_pages.transform(pages), "page", "page_id", "doc_id"))
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language, with the language found in ``lang``; texts in none are dropped."""
+    """Documents with the language found in ``lang``; texts that are surely in no known language are dropped."""
     prepared(spark)
     docs = document_records(docs.select(*DOCUMENT_COLUMNS))
-    found = LanguageIdentifier().fit(docs).transform(docs).where(F.col("language.lang") != UNKNOWN)
-    return found.withColumn("lang", F.col("language.lang")).select(*DOCUMENT_COLUMNS)
+    found = LanguageIdentifier().fit(docs).transform(docs).where(_accepted())
+    lang = F.when(F.col("language.lang") != UNKNOWN, F.col("language.lang")).otherwise(F.coalesce("declared", F.lit(UNKNOWN)))
+    return found.withColumn("lang", lang).select(*DOCUMENT_COLUMNS)
