@@ -99,10 +99,17 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """(column, distinct_values), nulls not counted.
 
     Distinct (column, value) pairs are formed first, which combines before
-    the shuffle and spreads one column's values over all tasks.
+    the shuffle and spreads one column's values over all tasks.  -0.0 and 0.0
+    are one value, NaN is a missing one.
     """
     columns = list(columns or df.columns)
-    cells = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    kinds = dict(df.dtypes)
+
+    def value(c: str):
+        plain = F.when(~F.isnan(c), F.col(c) + F.lit(0).cast(kinds[c])) if kinds[c] in ("float", "double") else F.col(c)
+        return plain.cast("string").alias(c)
+
+    cells = df.select(*[value(c) for c in columns]).unpivot([], columns, "column", "value")
     pairs = cells.filter(F.col("value").isNotNull()).distinct().groupBy("column").agg(F.count("*").alias("n"))
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column STRING")
     return names.join(pairs, "column", "left").select("column", F.coalesce("n", F.lit(0)).cast("bigint").alias("distinct_values"))

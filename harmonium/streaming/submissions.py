@@ -100,12 +100,16 @@ class RatingStore:
         return users.join(known, "user_id", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
     def delete(self, users: DataFrame, epoch: int, deleted_at: Column | None = None) -> None:
-        """Mark users as deleted; an older submission does not come back."""
+        """Mark users as deleted; an older submission does not come back.
+
+        Deletions have parts of their own (negative numbers), so that they and
+        the stream's batches never overwrite each other.
+        """
         marks = users.select(
             "user_id", (deleted_at if deleted_at is not None else F.current_timestamp()).alias("submitted_at"),
             F.lit(9223372036854775807).cast("bigint").alias("submission_id"),
             F.lit(None).cast("array<struct<artist_id: bigint, rank: int>>").alias("ratings"))
-        self.save(marks, epoch)
+        self.save(marks, -1 - epoch)
 
     def compact(self, path: str) -> "RatingStore":
         """Write the newest rows, deletions included, as the first part of a new store."""
