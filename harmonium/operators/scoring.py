@@ -78,6 +78,14 @@ def _matrix(row: pa.RecordBatch, i: int, prefix: str) -> tuple[np.ndarray, np.nd
     return flat.reshape(len(ids), -1), bias, ids
 
 
+def _ordered_product(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``u @ v.T``, added up in the order of the components, as ``dot`` does."""
+    total = np.zeros((len(u), len(v)))
+    for x, y in zip(u.T, v.T, strict=True):
+        total += np.multiply.outer(x, y)
+    return total
+
+
 def _positions(ids: pa.Array, wanted: pa.Array) -> np.ndarray:
     """Position of each wanted id in ``ids``."""
     import pyarrow.compute as pc
@@ -151,11 +159,13 @@ def user_auc(users: DataFrame, items: DataFrame, truth: DataFrame, user_col: str
 
     Each block pair only returns, per user, how many of its items score below
     the user's positives; positives among themselves always contribute P * P / 2.
+    Scores are compared as they are, at any size: both sides add the products in
+    the order of the components, so one pair has the same bits on both.  A user's
+    own bias moves all of the user's scores alike and is left out.
     """
-    digits = 9  # scores of one pair may differ in the last bits between two ways of summing
     known = _with_bias(users, user_col).withColumnsRenamed({"factors": "uf", "bias": "ub"})
     listed = _with_bias(items, item_col).withColumnsRenamed({"factors": "vf", "bias": "vb"})
-    value = F.round(dot("uf", "vf") + F.col("ub") + F.col("vb"), digits)
+    value = dot("uf", "vf") + F.col("vb")
     positives = truth.select(user_col, item_col).distinct().join(known, user_col).join(listed, item_col)
     positives = materialise(positives.select(user_col, item_col, value.alias("score")), "positives")
     counts = positives.groupBy(user_col).agg(F.count("*").alias("p"))
@@ -178,9 +188,9 @@ def user_auc(users: DataFrame, items: DataFrame, truth: DataFrame, user_col: str
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                u, u_bias, u_ids = _matrix(batch, i, "u")
+                u, _, u_ids = _matrix(batch, i, "u")
                 v, v_bias, _ = _matrix(batch, i, "i")
-                scores = np.sort(np.round(u @ v.T + v_bias + u_bias[:, None], digits), axis=1)
+                scores = np.sort(_ordered_product(u, v) + v_bias, axis=1)
                 rows = _positions(u_ids, batch.column("pu")[i].values)
                 ends = np.cumsum(batch.column("pn")[i].values.to_numpy(zero_copy_only=False))
                 flat = batch.column("ps")[i].values.to_numpy(zero_copy_only=False)

@@ -78,19 +78,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, for tables that many passes will read.
-
-    A table with fewer scan tasks than cores is small, and one task would do
-    all the work of every pass.  It is written once in more parts.  A large
-    table already has more tasks than cores and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > cores:
-        return df
-    return materialise(df.repartition(cores), "spread")
-
-
 def drop_materialised(spark: SparkSession) -> bool:
     """Delete every table this application materialised."""
     root = f"{shared_folder(spark)}/harmonium/{spark.sparkContext.applicationId}"

@@ -20,3 +20,30 @@ def test_a_batch_does_not_undo_a_deletion(spark, tmp_path):
     store.delete(spark.createDataFrame([("u",)], "user_id string"), 2)
     store.save(other, 2)
     assert [r.user_id for r in store.load().collect()] == ["v"]
+
+
+def test_auc_of_very_small_scores_and_exact_ties(spark):
+    from harmonium.operators import factors, metrics, scoring
+
+    users = spark.createDataFrame([(1, [1e-6, 0.0], 5.0), (2, [0.0, 1.0], 0.0)], "userID int, factors array<double>, bias double")
+    items = spark.createDataFrame([(i, [1e-4 * i, 0.1], 0.0) for i in (1, 2, 3)], "artistID int, factors array<double>, bias double")
+    truth = spark.createDataFrame([(1, 3), (2, 1)], "userID int, artistID int")
+    got = {r.userID: r.auc for r in scoring.user_auc(users, items, truth).collect()}
+    assert got == {1: 1.0, 2: 0.5}
+    value = factors.FactorModel(users, items).evaluate(truth, (metrics.AUC(), metrics.RecallAtK(3)), 3)
+    assert {r.metric: r.value for r in value.collect()} == {"auc": 0.75, "recall@3": 1.0}
+
+
+def test_auc_ties_across_blocks_have_the_same_bits(spark, monkeypatch):
+    import random
+
+    from harmonium.operators import scoring
+
+    monkeypatch.setattr(scoring, "USER_BLOCK", 3)
+    monkeypatch.setattr(scoring, "ITEM_BLOCK", 2)
+    rng = random.Random(5)
+    same = [rng.gauss(0, 1e-5) for _ in range(33)]
+    users = spark.createDataFrame([(u, [rng.gauss(0, 1) for _ in same]) for u in range(8)], "userID int, factors array<double>")
+    items = spark.createDataFrame([(i, same) for i in range(11)], "artistID int, factors array<double>")
+    truth = spark.createDataFrame([(u, u) for u in range(8)], "userID int, artistID int")
+    assert {r.auc for r in scoring.user_auc(users, items, truth).collect()} == {0.5}
