@@ -5,6 +5,7 @@ The same column expressions run on batches and streams.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,8 +68,9 @@ def latest_per_user(submissions: DataFrame) -> DataFrame:
 class RatingStore:
     """A Parquet folder with one part per micro-batch.
 
-    A batch writes only its own users, under its epoch, so a replayed batch
-    replaces itself and a restart loses nothing.  Reading keeps the newest
+    A batch writes only its own users, under the run it belongs to and its epoch,
+    so a replayed batch replaces itself, and a stream with a new checkpoint, which
+    counts from 0 again, replaces nothing.  Reading keeps the newest
     row per user; ``compact`` folds all parts into one.
     """
 
@@ -78,12 +80,12 @@ class RatingStore:
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def save(self, batch: DataFrame, epoch: int) -> None:
+    def save(self, batch: DataFrame, epoch: int, run: str = "direct") -> None:
         rows = latest_per_user(batch.select(*self.columns))
-        rows.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/run={run}/epoch={epoch}")
 
     def _parts(self) -> DataFrame:
-        schema = "user_id STRING, submitted_at TIMESTAMP, submission_id BIGINT, ratings ARRAY<STRUCT<artist_id: BIGINT, rank: INT>>, epoch BIGINT"
+        schema = "user_id STRING, submitted_at TIMESTAMP, submission_id BIGINT, ratings ARRAY<STRUCT<artist_id: BIGINT, rank: INT>>, run STRING, epoch BIGINT"
         sc = self.spark.sparkContext
         root = sc._jvm.org.apache.hadoop.fs.Path(self.path)
         if not root.getFileSystem(sc._jsc.hadoopConfiguration()).exists(root):
@@ -92,7 +94,7 @@ class RatingStore:
 
     def load(self) -> DataFrame:
         """The newest submission per user; deleted users are left out."""
-        return latest_per_user(self._parts().drop("epoch")).filter(F.col("ratings").isNotNull())
+        return latest_per_user(self._parts().drop("run", "epoch")).filter(F.col("ratings").isNotNull())
 
     def has_ratings(self, users: DataFrame) -> DataFrame:
         """Requested users with ``exists``."""
@@ -114,7 +116,7 @@ class RatingStore:
     def compact(self, path: str) -> "RatingStore":
         """Write the newest rows, deletions included, as the first part of a new store."""
         target = RatingStore(self.spark, path)
-        target.save(self._parts().drop("epoch"), 0)
+        target.save(self._parts().drop("run", "epoch"), 0)
         return target
 
 
@@ -127,11 +129,13 @@ def run_store(submissions: DataFrame, survey: DataFrame | Sequence[int], store:
               rejected_path: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Validate a stream of submissions into the store, and rejected ones into their own folder."""
     checked = validate(submissions, survey)
+    # one checkpoint is one run: restarts keep its name, a new checkpoint gets another
+    run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, epoch: int) -> None:
-        store.save(batch.filter("valid"), epoch)
+        store.save(batch.filter("valid"), epoch, run)
         if rejected_path:
-            batch.filter(~F.col("valid")).write.mode("overwrite").parquet(f"{rejected_path}/epoch={epoch}")
+            batch.filter(~F.col("valid")).write.mode("overwrite").parquet(f"{rejected_path}/run={run}/epoch={epoch}")
 
     return (
         checked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -47,3 +47,20 @@ def test_auc_ties_across_blocks_have_the_same_bits(spark, monkeypatch):
     items = spark.createDataFrame([(i, same) for i in range(11)], "artistID int, factors array<double>")
     truth = spark.createDataFrame([(u, u) for u in range(8)], "userID int, artistID int")
     assert {r.auc for r in scoring.user_auc(users, items, truth).collect()} == {0.5}
+
+
+def test_a_new_checkpoint_does_not_replace_older_batches(spark, tmp_path):
+    import json
+
+    from harmonium.streaming import submissions
+
+    store = RatingStore(spark, str(tmp_path / "store"))
+    for i, user in enumerate(["u", "v"]):
+        folder = tmp_path / f"in{i}"
+        folder.mkdir()
+        line = {"submission_id": i, "user_id": user, "submitted_at": "2024-01-01T00:00:00Z", "ratings": [{"artist_id": 1, "rank": 1}]}
+        (folder / "a.json").write_text(json.dumps(line))
+        for _ in range(2):
+            submissions.run_store(submissions.stream_submissions(spark, str(folder)), [1], store, str(tmp_path / f"check{i}")).awaitTermination()
+    assert sorted(r.user_id for r in store.load().collect()) == ["u", "v"]
+    assert store.compact(str(tmp_path / "compact")).load().count() == 2
