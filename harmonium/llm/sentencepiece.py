@@ -18,7 +18,9 @@ import hashlib
 import heapq
 import math
 import re
+from collections.abc import Iterable
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +48,7 @@ class PieceModel:
         ranked = all(float(sp.get_score(i)).is_integer() for i in whole)
         norm = math.log(math.fsum(1 / (r + 2.7) for r in range(len(whole))))
         self.bytes_of: list[bytes] = [b""] * size
-        self.pieces: dict[str, tuple[int, float, tuple[int]]] = {}
+        self.pieces: dict[str, tuple[int, float, tuple[int, ...]]] = {}
         for r, i in enumerate(whole):
             piece = sp.id_to_piece(i).replace("▁", " ")
             self.pieces[piece] = (i, -math.log(r + 2.7) - norm if ranked else float(sp.get_score(i)), (i,))
@@ -56,8 +58,12 @@ class PieceModel:
             self.bytes_of[i] = bytes([b])
         self.byte_score = min(s for _, s, _ in self.pieces.values()) - BYTE_LOSS
         self.longest = max(map(len, self.pieces))
-        #: beginnings of pieces
-        self.starts = {p[:n] for p in self.pieces for n in range(1, len(p))}
+        self.chars = frozenset(p for p in self.pieces if len(p) == 1)
+        #: finds all pieces in a text, in the order of their last character
+        self.finder = ahocorasick.Automaton()
+        for piece, (_, score, ids) in self.pieces.items():
+            self.finder.add_word(piece, (len(piece), score, ids))
+        self.finder.make_automaton()
         if any(re.search("[^ ] ", p) for p in self.pieces):
             raise ValueError("the vocabulary has pieces with a space after other characters")
         # characters of no piece end a chunk
@@ -66,18 +72,23 @@ class PieceModel:
         self._young: dict[str, tuple] = {}
         self._old: dict[str, tuple] = {}
 
+    def spelled(self, char: str) -> tuple[float, tuple[int, ...]]:
+        """(score, ids) of a character as its bytes."""
+        ids = tuple(self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass"))
+        return self.byte_score * len(ids), ids
+
+    def matches(self, chunk: str) -> Iterable[tuple[int, tuple[int, float, tuple[int, ...]]]]:
+        """(last position, (length, score, ids)) of the pieces and spelled characters of a chunk, by last position."""
+        if self.chars.issuperset(chunk):
+            return self.finder.iter(chunk)
+        spelled = [(i, (1, *self.spelled(c))) for i, c in enumerate(chunk) if c not in self.chars]
+        return heapq.merge(self.finder.iter(chunk), spelled, key=lambda match: match[0])
+
     def edges(self, chunk: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end position: (start, ids, score) of the pieces that end there."""
-        n, get, longest = len(chunk), self.pieces.get, self.longest
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            if get(chunk[i]) is None:
-                ids = tuple(self.byte_ids[b] for b in chunk[i].encode("utf-8", "surrogatepass"))
-                ends[i + 1].append((i, ids, self.byte_score * len(ids)))
-            for j in range(i + 1, min(n, i + longest) + 1):
-                found = get(chunk[i:j])
-                if found:
-                    ends[j].append((i, found[2], found[1]))
+        ends: list[list] = [[] for _ in range(len(chunk) + 1)]
+        for last, (length, score, ids) in self.matches(chunk):
+            ends[last + 1].append((last + 1 - length, ids, score))
         return ends
 
     @staticmethod
@@ -104,42 +115,23 @@ class PieceModel:
         return known
 
     def _best(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
-        n, get, longest, start = len(chunk), self.pieces.get, self.longest, self.starts
-        low = -math.inf
-        score, came, ids_at = [0.0] + [low] * n, [0] * (n + 1), [()] * (n + 1)
-        edges = []
-        for i in range(n):
-            here = score[i]
-            if chunk[i] not in self.pieces:
-                ids = tuple(self.byte_ids[b] for b in chunk[i].encode("utf-8", "surrogatepass"))
-                s = self.byte_score * len(ids)
-                edges.append((i, i + 1, s))
-                if here + s > score[i + 1]:
-                    score[i + 1], came[i + 1], ids_at[i + 1] = here + s, i, ids
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = chunk[i:j]
-                found = get(piece)
-                if found:
-                    s = found[1]
-                    edges.append((i, j, s))
-                    if here + s > score[j]:
-                        score[j], came[j], ids_at[j] = here + s, i, found[2]
-                elif piece not in start:
-                    break
-        follows, parts, at = [0] * n, [], n
+        n, low = len(chunk), -math.inf
+        score, second, came, ids_at = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1), [()] * (n + 1)
+        score[0] = 0.0
+        for last, (length, s, ids) in self.matches(chunk):
+            i, j = last + 1 - length, last + 1
+            total, other = score[i] + s, second[i] + s
+            if total > score[j]:
+                second[j], score[j], came[j], ids_at[j] = score[j], total, i, ids
+            elif total > second[j]:
+                second[j] = total
+            if other > second[j]:
+                second[j] = other
+        parts, at = [], n
         while at:
             parts.append(ids_at[at])
-            follows[came[at]] = at
             at = came[at]
-        # an alternative path has an edge that the best one lacks; edges come in the order of their start
-        rest, second = [low] * n + [0.0], low
-        for i, j, s in reversed(edges):
-            s += rest[j]
-            if s > rest[i]:
-                rest[i] = s
-            if follows[i] != j and score[i] + s > second:
-                second = score[i] + s
-        return tuple(x for part in reversed(parts) for x in part), score[n], score[n] - second
+        return tuple(x for part in reversed(parts) for x in part), score[n], score[n] - second[n]
 
     def search(self, ends: list, n: int) -> list[tuple[float, list]]:
         """The ``n`` best paths of a lattice: (score, edges as (start, end, ids)), best first."""
