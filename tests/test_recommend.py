@@ -141,6 +141,18 @@ def test_feature_model_learns_a_planted_taste(spark, planted, loss, bucket_rows)
     assert dict(rows(model.model_.auc(test)))["auc"] > 0.6
 
 
+@pytest.mark.parametrize("bucket_rows", [40, 100_000])
+def test_losses_without_item_features(spark, planted, bucket_rows):
+    train, test, _ = planted
+    found = {}
+    for loss in factors.LOSSES:
+        model = factors.BaselineModel(no_components=4, loss=loss, learning_rate=0.2, epochs=6, bucket_rows=bucket_rows).fit(train)
+        found[loss] = sorted((r["artistID"], *r["factors"]) for r in model.model_.items.collect())
+        assert dict(rows(model.model_.auc(test)))["auc"] > 0.6
+        assert model.model_.users.count() == train.select("userID").distinct().count()
+    assert len({str(v) for v in found.values()}) == len(factors.LOSSES)
+
+
 def test_feature_model_is_repeatable(spark, planted):
     train, _, feats = planted
     a, b = (factors.BaselineModel(no_components=3, epochs=2).fit(train, feats).feature_embeddings for _ in range(2))
