@@ -18,9 +18,13 @@ import hashlib
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterable
+from itertools import accumulate, chain
+from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,22 +120,25 @@ class PieceModel:
 
     def _best(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
         n, low = len(chunk), -math.inf
-        score, second, came, ids_at = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1), [()] * (n + 1)
+        score, second, took = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
         score[0] = 0.0
-        for last, (length, s, ids) in self.matches(chunk):
-            i, j = last + 1 - length, last + 1
+        for last, match in self.matches(chunk):
+            j = last + 1
+            i = j - match[0]
+            s = match[1]
             total, other = score[i] + s, second[i] + s
             if total > score[j]:
-                second[j], score[j], came[j], ids_at[j] = score[j], total, i, ids
+                second[j], score[j], took[j] = score[j], total, match
             elif total > second[j]:
                 second[j] = total
             if other > second[j]:
                 second[j] = other
         parts, at = [], n
         while at:
-            parts.append(ids_at[at])
-            at = came[at]
-        return tuple(x for part in reversed(parts) for x in part), score[n], score[n] - second[n]
+            length, _, ids = took[at]
+            parts.append(ids)
+            at -= length
+        return tuple(chain.from_iterable(reversed(parts))), score[n], score[n] - second[n]
 
     def search(self, ends: list, n: int) -> list[tuple[float, list]]:
         """The ``n`` best paths of a lattice: (score, edges as (start, end, ids)), best first."""
@@ -155,23 +162,25 @@ class PieceModel:
         """Up to ``n`` best segmentations of the whole text: (score, ids); null and empty: one of no piece."""
         chunks = self.chunks(" " + text) if text else []
         get, best = self._young.get, self.best
-        parts = [get(c) or best(c) for c in chunks]
-        ids = [x for part in parts for x in part[0]]
-        total = math.fsum(part[1] for part in parts)
-        loose = heapq.nsmallest(n - 1, ((p[2], k) for k, p in enumerate(parts) if p[2] < math.inf)) if n > 1 else []
-        if not loose:
+        if not chunks:
+            return [(0.0, [])]
+        parts, scores, losses = zip(*[get(c) or best(c) for c in chunks], strict=True)
+        ids = list(chain.from_iterable(parts))
+        total = math.fsum(scores)
+        # of equal losses, those of the first chunks
+        loss = np.array(losses)
+        loose = np.argsort(loss, kind="stable")[: n - 1]
+        at = sorted(loose[loss[loose] < math.inf].tolist())
+        if not at:
             return [(total, ids)]
-        at = sorted(k for _, k in loose)
         ends: list[list] = [[]]
         starts = {}
         for k in at:
             shift = len(ends) - 1
             starts[shift] = k
             ends += [[(i + shift, x, s) for i, x, s in here] for here in self.edges(chunks[k])[1:]]
-        fixed = total - math.fsum(parts[k][1] for k in at)
-        offset = [0]
-        for part in parts:
-            offset.append(offset[-1] + len(part[0]))
+        fixed = total - math.fsum(scores[k] for k in at)
+        offset = list(accumulate(map(len, parts), initial=0))
         out = []
         for score, path in self.search(ends, n):
             own: dict[int, list[int]] = {}
@@ -188,7 +197,8 @@ class PieceModel:
 
     def decode(self, ids: list[int] | None) -> str:
         """The text of a segmentation; ids of control pieces have no text."""
-        return b"".join(map(self.bytes_of.__getitem__, ids or [])).decode("utf-8", "replace")[1:]
+        parts = itemgetter(*ids)(self.bytes_of) if ids and len(ids) > 1 else [self.bytes_of[i] for i in ids or []]
+        return b"".join(parts).decode("utf-8", "replace")[1:]
 
 
 _models: dict[str, PieceModel] = {}
@@ -245,11 +255,11 @@ def op3_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
             for t in part.column(1).to_pylist():
                 best = m.encode(t, N_BEST)
                 every = hashlib.sha256()
-                for _, ids in best:
-                    every.update(pa.array(ids, pa.int32()).buffers()[1].to_pybytes()[: 4 * len(ids)] if ids else b"")
+                packed = [array("i", ids).tobytes() for _, ids in best]
+                for part_ids in packed:
+                    every.update(part_ids)
                     every.update(b"|")
-                first = best[0][1]
-                own = hashlib.sha256(pa.array(first, pa.int32()).buffers()[1].to_pybytes()[: 4 * len(first)] if first else b"").hexdigest()
+                first, own = best[0][1], hashlib.sha256(packed[0]).hexdigest()
                 equal = all(m.decode(ids) == (t or "") for _, ids in best)
                 for column, value in zip(out, (len(first), len(best), best[0][0], best[-1][0], own, every.hexdigest(), equal), strict=True):
                     column.append(value)
