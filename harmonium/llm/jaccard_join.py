@@ -5,7 +5,7 @@ a hash deals the universe into more segments than that, two such sets agree in a
 can be used as equi-join keys.
 
 * **Size bands.** The number of segments must be fixed before two sets are compared, so it belongs to a band of sizes.
-  A set is dealt by its own band, and by the next one if it is large enough to match a set there.
+  A set is dealt by its own band, and by the next ones as far as it is large enough to match a set there.
 * **Points.** Agreeing in a segment covers one difference ("first point" of a segment).  For the first few segments of
   a band the one-deletion neighbourhood is indexed as well; a segment that differs by one element at most is then found
   too, which covers a second difference ("second point").  A set finds all its smaller partners if the points it uses
@@ -76,10 +76,15 @@ def _starts(percent: int) -> list[int]:
 
 
 def bands(size: int, percent: int = PERCENT) -> list[int]:
-    """The bands a set of this size is dealt by: its own, and the next one if a set there can link to it."""
+    """The bands a set of this size is dealt by: its own, and the next ones as far as a set there can link to it."""
     starts = _starts(percent)
     own = bisect_right(starts, size) - 1
-    return [own, own + 1] if size * 100 >= percent * starts[own + 1] else [own]
+    return list(range(own, bisect_right(starts, size * 100 // percent)))
+
+
+def smallest_linked(percent: int) -> int:
+    """The smallest size of a set that can link to another than itself: ``n`` shingles inside ``n + 1`` are enough."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 40
 
 
 def band_shape(band: int, percent: int = PERCENT) -> tuple[int, int]:
@@ -93,7 +98,8 @@ def segment_keys(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.
     """Keys of a set and their codes: ``segment << 3 | empty << 2 | deletion << 1 | probe`` (probe: own band)."""
     keys, codes = [], []
     token = mix(h + np.uint64(0x632BE59BD9B4E019))
-    for probe, band in zip((1, 0), bands(len(h), percent), strict=False):
+    for i, band in enumerate(bands(len(h), percent)):
+        probe = int(not i)
         m, with_deletions = band_shape(band, percent)
         segment = (h % np.uint64(m)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
@@ -235,9 +241,8 @@ class JaccardJoin:
 
     def _shared(self, texts: DataFrame) -> DataFrame:
         """Keys that at least two nodes hold in a way that can match, with the number of holders and the first one."""
-        #: up to this size only equal sets link, and those are one node
-        alone = next(n for n in range(1, 1000) if largest_difference(n + 1, n + 1, self.percent)) if self.percent < 100 else 1 << 40
-        dealt = self._nodes.where(F.col("size") > alone).select(F.col("first").alias("doc_id"), "set_a", "set_b", "node")
+        # below this size only equal sets link, and those are one node
+        dealt = self._nodes.where(F.col("size") >= smallest_linked(self.percent)).select(F.col("first").alias("doc_id"), "set_a", "set_b", "node")
         dealt = texts.join(broadcast_if_small(dealt), "doc_id").select("text", "set_a", "set_b", "node")
         keys = dealt.mapInArrow(_keys(self.k, self.percent), "node long, key long, code long")
         repeated = self._sets.groupBy("doc_id", "set_a", "set_b").count().where("count > 1").select(F.col("doc_id").alias("first"), "set_a", "set_b")

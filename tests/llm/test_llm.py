@@ -75,6 +75,36 @@ def test_jaccard_join_equals_brute_force(spark):
     assert len(got) == len(rows)
 
 
+def linked_at(rows, percent):
+    """The smallest id that each text is connected with at this threshold."""
+    sets = {i: set(jaccard_join.shingles(text).tolist()) for i, text in rows}
+    group = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = {i: low if g == high else g for i, g in group.items()}
+    return group
+
+
+def test_small_sets_link_by_an_appended_word(spark):
+    """Sets of all small sizes with one or two words put before or after them, at several thresholds."""
+    for percent in (80, 50, 30, 75, 100):
+        rows = []
+        for size in range(1, 16):
+            base = [f"s{size}x{i}" for i in range(size + 4)]
+            rows += [base, [*base, "more"], ["less", *base], [*base, "and", "more"]]
+        rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+        got = jaccard_join.JaccardJoin(percent=percent).fit(spark.createDataFrame(rows, "doc_id long, text string")).membership.collect()
+        assert {r.doc_id: r.component_id for r in got} == linked_at(rows, percent), percent
+    for percent in range(1, 101):
+        n = jaccard_join.smallest_linked(percent)
+        assert percent == 100 or 100 * n >= percent * (n + 1) and (n == 1 or 100 * (n - 1) < percent * n)
+        for r in (1, 2, 3, 5, 9, 40, 333):
+            reached = jaccard_join.bands(r, percent)
+            assert all(jaccard_join.bands(s, percent)[0] in reached for s in range(r, r * 100 // percent + 1)), (percent, r)
+
+
 def test_crowded_keys_give_the_same_links(spark, monkeypatch):
     base = prose(120, 300).split()
     rows = []
