@@ -23,6 +23,11 @@ MAX_DEPTH = 7
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
 _SKIPPED = frozenset("script style noscript template head title textarea select svg math iframe object canvas audio video datalist".split())
+#: Elements whose content is no markup: only their own end tag ends them.
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for n in ("style", "title", "textarea", "iframe")}
+_RAW["script"] = re.compile(r"<!--(?:-?>)?|-->|<script(?=[\s/>])|</script(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+#: What can stand in a head; any other element, and text, end a head that has no end tag.
+_HEAD = frozenset("head title meta link base basefont bgsound script style noscript template noframes".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html "
     "legend li main menu nav ol optgroup option p pre section summary table caption tbody tfoot thead tr ul".split())
@@ -67,6 +72,61 @@ def _role(name: str, attributes: str) -> tuple[int, int, str]:
     return aside, inside, label
 
 
+def _raw_end(html: str, name: str, at: int, missing: set[str]) -> int:
+    """Behind the end tag of an element without markup whose content starts at ``at``; -1 if there is none."""
+    if name in missing:
+        return -1
+    commented = nested = False  # a script inside a comment of a script has an end tag of its own
+    for found in _RAW[name].finditer(html, at):
+        token = found.group().lower()
+        if token.startswith("</"):
+            if not nested:
+                return found.end()
+            nested = False
+        elif token == "<!--":
+            commented = True
+        elif token == "-->":
+            commented = nested = False
+        elif token == "<script":
+            nested = commented
+    if not commented:
+        missing.add(name)
+    return -1
+
+
+def _skipped_end(html: str, name: str, at: int, missing: set[str]) -> int:
+    """Behind a skipped element whose content starts at ``at``: the end of the page, if nothing ends it.
+
+    ``missing`` collects the names that have no end tag in the rest of the page.
+    """
+    if name in _RAW:
+        end = _raw_end(html, name, at, missing)
+        return len(html) if end < 0 else end
+    strict = name == "head"  # text ends a head, unless it may belong to an element without an end tag
+    while found := _TAG.search(html, at):
+        start, end = found.span()
+        if strict and html[at:start].strip():
+            return at
+        at = end
+        ends, inner, attributes = found.groups()
+        inner = (inner or "").lower()
+        if ends:
+            if inner == name:
+                return end
+            if name == "head" and inner in ("body", "html"):
+                return start
+        elif inner and name == "head" and inner not in _HEAD:
+            return start
+        elif attributes and attributes.endswith("/"):
+            continue
+        elif inner in _RAW:
+            behind = _raw_end(html, inner, end, missing)
+            at, strict = max(end, behind), strict and behind > 0
+        elif name == "head" and inner in ("noscript", "template"):
+            at = _skipped_end(html, inner, end, missing)
+    return at if strict else len(html)
+
+
 def blocks(html: str | None) -> list[tuple[str, int, int, int, int, int, str]]:
     """The text blocks of a page: (text, words, words in links, boilerplate, content, heading, label).
 
@@ -80,7 +140,7 @@ def blocks(html: str | None) -> list[tuple[str, int, int, int, int, int, str]]:
     parts: list[str] = []
     linked: list[str] = []
     in_link = heading = 0
-    skip = ""
+    missing: set[str] = set()
     at = 0
 
     def close():
@@ -92,14 +152,9 @@ def blocks(html: str | None) -> list[tuple[str, int, int, int, int, int, str]]:
                 out.append((" ".join(text), len(text), min(len(text), len(unescape("".join(linked)).split())), aside, inside, heading, label))
             parts, linked = [], []
 
-    for found in _TAG.finditer(html):
+    while found := _TAG.search(html, at):
         start, end = found.span()
         ends, name, attributes = found.groups()
-        if skip:
-            if not (name and ends and name.lower() == skip):
-                continue
-            skip, at = "", end
-            continue
         if start > at:
             parts.append(html[at:start])
             if in_link:
@@ -113,7 +168,7 @@ def blocks(html: str | None) -> list[tuple[str, int, int, int, int, int, str]]:
         if name in _SKIPPED:
             if not ends and not attributes.endswith("/"):
                 parts.append(" ")
-                skip = name
+                at = _skipped_end(html, name, end, missing)
             continue
         if name == "a":
             in_link = 0 if ends else 1
@@ -145,7 +200,7 @@ def blocks(html: str | None) -> list[tuple[str, int, int, int, int, int, str]]:
                 _end(stack, name)
         elif ends and name not in _VOID:
             _end(stack, name, inline=True)
-    if not skip and at < len(html):
+    if at < len(html):
         parts.append(html[at:])
     close()
     return out

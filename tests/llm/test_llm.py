@@ -325,6 +325,24 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0), tree=tree).count() == 0
 
 
+def test_scripts_and_open_heads_end_where_they_end():
+    read = lambda page: [b[0] for b in html_text.blocks(page)]
+    text = "<p>First text.</p>{}<p>Second text.</p>"
+    for inner in (
+        "<script>for(i=0;i<n;i++)f(i)</script>", "<script>if(a<b && c=='\"')</SCRIPT >", "<style>a<b{}</style>", "<script><!-- a<b\n</script>", "<script><!-- w('<script>x<y</script>') --></script>",
+        "<textarea><p a='</textarea>", "<svg><style>a<b</style><title>x</svg>", "<noscript><script>i<n</script></noscript>", "<script>'</scripts>'</script>", "<script src='x'/>",
+    ):
+        assert read(text.replace("{}", inner, 1)) == ["First text.", "Second text."], inner
+        head = f"<html><head><meta charset=x>{inner if inner.startswith(('<script', '<style')) else ''}"
+        for rest in ("</head><body>", "<body class=b>", ""):
+            assert read(f"{head}<title>T <b</title>{rest}{text.replace('{}', inner, 1)}") == ["First text.", "Second text."], (inner, rest)
+    assert read("<head><title>T</title><noscript><img src=x></noscript><script>a<b</script>\n<link rel=x>Text <b>here</b>") == ["Text here"]
+    assert read("<head><title>T</head><body><p>Text</p>") == ["Text"] and read("<head><title>T</title>Text only") == ["Text only"]
+    assert read("<p>Text</p><script>var a='<p>x</p>'") == ["Text"] and read("<head><title>T</title>") == []
+    many = "<svg><title></svg>" * 20_000 + "<p>end</p>"
+    assert read(many) == ["end"]
+
+
 def test_revisits_against_a_loop(spark):
     rows = []
     for i in range(300):
