@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harmonium.llm.common import batches, prepared, read, slices
+from harmonium.llm.mixing import mixed
 
 #: Vocabulary file; a parameter of everything below.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -269,20 +270,24 @@ def op3_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as the ids of its best segmentation, and the scores of the ``N_BEST`` best."""
+    """Every document as the ids of its best segmentation, and the scores of the ``N_BEST`` best, in the order of the mixture.
+
+    Files do not keep an order over each other, so the mixture's slot and place are found again (they follow from
+    doc_id and source alone), returned as columns and sorted by.
+    """
     prepared(spark)
-    rows = docs.select("doc_id", "source", "lang", "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("ids", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("decoded_equal", pa.bool_())])
+    rows = mixed(docs.select("doc_id", "source", "lang", "text")).orderBy("slot", "place", "source", "doc_id").select("doc_id", "source", "lang", "slot", "place", "text")
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("slot", pa.int64()), ("place", pa.int64()), ("ids", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("decoded_equal", pa.bool_())])
 
     def run(parts):
         m = model(MODEL_PATH)
         for part in slices(parts):
             ids, scores, equal = [], [], []
-            for t in part.column(3).to_pylist():
+            for t in part.column(5).to_pylist():
                 best = m.encode(t, N_BEST)
                 ids.append(best[0][1])
                 scores.append([s for s, _ in best])
                 equal.append(m.decode(best[0][1]) == (t or ""))
-            yield batches(schema, [part.column(0), part.column(1), part.column(2), ids, scores, equal])
+            yield batches(schema, [*part.columns[:5], ids, scores, equal])
 
-    return rows.mapInArrow(run, "doc_id long, source string, lang string, ids array<int>, scores array<double>, decoded_equal boolean")
+    return rows.mapInArrow(run, "doc_id long, source string, lang string, slot long, place long, ids array<int>, scores array<double>, decoded_equal boolean")

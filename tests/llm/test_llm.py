@@ -387,3 +387,21 @@ def test_pipeline_runs_whole(spark, folder):
     assert {r.doc_id for r in rows} == {i for i, (_, c) in roots.items() if c == i} and all(r.decoded_equal for r in rows)
     m = sentencepiece.PieceModel()
     assert all(m.decode(r.ids) == docs[r.doc_id] for r in rows)
+
+
+def test_pipeline_keeps_the_mixture(spark, folder):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert [(r.slot, r.place) for r in rows] == sorted((r.slot, r.place) for r in rows) and len({(r.slot, r.place) for r in rows}) == len(rows)
+    kept = spark.createDataFrame([(r.doc_id, r.source) for r in rows], "doc_id long, source string")
+    share = {r.source: r.share for r in mixing.root_shares(kept).collect()}
+    period, size = sum(share.values()), collections.Counter(r.source for r in rows)
+    have, slots = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        slots[r.slot].append(r.source)
+    assert all(len(set(found)) == 1 and len(found) <= mixing.BLOCK_DOCS for found in slots.values())
+    for t in range(max(slots) + 1):
+        for s, w in share.items():
+            assert abs(have[s] - t * w / period) < 1 or have[s] == math.ceil(size[s] / mixing.BLOCK_DOCS), (t, s)
+        have.update(slots[t][:1])
