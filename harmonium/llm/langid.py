@@ -95,14 +95,14 @@ class LanguageIdentifier:
         self.html, self.temper = html, temper
 
     def fit(self, records: DataFrame) -> LanguageIdentifier:
-        self.fit_text(records)
+        self.fit_text((records, self.html))
         return self.fit_context(records)
 
-    def fit_text(self, *tables: DataFrame) -> LanguageIdentifier:
-        """Train the text models on the declared languages of one or more tables."""
+    def fit_text(self, *tables: tuple[DataFrame, bool]) -> LanguageIdentifier:
+        """Train the text models on the declared languages of one or more tables; the flag says whether a table's text is markup."""
         counts = None
-        for records in tables:
-            rows = records.where(F.col("declared").rlike(_LANGUAGE)).select("text", "declared").mapInArrow(_count_trigrams(self.html), "declared string, bucket int, n long")
+        for records, is_html in tables:
+            rows = records.where(F.col("declared").rlike(_LANGUAGE)).select("text", "declared").mapInArrow(_count_trigrams(is_html), "declared string, bucket int, n long")
             counts = rows if counts is None else counts.unionByName(rows)
         rows = counts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
         self.languages = sorted(x for x in rows["declared"].unique() if x != UNKNOWN)
@@ -225,8 +225,8 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document and every page (doc_id or page_id is null), and whether it is accepted."""
     docs = document_records(read(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
     pages = page_records(read(spark, folder, "pages").select("page_id", "url", "html"))
-    of_docs = LanguageIdentifier().fit(docs)
-    of_pages = of_docs.like(html=True).fit_context(pages)
+    of_all = LanguageIdentifier().fit_text((docs, False), (pages, True))
+    of_docs, of_pages = of_all.like(html=False).fit_context(docs), of_all.like(html=True).fit_context(pages)
     found = lambda df, kind, key, other: df.select(
         F.lit(kind).alias("kind"), F.col(key), F.lit(None).cast("long").alias(other), "declared", F.col("language.lang").alias("lang"), F.round("language.confidence", 6).alias("confidence"),
         F.col("language.trigrams").alias("n_trigrams"), _accepted().alias("accepted"))

@@ -246,6 +246,20 @@ def test_priors_decide_without_text_evidence(spark):
     assert [r.language.lang for r in fitted.transform(weak).collect()] == ["en", "de", "und", "und"]
 
 
+def test_languages_come_from_pages_too(spark, tmp_path):
+    """A language that only pages declare is a possible answer, for pages and for documents."""
+    say = {"en": "the {} of this and that {} with", "de": "der {} und die {} nicht mit", "it": "gli {} della che sono {} perché"}
+    text = lambda lang, i: " ".join(say[lang].format(WORDS[(i + k) % 10], WORDS[(i * 3 + k) % 10]) for k in range(8))
+    docs = [(i, text(lang, i), lang, "a") for i, lang in enumerate(["en", "de"] * 20)] + [(100, text("it", 3), None, "b")]
+    pages = [(i, f"http://h{i % 4}.example.org/x", f"<html lang='{lang}'><body><script>the = of</script><p>{text(lang, i)}</p></body></html>") for i, lang in enumerate(["en", "it"] * 20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = langid.op6_language_id(spark, str(tmp_path)).collect()
+    found = {(r.kind, r.doc_id if r.kind == "document" else r.page_id): (r.lang, r.accepted) for r in rows}
+    assert len(rows) == len(found) == 81 and found["document", 100] == ("it", True)
+    assert all(found["page", i] == (["en", "it"][i % 2], True) for i in range(40)) and all(found["document", i] == (["en", "de"][i % 2], True) for i in range(40))
+
+
 def test_language_stage_edges(spark, odd, empty):
     kept = langid.stage_language(spark, odd, "")
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
