@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from harmonium.session import materialise, tune
 
-__all__ = ["batches", "broadcast_if_small", "materialise", "mix", "prepared", "read", "slices", "word_hashes", "words"]
+__all__ = ["batches", "bounded_batches", "broadcast_if_small", "materialise", "mix", "prepared", "read", "slices", "word_hashes", "words"]
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows of a Python step that are worked on together.
@@ -30,6 +31,18 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of at most about ``size`` bytes while a table is written, whatever the length of its texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
