@@ -6,6 +6,9 @@ one pass in lockstep over all lengths hands each phrase the counts of its beginn
 its one-word extensions.  Sorted by their words from the right (suffix order) the same pass hands out the counts of its ends
 (right counts) and extensions to the left.  Neither pass looks anything up by hash: both merge sorted streams.
 
+The counts themselves come from texts counted some words at a time in a task; these partial counts travel packed, a row for
+each language and bucket of phrases, and the number of buckets grows with the text, so that a bucket fits in memory.
+
 Spark samples each order for splitters, deals the stream into ranges and sorts them externally; one frequent first word
 fills as many ranges as it needs.  What a range's first rows need from the ranges before it is one row of numbers a range.
 """
@@ -23,16 +26,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from harmonium.llm.common import bounded_batches, broadcast_if_small, materialise, read
+from harmonium.llm.common import bounded_batches, broadcast_if_small, materialise, mix, read, word_hashes
 
 SHORTEST, LONGEST, LEAST, INSIDE, TOP = 2, 3, 10, 50, 2_000
-#: Words a task counts together before it hands the counts on, and rows of a batch of counts.
-HELD_WORDS, OUT_ROWS = 2_000_000, 65_536
+#: Words a task counts together before it hands the counts on, and characters of text for each bucket of partial counts.
+HELD_WORDS, BUCKET_CHARS = 1_000_000, 4_000_000
 #: Leading characters of a phrase that are part of the splitters.
 LEAD = 64
 #: Ends of pieces become one sign that no word can hold; tabs become spaces.
 _SIGNS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\x0a" * 10 + b"\x20")
-_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+#: Partial counts travel packed: the phrases' bytes, their lengths (int32) and counts (int64) of one language and bucket.
+_PACKED = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("phrases", pa.binary()), ("lengths", pa.binary()), ("counts", pa.binary())])
+_COUNTED = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 def tokens(text: str | None) -> Iterator[bytes]:
@@ -41,8 +46,8 @@ def tokens(text: str | None) -> Iterator[bytes]:
     return filter(None, (signs.replace(b"\x0a", b"\x20\x0a\x20") + b"\x20\x0a").split(b"\x20"))
 
 
-def count_phrases(words: list[bytes], longest: int) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
-    """(phrases, number of words, counts) for each length up to ``longest``; every word ends in a space.
+def count_phrases(words: list[bytes], longest: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(phrases, hashes, counts) for each length up to ``longest``; every word of a phrase ends in a space.
 
     The phrases of one length are numbered by (number of the phrase without its last word, last word), so sorted numbers
     are enough to count them.
@@ -53,8 +58,9 @@ def count_phrases(words: list[bytes], longest: int) -> Iterator[tuple[pa.Array,
     end = pc.index(names, pa.scalar(b"\x0a", pa.binary())).as_py()
     n_words = len(names)
     spaced = pc.binary_join_element_wise(names, pa.scalar(b"", pa.binary()), pa.scalar(b"\x20", pa.binary()))
+    hashed = word_hashes(names.to_pylist())
     at = np.flatnonzero(code != end)
-    number, phrases = code, spaced
+    number, phrases, hashes = code, spaced, hashed
     for length in range(1, longest + 1):
         if length > 1:
             at = at[at + length - 1 < len(code)]
@@ -65,14 +71,27 @@ def count_phrases(words: list[bytes], longest: int) -> Iterator[tuple[pa.Array,
         if not len(at):
             return
         seen, place, counts = np.unique(known, return_inverse=True, return_counts=True)
-        phrases = spaced.take(pa.array(seen)) if length == 1 else pc.binary_join_element_wise(phrases.take(pa.array(seen // n_words)), spaced.take(pa.array(seen % n_words)), pa.scalar(b"", pa.binary()))
-        yield phrases, length, counts
+        if length == 1:
+            phrases, hashes = spaced.take(pa.array(seen)), hashed[seen]
+        else:
+            before, word = seen // n_words, seen % n_words
+            phrases = pc.binary_join_element_wise(phrases.take(pa.array(before)), spaced.take(pa.array(word)), pa.scalar(b"", pa.binary()))
+            hashes = mix(hashes[before]) + hashed[word]
+        yield phrases, hashes, counts
         number = np.full(len(code), -1, np.int64)
         number[at] = place
 
 
-def counter(longest: int, held_words: int = HELD_WORDS):
-    """The function that counts the phrases of a partition's (lang, text) batches, some million words at a time."""
+def packed(phrases: pa.Array, counts: np.ndarray) -> list[bytes]:
+    """The bytes, lengths and counts of ``phrases``."""
+    phrases = pa.concat_arrays([phrases])  # without an offset
+    ends = np.frombuffer(phrases.buffers()[1], np.int32)[: len(phrases) + 1]
+    data = phrases.buffers()[2]
+    return [data[ends[0] : ends[-1]].to_pybytes() if data and len(phrases) else b"", np.diff(ends).tobytes(), counts.astype(np.int64).tobytes()]
+
+
+def counter(longest: int, buckets: int, held_words: int = HELD_WORDS):
+    """The function that counts the phrases of a partition's (lang, text) batches, some words at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -80,13 +99,17 @@ def counter(longest: int, held_words: int = HELD_WORDS):
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, words in held.items():
-                every = 0
-                for phrases, length, counts in count_phrases(words, longest):
+                out, every = [], 0
+                for phrases, hashes, counts in count_phrases(words, longest):
                     every = every or int(counts.sum())
-                    table = pa.table([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts), np.int32))), phrases.cast(pa.string()), pa.array(np.full(len(counts), length, np.int32)), pa.array(counts)], schema=_COUNTS)
-                    yield from table.to_batches(OUT_ROWS)
+                    bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    phrases, counts, bucket = phrases.take(pa.array(order)), counts[order], bucket[order]
+                    ends = np.flatnonzero(np.diff(bucket)) + 1
+                    out += [(lang, int(bucket[i]), *packed(phrases[i:j], counts[i:j])) for i, j in zip([0, *ends], [*ends, len(bucket)], strict=True)]
                 if every:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([every], pa.int64())], schema=_COUNTS)
+                    out.append((lang, 0, *packed(pa.array([b""], pa.binary()), np.array([every]))))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PACKED, strict=True)], schema=_PACKED)
             held.clear()
 
         for batch in batches:
@@ -103,6 +126,24 @@ def counter(longest: int, held_words: int = HELD_WORDS):
     return count
 
 
+def merger(least: int):
+    """The function that adds up the packed counts of one language and bucket and keeps those of at least ``least``."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        arrays, counts = [], []
+        for data, lengths, n in zip(*(table.column(c).to_pylist() for c in ("phrases", "lengths", "counts")), strict=True):
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, np.int32))]).astype(np.int32)
+            arrays.append(pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+            counts.append(np.frombuffer(n, np.int64))
+        whole = pa.table({"phrase": pa.chunked_array(arrays), "n": np.concatenate(counts)}).group_by("phrase").aggregate([("n", "sum")])
+        whole = whole.filter(pc.greater_equal(whole.column("n_sum"), least))
+        phrase = whole.column("phrase").cast(pa.string())
+        lang = pa.array([table.column("lang")[0].as_py()] * len(whole), pa.string())
+        return pa.table([lang, pc.count_substring(phrase, " ").cast(pa.int32()), phrase, whole.column("n_sum")], schema=_COUNTED)
+
+    return merge
+
+
 def lockstep(longest: int):
     """The function that passes once over a sorted range of (lang, key, words, n, ...).
 
@@ -176,8 +217,10 @@ class Collocations:
     if a longer one around it has this percentage of its occurrences; ``top``: rows of a language.
     """
 
-    def __init__(self, shortest: int = SHORTEST, longest: int = LONGEST, least: int = LEAST, inside: int = INSIDE, top: int = TOP, held_words: int = HELD_WORDS):
-        self.shortest, self.longest, self.least, self.inside, self.top, self.held_words = shortest, longest, least, inside, top, held_words
+    def __init__(self, shortest: int = SHORTEST, longest: int = LONGEST, least: int = LEAST, inside: int = INSIDE, top: int = TOP,
+                 held_words: int = HELD_WORDS, bucket_chars: int = BUCKET_CHARS):
+        self.shortest, self.longest, self.least, self.inside, self.top = shortest, longest, least, inside, top
+        self.held_words, self.bucket_chars = held_words, bucket_chars
 
     def counts(self, docs: DataFrame) -> DataFrame:
         """(lang, phrase, words, n) of every phrase with at least ``least`` occurrences; the empty one counts all words.
@@ -185,9 +228,11 @@ class Collocations:
         A phrase's parts occur at least as often as the phrase, so they are all in the table.
         """
         texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+        chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+        buckets = 1 + chars // self.bucket_chars
         with bounded_batches(docs.sparkSession):
-            partial = texts.mapInArrow(counter(self.longest, self.held_words), "lang string, phrase string, words int, n long")
-            whole = partial.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= self.least)
+            partial = texts.mapInArrow(counter(self.longest, buckets, self.held_words), "lang string, bucket long, phrases binary, lengths binary, counts binary")
+            whole = partial.groupBy("lang", "bucket").applyInArrow(merger(self.least), "lang string, words int, phrase string, n long")
             return materialise(whole, "phrases")
 
     def _pass(self, stream: DataFrame) -> DataFrame:
