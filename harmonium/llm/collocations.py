@@ -31,6 +31,8 @@ from harmonium.llm.common import bounded_batches, broadcast_if_small, materialis
 SHORTEST, LONGEST, LEAST, INSIDE, TOP = 2, 3, 10, 50, 2_000
 #: Words a task counts together before it hands the counts on, and characters of text for each bucket of partial counts.
 HELD_WORDS, BUCKET_CHARS = 1_000_000, 4_000_000
+#: Candidates that are ranked together before a language's best are.
+SLICE = 20_000
 #: Leading characters of a phrase that are part of the splitters.
 LEAD = 64
 #: Ends of pieces become one sign that no word can hold; tabs become spaces.
@@ -278,8 +280,12 @@ class Collocations:
 
     def mine(self, docs: DataFrame) -> DataFrame:
         """(lang, rank, phrase, a, l, r, n, score)."""
-        by = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-        ranked = self.scored(docs).where("not inside").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= self.top)
+        found = materialise(self.scored(docs).where("not inside"), "candidates")
+        slices = 1 + found.count() // SLICE
+        best = lambda *keys: F.row_number().over(W.partitionBy("lang", *keys).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+        # a language may hold most candidates: the best of each slice first, then the best of those
+        some = found.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(slices))).withColumn("rank", best("slice")).where(F.col("rank") <= self.top)
+        ranked = some.withColumn("rank", best()).where(F.col("rank") <= self.top)
         return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
