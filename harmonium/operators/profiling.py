@@ -28,11 +28,17 @@ def _corr(a: str, b: str, complete: set[str]) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def without_nan(data: DataFrame) -> DataFrame:
+    """Not-a-number becomes null, so that it counts as missing and nowhere else."""
+    floats = [f.name for f in data.schema.fields if f.dataType.simpleString() in ("float", "double")]
+    return data.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats})
+
+
 class EDA:
-    """Profile one table, optionally against a target column."""
+    """Profile one table, optionally against a target column.  NaN counts as missing, like null."""
 
     def __init__(self, data: DataFrame, target_column: str | None = None, limit: int = quantiles.BUFFER_VALUES):
-        self.data = data
+        self.data = data = without_nan(data)
         self.target_column = target_column
         self.limit = limit
         self.numeric = numeric_columns(data)

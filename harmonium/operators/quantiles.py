@@ -5,11 +5,17 @@ buffer, which is right for groups up to ``limit`` values.  Larger groups are
 narrowed instead: a mergeable sketch proposes an interval around the wanted
 rank, one count verifies it, and the next round looks only inside it, until
 few enough values are left to rank exactly.  No round moves raw rows.
+
+Without groups the wanted ranks of all columns are narrowed side by side: a
+round is one aggregate over the table as it stands, which counts the present
+intervals and sketches what is inside them.  Only such numbers reach the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +28,8 @@ BUFFER_VALUES = 1_000_000
 BROADCAST_ROWS = 100_000
 
 _GRID = 1000
+#: steps of a sketch in the side-by-side rounds, and values a rank is finally found among
+_STEPS, _FINAL = 500, 20_000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -35,6 +43,8 @@ def percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], b
     numbers = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     if largest_group(numbers, by) <= limit:
         return _built_in(numbers, columns, probs, by)
+    if not by:
+        return _side_by_side(numbers, columns, probs, limit)
     values = numbers.unpivot(by, list(columns), "column", "value").filter(F.col("value").isNotNull())
     return _narrowed(values, [*by, "column"], probs, limit)
 
@@ -48,6 +58,79 @@ def _built_in(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float]
     ).toDF(*by, "column", "prob", "value")
 
 
+@dataclass
+class _Rank:
+    """The k-th smallest value (from 0) of a column: it is within [lo, hi], between ``below`` smaller values."""
+
+    column: str
+    k: int
+    lo: float
+    hi: float
+    steps: list[float] | None = None  # sketch of the values inside
+    below: int = 0
+    inside: int = 0
+    margin: int = 1
+    value: float | None = None
+
+    def proposal(self) -> tuple[float, float]:
+        """A narrower interval that should hold the rank, from the sketch."""
+        if not self.steps:
+            return self.lo, self.hi
+        place = (self.k - self.below) / max(1, self.inside) * _STEPS
+        left, right = math.floor(place) - self.margin, math.ceil(place) + self.margin
+        return self.lo if left <= 0 else self.steps[left], self.hi if right >= _STEPS else self.steps[right]
+
+
+def _side_by_side(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int) -> DataFrame:
+    steps = F.array(*[F.lit(i / _STEPS) for i in range(_STEPS + 1)])
+    sketch = lambda c: F.percentile_approx(c, steps, 10 * _STEPS)
+    final = max(1, min(limit, _FINAL))
+    makers = [lambda c: F.count(c), lambda c: F.min(c), lambda c: F.max(c), sketch]
+    row = iter(numbers.agg(*[m(F.col(f"`{c}`")).alias(f"a{i}_{j}") for i, c in enumerate(columns) for j, m in enumerate(makers)]).first())
+    sizes, ranks = {}, {}
+    for c in columns:
+        n, lo, hi, cuts = next(row), next(row), next(row), next(row)
+        if n:
+            sizes[c] = n
+            for k in {f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)}:
+                ranks[c, k] = _Rank(c, k, lo, hi, cuts, 0, n)
+    while open_ranks := [r for r in ranks.values() if r.value is None]:
+        aggregates, tried = [], []
+        for i, r in enumerate(open_ranks):
+            v = F.col(f"`{r.column}`")
+            if r.inside <= final and r.steps is None:  # counted: what is inside is sorted as it is
+                held = F.when((v > r.lo) & (v < r.hi), v)
+                aggregates.append(F.get(F.array_sort(F.collect_list(held)), F.lit(r.k - r.below)).alias(f"v{i}"))
+                tried.append(None)
+                continue
+            lo, hi = r.proposal()
+            inner = (v > lo) & (v < hi)
+            tried.append((lo, hi))
+            aggregates.append(F.struct(F.count_if(v < lo).alias("below"), F.count_if(v == lo).alias("at_lo"), F.count_if(inner).alias("inside"),
+                                       F.count_if((v == hi) & F.lit(hi > lo)).alias("at_hi"), sketch(F.when(inner, v)).alias("steps")).alias(f"v{i}"))
+        for r, bounds, got in zip(open_ranks, tried, numbers.agg(*aggregates).first(), strict=True):
+            if bounds is None:
+                r.value = got
+                continue
+            lo, hi = bounds
+            if got["below"] <= r.k < got["below"] + got["at_lo"]:
+                r.value = lo
+            elif got["below"] + got["at_lo"] <= r.k < got["below"] + got["at_lo"] + got["inside"]:
+                r.lo, r.hi, r.below, r.inside, r.margin = lo, hi, got["below"] + got["at_lo"], got["inside"], 1
+                r.steps = got["steps"] if r.inside > final else None
+            elif r.k < got["below"] or r.k >= got["below"] + got["at_lo"] + got["inside"] + got["at_hi"]:
+                r.margin *= 4  # the sketch was off by more; try a wider interval
+            else:
+                r.value = hi
+    out = []
+    for c, n in sizes.items():
+        for p in dict.fromkeys(probs):
+            place = p * (n - 1)
+            low, high = ranks[c, math.floor(place)].value, ranks[c, math.ceil(place)].value
+            out.append((c, float(p), low + (high - low) * (place - math.floor(place)) if high != low else low))
+    return numbers.sparkSession.createDataFrame(out, "column STRING, prob DOUBLE, value DOUBLE")
+
+
 def _narrowed(values: DataFrame, keys: list[str], probs: Sequence[float], limit: int) -> DataFrame:
     sizes = materialise(
         values.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("value").alias("__lo"), F.max("value").alias("__hi")),

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from conftest import rows
 
+from harmonium.operators import quantiles
 from harmonium.operators.profiling import EDA
 
 
@@ -98,3 +99,34 @@ def test_edges(spark):
     assert texts.numeric_summary().count() == 0 and texts.correlation_matrix().count() == 0 and texts.bivariate_analysis().count() == 0
     flags = EDA(spark.createDataFrame([(True, 1)], "f boolean, i int"))
     assert flags.numeric == ["i"]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 5000])
+def test_percentiles_of_all_columns_side_by_side(spark, limit, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 40_000
+    data = {"normal": rng.normal(size=n), "ties": rng.integers(0, 5, n).astype(float), "skewed": np.exp(rng.normal(0, 6, n)),
+            "hot": np.where(rng.random(n) < 0.4, 3.0, rng.normal(3, 1e-9, n)), "one": np.full(n, 2.5)}
+    frame = pd.DataFrame(data)
+    frame.loc[frame.index % 3 == 0, "ties"] = None
+    frame["empty"] = pd.Series([None] * n, dtype="float64")
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), ", ".join(f"{c} double" for c in frame)).repartition(5)
+    passes = []
+    monkeypatch.setattr(quantiles, "_STEPS", 50)
+    kind, first = type(df), type(df).first
+    monkeypatch.setattr(kind, "first", lambda self: passes.append(1) or first(self))
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["column"], r["prob"]): r["value"] for r in quantiles.percentiles(df, list(frame), probs, limit=limit).collect()}
+    assert set(got) == {(c, p) for c in data for p in probs}
+    for (c, p), v in got.items():
+        assert v == pytest.approx(np.nanpercentile(frame[c].astype(float), 100 * p), rel=1e-12, abs=1e-300)
+    assert len(passes) <= (6 if limit == 5000 else 9)  # one of them counts the rows
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0, 1), (float("nan"), 2), (3.0, None), (None, 4)], "a double, b int")
+    eda = EDA(df)
+    got = {(r["column"], r["stat"]): r["value"] for r in eda.numeric_summary().collect()}
+    assert got["a", "count"] == 2 and got["a", "mean"] == 2.0 and got["a", "max"] == 3.0 and got["a", "75%"] == 2.5 and got["a", "std"] == pytest.approx(2**0.5)
+    assert {(r["column"], r["missing"]) for r in eda.missing_values_analysis().collect()} == {("a", 2), ("b", 1)}
+    assert {r["value"] for r in eda.basic_info().where("column = 'a' and stat = 'missing'").collect()} == {2.0}
