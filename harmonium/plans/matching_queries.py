@@ -106,15 +106,13 @@ def mat7(spark, folder):
 _BEST_SQL = "SELECT q AS norm, c AS match, ROUND(sim, 9) AS similarity FROM best"
 
 
-@query("mat6_blocked_candidates", V_MATCH + "SELECT DISTINCT q FROM pairs WHERE q IN (SELECT norm FROM hit)")
+@query("mat6_blocked_candidates", V_MATCH + "SELECT q AS name, c AS match FROM pairs WHERE q IN (SELECT norm FROM hit)")
 def mat6(spark, folder):
-    """Queries that share a block key with any candidate; the others are compared to all."""
-    names = views.names_left(spark, folder).withColumns({"simple": text.simple_name("artist_name"), "norm": text.full_name("artist_name")})
-    right = views.names_right(spark, folder).withColumns({"simple": text.simple_name("name"), "norm": text.full_name("name")})
-    rest = names.join(right.select("simple").distinct(), "simple", "left_anti").select("norm").distinct()
-    blocks = matching.blocks_of(rest.filter(F.length("norm") >= 3), "norm")
-    known = matching.blocks_of(right.select("norm").distinct(), "norm").select("block").distinct()
-    return blocks.join(known, "block", "left_semi").select(F.col("name").alias("q")).distinct()
+    """The pairs of names that blocking compares; queries without a common block key are compared to all."""
+    matcher = _matcher(spark, folder)
+    queries = _open_queries(matcher, views.names_left(spark, folder)).select(F.col("norm").alias("name"))
+    known = matching.canonical_rows(matcher.right, "name", text.full_name).select(F.col("norm").alias("name"))
+    return matching.blocked_pairs(queries.filter(F.length("name") >= 3), known)
 
 
 def _open_queries(matcher, left):

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harmonium.operators import factors, metrics, scoring, splits, tuning
 from harmonium.plans.feature_queries import artist_features, split_interactions
-from harmonium.plans.registry import known_id, query, r, with_views
+from harmonium.plans.registry import ORACLES, known_id, query, r, with_views
+from harmonium.plans.relational_queries import split_sql
 from harmonium.session import materialise, shared_folder
 from harmonium.sources import views, writers
 from harmonium.sources.views import V_FACTORS, V_RATINGS
@@ -160,25 +163,53 @@ def rec13(spark, folder):
     return service.recommend_from_survey(views.ratings(spark, folder)).withColumn("score", r("score"))
 
 
-# -- training: checked by rows here, by quality in the tests -------------------
+# -- training: facts that any right model meets, quality in the tests ----------
 
 def _scaled_split(spark, folder):
     parts = split_interactions(spark, folder)
     return {p: splits.in_part(parts, p) for p in ("train", "val", "test")}
 
 
-@query("rec1_collaborative_model")
+def _model_facts(model, parts):
+    """(fact, value) of a trained model: sizes, and whether every number and metric is where it has to be."""
+    factors_of = model.users.select(F.lit("user").alias("kind"), "factors", "bias").unionByName(model.items.select(F.lit("item").alias("kind"), "factors", "bias"))
+    sound = F.forall("factors", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.col("bias").isNotNull()
+    vectors = factors_of.agg(F.min(F.size("factors")).alias("least_numbers"), F.max(F.size("factors")).alias("most_numbers"), F.count_if(~sound).alias("unsound_vectors"))
+    train = parts["train"].select("userID", "artistID").distinct()
+    known = train.join(model.items.select("artistID"), "artistID", "left_semi").join(model.users.select("userID"), "userID", "left_semi")
+    report = model.evaluate_splits(parts["train"], parts["val"], parts["test"])
+    scores = report.agg(F.count("value").alias("metric_values"), F.count_if(~F.col("value").between(0, 1)).alias("metrics_out_of_range"))
+    learnt = model.auc(parts["train"]).agg((F.max("value") > 0.55).cast("int").alias("learnt"))
+    facts = [known.agg(F.countDistinct("userID").alias("trained_users"), F.countDistinct("artistID").alias("trained_items"), F.count("*").alias("trained_pairs")),
+             vectors, scores, learnt]
+    tall = [f.select([F.col(c).cast("bigint").alias(c) for c in f.columns]).unpivot([], f.columns, "fact", "value") for f in facts]
+    return reduce(DataFrame.unionByName, tall)
+
+
+_FACTS_SQL = split_sql(True, 0.15, 0.15, 42) + """SELECT 'trained_users' AS fact, COUNT(DISTINCT "userID") AS value FROM v_split WHERE split = 'train'
+UNION ALL SELECT 'trained_items', COUNT(DISTINCT "artistID") FROM v_split WHERE split = 'train'
+UNION ALL SELECT 'trained_pairs', COUNT(*) FROM v_split WHERE split = 'train'
+UNION ALL SELECT UNNEST(['least_numbers', 'most_numbers', 'unsound_vectors', 'metric_values', 'metrics_out_of_range', 'learnt']), UNNEST([64, 64, 0, 12, 0, 1])"""
+
+
+@query("rec1_collaborative_model", _FACTS_SQL)
 def rec1(spark, folder):
     parts = _scaled_split(spark, folder)
-    model = factors.collaborative_model(parts["train"], no_components=16, epochs=5)
-    return model.evaluate_splits(parts["train"], parts["val"], parts["test"])
+    return _model_facts(factors.collaborative_model(parts["train"]), parts)
 
 
-@query("rec2_feature_model")
+@query("rec2_feature_model", _FACTS_SQL)
 def rec2(spark, folder):
     parts = _scaled_split(spark, folder)
-    model = factors.BaselineModel(no_components=16, epochs=3).fit(parts["train"], artist_features(spark, folder))
-    return model.evaluate(parts["test"])
+    features = materialise(artist_features(spark, folder), "features")
+    return _model_facts(factors.BaselineModel().fit(parts["train"], features).model_, parts)
+
+
+@query("rec2_item_vector_model", _FACTS_SQL)
+def rec2_own(spark, folder):
+    """The same losses without item features."""
+    parts = _scaled_split(spark, folder)
+    return _model_facts(factors.BaselineModel().fit(parts["train"]).model_, parts)
 
 
 @query("rec12_search_trials")
@@ -188,16 +219,24 @@ def rec12(spark, folder):
     def small(rng):
         return {"no_components": rng.choice([8, 16]), "loss": rng.choice(factors.LOSSES), "learning_rate": rng.choice([0.02, 0.05]), "epochs": 1}
 
-    search = tuning.ModelOptimizer(parts["train"], parts["val"], artist_features(spark, folder), draw=small)
+    search = tuning.ModelOptimizer(parts["train"], parts["val"], materialise(artist_features(spark, folder), "features"), draw=small)
     search.optimize(n_trials=2)
     return search.trials.select("trial", "metric", "value")
 
 
-@query("snk3_artefact_bundle", 'SELECT vec_id AS "artistID", LEN(embedding) AS n_factors, CAST(label AS DOUBLE) AS bias FROM embeddings')
+@query("snk3_artefact_bundle", ORACLES["rec13_survey_recommendations"])
 def snk3(spark, folder):
+    """Recommendations from a saved bundle: written as two versions, the last one loaded and asked."""
     path = f"{shared_folder(spark)}/harmonium/{spark.sparkContext.applicationId}/bundle-{uuid.uuid4().hex}"
-    written = writers.write_bundle(path, {"factors": views.item_factors(spark, folder), "survey": views.survey_artists(spark, folder)})
-    return spark.read.parquet(written["factors"]).select("artistID", F.size("factors").cast("bigint").alias("n_factors"), "bias")
+    items, survey = views.item_factors(spark, folder), views.survey_artists(spark, folder)
+    names = views.table(spark, folder, "customer").select(F.col("c_custkey").alias("artistID"), F.col("c_name").alias("artist_name"))
+    model = factors.FactorModel(survey_users(spark, folder).withColumnRenamed("user_id", "userID"), items)
+    tables = {**factors.model_tables(model), "artist_names": names, "survey": survey, "train": views.interactions(spark, folder)}
+    writers.write_bundle(path, {**tables, "item_factors": items.limit(0)}, parameters={"draft": True})
+    writers.write_bundle(path, tables, parameters={"no_components": 64, "k": 3})
+    bundle = writers.Bundle(spark, path)
+    best = factors.load_service(bundle).recommend_from_survey(views.ratings(spark, folder), k=bundle.parameters["k"])
+    return best.withColumn("score", r("score"))
 
 
 # -- submissions --------------------------------------------------------------
@@ -274,6 +313,32 @@ def str2_stream(spark, folder):
     return store.load().select("user_id", "submission_id", _as_text().alias("ratings"))
 
 
+@query("str2_store_lifecycle", with_views(V_SUBMISSIONS, V_LATEST) + f"""SELECT user_id, submission_id, {_TEXT_SQL} AS ratings FROM v_latest
+WHERE CAST(SUBSTRING(user_id, 2) AS BIGINT) % 7 > 1""")
+def str2_lifecycle(spark, folder):
+    """Stream, delete twice, stream again with a new checkpoint at the same path, compact, stream once more: the deleted stay away."""
+    root = f"{shared_folder(spark)}/harmonium/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
+    store, number = submissions.RatingStore(spark, f"{root}/ratings"), F.substring("user_id", 2, 20).cast("bigint")
+
+    def stream():
+        orders = spark.readStream.schema(_orders(spark, folder).schema).parquet(f"{folder}/orders.parque[t]")
+        submissions.run_store(order_submissions(orders), SURVEY, store, f"{root}/checkpoint").awaitTermination()
+
+    stream()
+    users = _latest(spark, folder).select("user_id")
+    for rest in (0, 1):
+        store.delete(users.filter(number % 7 == rest))
+    checkpoint = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/checkpoint")
+    files = checkpoint.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for compacted in (False, True):
+        files.delete(checkpoint, True)
+        stream()
+        if not compacted:
+            store.compact()
+    store.vacuum()
+    return store.load().select("user_id", "submission_id", _as_text().alias("ratings"))
+
+
 @query("str3_recommendations", with_views(V_SUBMISSIONS, V_LATEST, V_FACTORS, V_NAMES, f"""rated AS (SELECT user_id, UNNEST(artists) AS artist_id, UNNEST(ranks) AS rank FROM v_latest)""",
        f"weights AS (SELECT user_id, artist_id, {_WEIGHT} AS weight FROM rated)", vectors_sql("weights"), top_sql(5, 'f."artistID" > 9')) +
        """SELECT q.user_id, CASE WHEN l.user_id IS NULL THEN 'No ratings found for user ' || q.user_id || '. Please submit ratings first.' ELSE 'ok' END AS status,

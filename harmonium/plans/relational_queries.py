@@ -89,10 +89,12 @@ UNION ALL SELECT s_name, NULL, s_acctbal, NULL FROM supplier
 UNION ALL SELECT c_name, NULL, NULL, c_mktsegment FROM customer"""
 
 
-@query("prj1_harmonise", """SELECT c_name AS artist_name, CAST(NULL AS VARCHAR) AS track_name,
-CAST(NULL AS DOUBLE) AS popularity, c_mktsegment AS track_genre FROM customer""")
+@query("prj1_harmonise", """SELECT 'part' AS source, p_brand AS artist_name, p_name AS track_name, p_retailprice AS popularity, p_type AS track_genre FROM part
+UNION ALL SELECT 'supplier', s_name, NULL, s_acctbal, NULL FROM supplier
+UNION ALL SELECT 'customer', c_name, NULL, NULL, c_mktsegment FROM customer""")
 def prj1(spark, folder):
-    return _sources(spark, folder)[2]
+    named = [part.withColumn("source", F.lit(name)) for name, part in zip(("part", "supplier", "customer"), _sources(spark, folder), strict=True)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 @query("prj2_rename_drop", "SELECT p_partkey AS part_id, p_name AS top_track_name, p_retailprice AS price FROM part")

@@ -23,13 +23,30 @@ def test_metric_golden(spark):
     assert tuple(users[3])[1:] == (0.0, 0.0, 0.0, 0.0)
 
 
-def test_evaluate_keeps_going_without_a_metric(spark):
-    class Other(metrics.RankingMetric):
+def test_own_metrics(spark):
+    class ReciprocalRank(metrics.RankingMetric):
+        column = "mrr"
+
+        def per_user(self, hits, n_true):
+            return F.coalesce(F.lit(1.0) / F.get(hits, F.lit(0)), F.lit(0.0))
+
+    class Nameless(metrics.RankingMetric):
         column = "other"
 
+    recs = spark.createDataFrame([(u, i, i) for u in (1, 2, 3) for i in (1, 2, 3, 4)], "userID int, artistID int, rank int")
+    truth = spark.createDataFrame([(1, 2), (1, 4), (2, 4), (3, 9), (4, 1)], "userID int, artistID int")
+    asked = [ReciprocalRank(3), ReciprocalRank(4), metrics.PrecisionAtK(2), metrics.RecallAtK(4)]  # each with a k of its own
+    assert dict(rows(metrics.evaluate(recs, truth, asked))) == {"mrr@3": 0.5 / 4, "mrr@4": (0.5 + 0.25) / 4, "precision@2": 0.5 / 4, "recall@4": 0.5}
+    assert rows(ReciprocalRank(3).compute(recs, truth, 4)) == [("mrr@4", 0.75 / 4)]
+    with pytest.raises(NotImplementedError):
+        metrics.evaluate(recs, truth, [Nameless(3)])
+    for wrong in ([], [ReciprocalRank(3), ReciprocalRank(3)], [metrics.AUC()]):
+        with pytest.raises(ValueError):
+            metrics.evaluate(recs, truth, wrong)
+
+
+def test_reports(spark):
     recs = spark.createDataFrame([(1, 1, 1)], "userID int, artistID int, rank int")
-    out = dict(rows(metrics.evaluate(recs, recs, [metrics.PrecisionAtK(10), Other(10)])))
-    assert out == {"precision@10": 0.1, "other@10": None}
     report = metrics.evaluation_report(recs, {"train": recs, "test": recs}, [metrics.RecallAtK(10)])
     assert rows(report) == [("test", "recall@10", 1.0), ("train", "recall@10", 1.0)]
     empty = metrics.evaluate(recs, recs.limit(0), [metrics.RecallAtK(10)]).first()
