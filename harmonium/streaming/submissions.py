@@ -137,17 +137,27 @@ class RatingStore:
         known = self.load().select("user_id", F.lit(True).alias("exists"))
         return users.join(known, "user_id", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
-    def delete(self, users: DataFrame, deleted_at: Column | None = None) -> None:
-        """Mark users as deleted; an older submission does not come back.  Each deletion is a part of its own."""
+    def delete(self, users: DataFrame, epoch: int = 0, deleted_at: Column | None = None) -> None:
+        """Mark users as deleted; an older submission does not come back.
+
+        Each deletion is a part of its own, also if several are given the same ``epoch``.
+        """
         marks = users.select(
             "user_id", (deleted_at if deleted_at is not None else F.current_timestamp()).alias("submitted_at"),
             F.lit(9223372036854775807).cast("bigint").alias("submission_id"),
             F.lit(None).cast("array<struct<artist_id: bigint, rank: int>>").alias("ratings"))
-        self.save(marks, 0, f"deletion-{uuid.uuid4().hex}")
+        self.save(marks, epoch, f"deletion-{uuid.uuid4().hex}")
+
+    def compact(self, path: str | None = None) -> "RatingStore":
+        """Fold the live parts into one, deletions included; parts that others add meanwhile stay beside it.
 
-    def compact(self) -> "RatingStore":
-        """Fold the live parts into one, deletions included; parts that others add meanwhile stay beside it."""
+        With a ``path`` this store stays as it is and the folded part becomes the first of a new one there.
+        """
         parts = self.live()
+        if path is not None:
+            target = RatingStore(self.spark, path)
+            target.save(self._read(parts), 0)
+            return target
         if len(parts) > 1:
             whole = {"name": self._write(latest_per_user(self._read(parts))), "run": "compact", "epoch": uuid.uuid4().int % 2**53}
             taken = {p["name"] for p in parts}

@@ -59,9 +59,10 @@ def test_store(spark, tmp_path):
     assert state(store) == {"a": 2, "b": 3, "c": 1}
     asked = spark.createDataFrame([("a",), ("z",)], "user_id string")
     assert rows(store.has_ratings(asked)) == [("a", True), ("z", False)]
-    store.delete(spark.createDataFrame([("b",)], "user_id string"))
+    store.delete(spark.createDataFrame([("b",)], "user_id string"), 2)
     assert state(store) == {"a": 2, "c": 1}
-    store.delete(spark.createDataFrame([("c",)], "user_id string"))
+    assert state(store.compact(str(tmp_path / "compact"))) == {"a": 2, "c": 1}
+    store.delete(spark.createDataFrame([("c",)], "user_id string"), 2)
     assert state(store) == {"a": 2} and len(store.live()) == 4
     reader = submissions.RatingStore(spark, str(tmp_path / "store"))
     assert state(store.compact()) == {"a": 2} == state(reader) and len(reader.live()) == 1
