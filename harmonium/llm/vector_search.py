@@ -84,7 +84,10 @@ def scan(queries: np.ndarray, rows: np.ndarray, k: int, columns: int = COLUMNS,
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosines of ``q`` with the rows of ``x``, each scaled by a power of two, which rounds nothing and keeps the squares in range."""
     q, x = np.asarray(q, np.float64), np.asarray(x, np.float64)
+    q = np.ldexp(q, -np.frexp(np.abs(q).max())[1])
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return (x @ q) / (np.sqrt((x * x).sum(1)) * np.sqrt(q @ q))
 
 

@@ -197,3 +197,32 @@ def test_exact_scores_pass_doubles():
     a, rows = np.array([2.0**40 + 1, 3.0]), np.array([[2.0**21 + 1, 5.0], [1e300, 0.0], [-1e300, 0.0]])
     assert exact_scores(a, rows[:1]).tolist() == [(2**40 + 1) * (2**21 + 1) + 15]
     assert exact_scores(a, rows).tolist()[1:] == [2**63 - 1, -(2**63) + 1]
+
+
+# -- mended operators -----------------------------------------------------------
+
+def test_cosines_of_very_large_and_very_small_numbers(spark):
+    from harmonium.llm.vector_search import VectorSearch
+
+    shapes = [[1.0, 2.0, 2.0], [2.0, -1.0, 0.5], [0.0, 3.0, 1.0], [1.0, 1.0, 1.0]]
+    rows = [(10 * s + i, [x * scale for x in v]) for s, scale in enumerate((1.0, 1e200, 1e-200)) for i, v in enumerate(shapes)]
+    rows += [(90, [5e-324, 1e-323, 1e-323])]  # the smallest numbers there are
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in VectorSearch(k=12).search(df, df).collect()}
+    assert len(got) == 13 * 12 and None not in got.values()
+    vectors = {i: shapes[i % 10] for i, _ in rows[:-1]} | {90: shapes[0]}
+    for (a, b), score in got.items():
+        x, y = np.array(vectors[a]), np.array(vectors[b])
+        assert score == pytest.approx(x @ y / np.sqrt((x @ x) * (y @ y)), rel=1e-12, abs=1e-12)
+
+
+def test_scores_keep_every_doc_id(spark):
+    from harmonium.llm.class_lm import ClassModel
+
+    text = "one two three one two unseen"
+    rows = [(-2, text), (-1, text), (5, "one two three"), (9, text), (4294967301, "one two three"), (None, text), (9, text), (9, "two one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = ClassModel().fit(docs.where("doc_id < 9"))
+    got = model.score(docs).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((i is None, i or 0, len(t.split()) + 1) for i, t in rows)
+    assert len({(r["n_tokens"], round(r["score"], 9), round(r["base_score"], 9)) for r in got}) == 3
