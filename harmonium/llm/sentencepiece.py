@@ -6,7 +6,8 @@ score.  The forward score is exactly what is still to come, so paths are complet
 
 Pieces hold no space inside, therefore the lattice of a text is a chain of the lattices of its chunks.  A chunk's best
 path, and the loss of its second best, are kept for chunks that come again.  The ``n`` best paths of a chain leave the
-best path in at most the ``n - 1`` chunks with the smallest losses, so the search runs over the chain of these alone.
+best path in at most the ``n - 1`` chunks with the smallest losses, so the search runs in these alone, chunk by chunk,
+and the best choices of their paths are put together.
 
 The vocabulary file is read, never trained or copied.  Files of the byte-pair kind hold merge ranks, not
 probabilities; pieces then weigh by Zipf's law on their rank.  A character without a piece becomes its UTF-8 bytes.
@@ -20,7 +21,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterable
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise
 from operator import itemgetter
 
 import ahocorasick
@@ -39,10 +40,17 @@ N_BEST = 4
 REMEMBERED = 200_000
 #: Loss of a byte against the rarest piece.
 BYTE_LOSS = 10.0
+#: Scores are multiples of it: exact in sums of up to 2 ** 33.
+STEP = 2.0**-20
+#: Characters of the texts whose chunks are worked on together; the fewest new chunks of one length for that.
+GATHERED, TOGETHER = 1 << 20, 24
 
 
 class PieceModel:
-    """The pieces of a vocabulary file and the lattice operations on them."""
+    """The pieces of a vocabulary file and the lattice operations on them.
+
+    Scores are multiples of ``STEP``, so that sums do not depend on their order and equal paths have equal scores.
+    """
 
     def __init__(self, path: str = MODEL_PATH):
         import sentencepiece
@@ -56,7 +64,8 @@ class PieceModel:
         self.pieces: dict[str, tuple[int, float, tuple[int, ...]]] = {}
         for r, i in enumerate(whole):
             piece = sp.id_to_piece(i).replace("▁", " ")
-            self.pieces[piece] = (i, -math.log(r + 2.7) - norm if ranked else float(sp.get_score(i)), (i,))
+            score = -math.log(r + 2.7) - norm if ranked else float(sp.get_score(i))
+            self.pieces[piece] = (i, round(score / STEP) * STEP, (i,))
             self.bytes_of[i] = piece.encode()
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         for b, i in enumerate(self.byte_ids):
@@ -74,8 +83,28 @@ class PieceModel:
         # characters of no piece end a chunk
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.pieces))
         self.chunks = re.compile(f" *[^ {alone}]+| +|[{alone}]" if alone else " *[^ ]+| +").findall
+        self._plant()
         self._young: dict[str, tuple] = {}
         self._old: dict[str, tuple] = {}
+        self._lists: dict[tuple[str, int], tuple] = {}
+
+    def _plant(self) -> None:
+        """The pieces as a tree: sorted steps (node, character) with the nodes they lead to, and the nodes' pieces."""
+        steps: dict[int, int] = {}
+        piece, score = [-1], [0.0]
+        for text, (i, s, _) in self.pieces.items():
+            node = 0
+            for c in text:
+                step = node << 21 | ord(c)
+                if step not in steps:
+                    steps[step] = len(piece)
+                    piece.append(-1)
+                    score.append(0.0)
+                node = steps[step]
+            piece[node], score[node] = i, s
+        self._steps = np.array(sorted(steps), np.int64)
+        self._leads = np.array([steps[x] for x in sorted(steps)], np.int64)
+        self._piece, self._score = np.array(piece, np.int32), np.array(score)
 
     def spelled(self, char: str) -> tuple[float, tuple[int, ...]]:
         """(score, ids) of a character as its bytes."""
@@ -89,37 +118,18 @@ class PieceModel:
         spelled = [(i, (1, *self.spelled(c))) for i, c in enumerate(chunk) if c not in self.chars]
         return heapq.merge(self.finder.iter(chunk), spelled, key=lambda match: match[0])
 
-    def edges(self, chunk: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each end position: (start, ids, score) of the pieces that end there."""
-        ends: list[list] = [[] for _ in range(len(chunk) + 1)]
-        for last, (length, score, ids) in self.matches(chunk):
-            ends[last + 1].append((last + 1 - length, ids, score))
-        return ends
-
-    @staticmethod
-    def forward(ends: list) -> tuple[list[float], list]:
-        """Best score of reaching each position, and the edge it takes (of equals, the longest)."""
-        score, back = [0.0] + [-math.inf] * (len(ends) - 1), [None] * len(ends)
-        for j in range(1, len(ends)):
-            for edge in ends[j]:
-                s = score[edge[0]] + edge[2]
-                if s > score[j]:
-                    score[j], back[j] = s, edge
-        return score, back
-
-    def best(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
-        """(ids, score, loss of the second best path) of a chunk."""
-        known = self._young.get(chunk)
-        if known is not None:
-            return known
-        known = self._old.get(chunk) or self._best(chunk)
-        if len(self._young) >= REMEMBERED // 2:
-            self._young, self._old = {}, self._young
-        if len(chunk) <= 64:
-            self._young[chunk] = known
-        return known
-
-    def _best(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
+    def forward(self, chunk: str) -> array:
+        """Best score of reaching each position."""
+        score = array("d", [-math.inf]) * (len(chunk) + 1)
+        score[0] = 0.0
+        for last, (length, s, _) in self.matches(chunk):
+            total = score[last + 1 - length] + s
+            if total > score[last + 1]:
+                score[last + 1] = total
+        return score
+
+    def best(self, chunk: str) -> tuple[bytes, float, float]:
+        """(packed ids, score, loss of the second best path) of a chunk; of equal paths, by the longest last pieces."""
         n, low = len(chunk), -math.inf
         score, second, took = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
         score[0] = 0.0
@@ -139,67 +149,168 @@ class PieceModel:
             length, _, ids = took[at]
             parts.append(ids)
             at -= length
-        return tuple(chain.from_iterable(reversed(parts))), score[n], score[n] - second[n]
+        return array("i", chain.from_iterable(reversed(parts))).tobytes(), score[n], score[n] - second[n]
+
+    def best_of_length(self, chunks: list[str]) -> Iterable[tuple[bytes, float, float]]:
+        """``best`` of many chunks of one length, all of whose characters are pieces; one walk down the tree for all."""
+        n, rows = len(chunks[0]), len(chunks)
+        code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(rows, n).T.copy()
+        score, second = np.full((n + 1, rows), -math.inf), np.full((n + 1, rows), -math.inf)
+        score[0] = 0.0
+        took, length = np.zeros((n + 1, rows), np.int32), np.zeros((n + 1, rows), np.int64)
+        for i in range(n):
+            row, node = np.arange(rows), np.zeros(rows, np.int64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                step = node << 21 | code[j - 1, row]
+                at = np.minimum(np.searchsorted(self._steps, step), len(self._steps) - 1)
+                there = self._steps[at] == step
+                row, node = row[there], self._leads[at[there]]
+                if not len(row):
+                    break
+                ends = self._piece[node] >= 0
+                own, leaf = row[ends], node[ends]
+                s = self._score[leaf]
+                total, before = score[i, own] + s, score[j, own]
+                second[j, own] = np.maximum(np.maximum(second[j, own], second[i, own] + s), np.minimum(total, before))
+                better = total > before
+                own = own[better]
+                score[j, own], took[j, own], length[j, own] = total[better], self._piece[leaf[better]], j - i
+        on_path = np.zeros((rows, n + 1), bool)
+        row, at = np.arange(rows), np.full(rows, n)
+        while len(row):
+            on_path[row, at] = True
+            at = at - length[at, row]
+            row, at = row[at > 0], at[at > 0]
+        ids = took.T[on_path].tobytes()
+        edge = [0, *(4 * np.cumsum(on_path.sum(1))).tolist()]
+        return zip([ids[a:b] for a, b in pairwise(edge)], score[n].tolist(), (score[n] - second[n]).tolist(), strict=True)
+
+    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, float, float]]:
+        """``best`` of every chunk; those of up to 64 characters are remembered."""
+        found, new = {}, {}
+        for c in chunks:
+            known = self._young.get(c) or self._old.get(c)
+            if known is None:
+                new.setdefault(len(c) if len(c) <= 64 and self.chars.issuperset(c) else 0, []).append(c)
+            else:
+                found[c] = known
+        for size, some in new.items():
+            if size and len(some) >= TOGETHER:
+                found.update(zip(some, self.best_of_length(some), strict=True))
+            else:
+                found.update((c, self.best(c)) for c in some)
+        for c, known in found.items():
+            if len(c) <= 64:
+                if len(self._young) >= REMEMBERED // 2:
+                    self._young, self._old = {}, self._young
+                self._young[c] = known
+        return found
+
+    def search(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
+        """The ``n`` best paths of a chunk's lattice: (score, packed ids), best first.
 
-    def search(self, ends: list, n: int) -> list[tuple[float, list]]:
-        """The ``n`` best paths of a lattice: (score, edges as (start, end, ids)), best first."""
-        ahead, _ = self.forward(ends)
-        heap, found, count = [(-ahead[-1], 0, len(ends) - 1, 0.0, None)], [], 0
+        Of equal paths the one that has come further goes on first.  A position is left ``n`` times at most: paths reach
+        it best first, and the ``n`` best of the chunk need no more of them.  Edges are looked up where a path comes by.
+        """
+        ahead = self.forward(chunk)
+        heap, found, count, left = [(-ahead[-1], len(chunk), 0, 0.0, None)], [], 0, {}
         while heap and len(found) < n:
-            _, _, at, done, path = heapq.heappop(heap)
+            _, at, _, done, path = heapq.heappop(heap)
             if not at:
-                out = []
+                ids = array("i")
                 while path:
-                    out.append(path[0])
+                    ids.extend(path[0])
                     path = path[1]
-                found.append((done, out))
+                found.append((done, ids.tobytes()))
                 continue
-            for i, ids, s in ends[at]:
+            times = left[at] = left.get(at, 0) + 1
+            if times > n:
+                continue
+            edges = [(i, *self.pieces[chunk[i:at]][1:]) for i in range(max(0, at - self.longest), at) if chunk[i:at] in self.pieces]
+            if chunk[at - 1] not in self.chars:
+                edges.append((at - 1, *self.spelled(chunk[at - 1])))
+            for i, s, ids in edges:
                 count += 1
-                heapq.heappush(heap, (-(ahead[i] + s + done), count, i, s + done, ((i, at, ids), path)))
+                heapq.heappush(heap, (-(ahead[i] + s + done), i, count, s + done, (ids, path)))
         return found
 
-    def encode(self, text: str | None, n: int = 1) -> list[tuple[float, list[int]]]:
-        """Up to ``n`` best segmentations of the whole text: (score, ids); null and empty: one of no piece."""
-        chunks = self.chunks(" " + text) if text else []
-        get, best = self._young.get, self.best
+    def paths(self, chunk: str, n: int) -> tuple[list[tuple[float, bytes]], bool]:
+        """The ``n`` best paths of a chunk as (loss, packed ids), and whether all of them spell it."""
+        known = self._lists.get((chunk, n))
+        if known is None:
+            found = self.search(chunk, n)
+            spell = chunk.encode("utf-8", "surrogatepass")
+            known = [(found[0][0] - s, ids) for s, ids in found], all(self.spell(ids) == spell for _, ids in found)
+            if len(chunk) <= 64:
+                if len(self._lists) >= REMEMBERED // 8:
+                    self._lists.clear()
+                self._lists[chunk, n] = known
+        return known
+
+    def segmentations(self, texts: list[str | None], n: int = 1) -> Iterable[tuple[list[tuple[float, bytes]], bool]]:
+        """For each text up to ``n`` best segmentations of the whole text, as (score, packed ids), and whether all spell it.
+
+        Null and empty: one of no piece.  The chunks of several texts are worked on together.
+        """
+        at = 0
+        while at < len(texts):
+            split, size = [], 0
+            while at < len(texts) and (not split or size < GATHERED):
+                size += len(texts[at] or "")
+                split.append(self.chunks(" " + texts[at]) if texts[at] else [])
+                at += 1
+            known = self.learn(set(chain.from_iterable(split)))
+            for chunks in split:
+                yield self._chained(chunks, known, n)
+
+    def _chained(self, chunks: list[str], known: dict, n: int) -> tuple[list[tuple[float, bytes]], bool]:
         if not chunks:
-            return [(0.0, [])]
-        parts, scores, losses = zip(*[get(c) or best(c) for c in chunks], strict=True)
-        ids = list(chain.from_iterable(parts))
-        total = math.fsum(scores)
+            return [(0.0, b"")], True
+        parts, scores, losses = map(list, zip(*map(known.__getitem__, chunks), strict=True))
+        total, whole = sum(scores), b"".join(parts)
+        equal = self.spell(whole) == "".join(chunks).encode("utf-8", "surrogatepass")
         # of equal losses, those of the first chunks
-        loss = np.array(losses)
-        loose = np.argsort(loss, kind="stable")[: n - 1]
-        at = sorted(loose[loss[loose] < math.inf].tolist())
-        if not at:
-            return [(total, ids)]
-        ends: list[list] = [[]]
-        starts = {}
-        for k in at:
-            shift = len(ends) - 1
-            starts[shift] = k
-            ends += [[(i + shift, x, s) for i, x, s in here] for here in self.edges(chunks[k])[1:]]
-        fixed = total - math.fsum(scores[k] for k in at)
+        loose = []
+        for _ in range(n - 1):
+            least = min(losses)
+            if least == math.inf:
+                break
+            loose.append(losses.index(least))
+            losses[loose[-1]] = math.inf
+        if not loose:
+            return [(total, whole)], equal
+        loose.sort()
+        lists = []
+        for k in loose:
+            found, spelled = self.paths(chunks[k], n)
+            lists.append(found)
+            equal &= spelled
+        # a choice of the i-th, j-th, ... path comes behind (i + 1) (j + 1) ... - 1 others at least
+        choices = [((), 0.0, 1)]
+        for found in lists:
+            choices = [((*c, i), loss + found[i][0], rank * (i + 1)) for c, loss, rank in choices for i in range(min(len(found), n // rank))]
         offset = list(accumulate(map(len, parts), initial=0))
         out = []
-        for score, path in self.search(ends, n):
-            own: dict[int, list[int]] = {}
-            for i, _, x in path:
-                if i in starts:
-                    current = own.setdefault(starts[i], [])
-                current.extend(x)
+        for choice, loss, _ in sorted(choices, key=lambda c: (c[1], c[0]))[:n]:
             new, last = [], 0
-            for k in at:
-                new += ids[last : offset[k]] + own[k]
+            for k, found, i in zip(loose, lists, choice, strict=True):
+                new += [whole[last : offset[k]], found[i][1]]
                 last = offset[k + 1]
-            out.append((fixed + score, new + ids[last:]))
-        return out
+            out.append((total - loss, b"".join([*new, whole[last:]])))
+        return out, equal
+
+    def encode(self, text: str | None, n: int = 1) -> list[tuple[float, list[int]]]:
+        """Up to ``n`` best segmentations of the whole text: (score, ids); null and empty: one of no piece."""
+        return [(score, array("i", ids).tolist()) for score, ids in next(iter(self.segmentations([text], n)))[0]]
+
+    def spell(self, packed: bytes) -> bytes:
+        """The bytes that packed ids stand for."""
+        ids = array("i", packed)
+        return b"".join(itemgetter(*ids)(self.bytes_of) if len(ids) > 1 else [self.bytes_of[i] for i in ids])
 
     def decode(self, ids: list[int] | None) -> str:
         """The text of a segmentation; ids of control pieces have no text."""
-        parts = itemgetter(*ids)(self.bytes_of) if ids and len(ids) > 1 else [self.bytes_of[i] for i in ids or []]
-        return b"".join(parts).decode("utf-8", "replace")[1:]
+        return self.spell(array("i", ids if ids is not None else []).tobytes()).decode("utf-8", "replace")[1:]
 
 
 _models: dict[str, PieceModel] = {}
@@ -227,10 +338,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N_
         m = model(path)
         for part in slices(parts):
             found, equal = [], []
-            for t in part.column(1).to_pylist():
-                best = m.encode(t, n)
-                found.append([{"score": s, "ids": ids} for s, ids in best])
-                equal.append(all(m.decode(ids) == (t or "") for _, ids in best))
+            for best, same in m.segmentations(part.column(1).to_pylist(), n):
+                found.append([{"score": s, "ids": array("i", ids).tolist()} for s, ids in best])
+                equal.append(same)
             yield batches(pa.schema([("key", part.schema.field(0).type), ("segmentations", pa.list_(item)), ("decoded_equal", pa.bool_())]), [part.column(0), found, equal])
 
     return rows.mapInArrow(run, f"key {kind}, segmentations array<struct<score:double,ids:array<int>>>, decoded_equal boolean").withColumnRenamed("key", key)
@@ -253,16 +363,13 @@ def op3_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
         m = model(MODEL_PATH)
         for part in slices(parts):
             out = [[] for _ in range(7)]
-            for t in part.column(1).to_pylist():
-                best = m.encode(t, N_BEST)
+            for best, equal in m.segmentations(part.column(1).to_pylist(), N_BEST):
                 every = hashlib.sha256()
-                packed = [array("i", ids).tobytes() for _, ids in best]
-                for part_ids in packed:
-                    every.update(part_ids)
+                for _, ids in best:
+                    every.update(ids)
                     every.update(b"|")
-                first, own = best[0][1], hashlib.sha256(packed[0]).hexdigest()
-                equal = all(m.decode(ids) == (t or "") for _, ids in best)
-                for column, value in zip(out, (len(first), len(best), best[0][0], best[-1][0], own, every.hexdigest(), equal), strict=True):
+                first = best[0][1]
+                for column, value in zip(out, (len(first) // 4, len(best), best[0][0], best[-1][0], hashlib.sha256(first).hexdigest(), every.hexdigest(), equal), strict=True):
                     column.append(value)
             yield batches(schema, [part.column(0), *out])
 
@@ -283,11 +390,10 @@ def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         m = model(MODEL_PATH)
         for part in slices(parts):
             ids, scores, equal = [], [], []
-            for t in part.column(5).to_pylist():
-                best = m.encode(t, N_BEST)
-                ids.append(best[0][1])
+            for best, same in m.segmentations(part.column(5).to_pylist(), N_BEST):
+                ids.append(np.frombuffer(best[0][1], np.int32))
                 scores.append([s for s, _ in best])
-                equal.append(m.decode(best[0][1]) == (t or ""))
+                equal.append(same)
             yield batches(schema, [*part.columns[:5], ids, scores, equal])
 
     return rows.mapInArrow(run, "doc_id long, source string, lang string, slot long, place long, ids array<int>, scores array<double>, decoded_equal boolean")

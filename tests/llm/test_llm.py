@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -195,6 +196,32 @@ def test_nbest_equals_all_paths():
         assert all(m.decode(ids) == text for _, ids in got)
 
 
+def test_search_ends_on_long_texts_without_spaces():
+    m = sentencepiece.PieceModel()
+    letters = random.Random(5)
+    for text in ("a" * 100_000, "-" * 20_000, "".join(letters.choice("abcdefghij") for _ in range(100_000)), "the\u0378" * 20_000):
+        begun = time.process_time()
+        (found, equal), = m.segmentations([text], 4)
+        assert time.process_time() - begun < 20
+        assert equal and len({ids for _, ids in found}) == 4
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+        assert all(m.decode(np.frombuffer(ids, np.int32)) == text for _, ids in found)
+
+
+def test_chunks_together_equal_chunks_alone():
+    m = sentencepiece.PieceModel()
+    letters = random.Random(6)
+    chunks = list({" " + "".join(letters.choice("abcdethosé-") for _ in range(letters.randint(1, 9))) for _ in range(3000)} | {" ", "a"})
+    by_length: dict = {}
+    for c in chunks:
+        by_length.setdefault(len(c), []).append(c)
+    for some in by_length.values():
+        assert list(m.best_of_length(some)) == [m.best(c) for c in some]
+    texts = ["".join(letters.sample(chunks, 40)).strip() for _ in range(50)] + [None, "", " ", "\n"]
+    alone = [next(iter(sentencepiece.PieceModel().segmentations([x], 4))) for x in texts[:3]]
+    assert list(m.segmentations(texts, 4))[:3] == alone
+
+
 def test_sentencepiece_edges(odd, empty):
     got = sentencepiece.encode(odd).collect()
     assert len(got) == odd.count() and all(r.decoded_equal for r in got)
