@@ -1,9 +1,10 @@
 """Main text of web pages from flat text blocks (operator 1).
 
 A page is read as a flat row of text blocks.  A block is described by its number of words, the share of them inside
-links, the same of the blocks before and after it, and by what its open elements say about their role.  A decision tree
-tells text from boilerplate.  It is trained by Spark on a small labelled table: the blocks of template pages whose
-elements carry their label.
+links, the same of the blocks before and after it, by what its open elements say about their role, and by whether the
+page says anywhere where its content is.  A decision tree tells text from boilerplate.  It is trained by Spark on a
+small labelled table: the blocks of template pages whose elements carry their label.  Some of these pages name their
+content, some only their boilerplate, some nothing at all: there length and link density decide.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from harmonium.llm.common import read
 
-FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "aside", "inside", "heading"]
-MAX_DEPTH = 7
+FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "aside", "inside", "heading", "marked"]
+MAX_DEPTH = 9
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
 _SKIPPED = frozenset("script style noscript template head title textarea select svg math iframe object canvas audio video datalist".split())
@@ -44,6 +45,11 @@ _ASIDE_WORDS = frozenset(
     "notice notification overlay pager pagination paywall popup prefooter promo promoted promotion rail recommended recommendations related replies reply respond responses search share "
     "sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar warning widget widgets".split())
 _INSIDE_WORDS = frozenset("article articlebody body content entry main post postbody story text".split())
+#: First words of a class that says something about the page or the kind of the text, not about the element's role.
+_ABOUT = frozenset("category format has is no not page single status tag tagged type with without".split())
+#: Texts of blocks that only announce an advert.
+_ANNOUNCED = frozenset(["ad", "ads", "advert", "advertisement", "advertisements", "advertising", "promoted", "sponsored", "sponsored content"])
+_SEPARATORS = frozenset("| / - – — · • > » › & , ::".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop|data-label|data-testid)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true""", re.I)
@@ -63,9 +69,13 @@ def _role(name: str, attributes: str) -> tuple[int, int, str]:
             if key.lower() == "data-label":
                 label = value.strip("\"'")
                 continue
-            found = {w.lower() for w in _WORD.findall(value)}
-            inside |= int(bool(found & _INSIDE_WORDS))
-            aside |= int(bool(found & _ASIDE_WORDS) and not (name in ("body", "html", "article", "main")))
+            # a name that holds words of both kinds (post-comments) is boilerplate; an element with names of both is not
+            names = [[w.lower() for w in _WORD.findall(x)] for x in value.strip("\"'").split()]
+            names = [x for x in names if x and not (len(x) > 1 and x[0] in _ABOUT)]
+            says_aside = [not _ASIDE_WORDS.isdisjoint(x) for x in names]
+            says_inside = any(not a and not _INSIDE_WORDS.isdisjoint(x) for a, x in zip(says_aside, names, strict=True))
+            inside |= int(says_inside)
+            aside |= int(any(says_aside) and not says_inside and name not in ("body", "html", "article", "main"))
     if len(_roles) > 20_000:
         _roles.clear()
     _roles[name, attributes] = (aside, inside, label)
@@ -149,7 +159,11 @@ def blocks(html: str | None) -> list[tuple[str, int, int, int, int, int, str]]:
             text = unescape("".join(parts)).split()
             if text:
                 _, aside, inside, label = stack[-1]
-                out.append((" ".join(text), len(text), min(len(text), len(unescape("".join(linked)).split())), aside, inside, heading, label))
+                aside = int(aside & 1 or aside & 2 and not heading or len(text) < 3 and " ".join(text).strip(" :.-[]()").lower() in _ANNOUNCED)
+                in_links = unescape("".join(linked)).split()
+                # signs between links are no words
+                n = len(text) - sum(w in _SEPARATORS for w in text) if in_links else len(text)
+                out.append((" ".join(text), n, min(n, len(in_links)), aside, inside, heading, label))
             parts, linked = [], []
 
     while found := _TAG.search(html, at):
@@ -193,6 +207,8 @@ def blocks(html: str | None) -> list[tuple[str, int, int, int, int, int, str]]:
                     _end(stack, name, implied=True)
                 aside, inside, label = _role(name, attributes)
                 _, aside0, inside0, label0 = stack[-1]
+                if name == "header" and inside0 and not _role("div", attributes)[0]:
+                    aside = 2  # the header of an article: its headings belong to the text
                 if inside and name in _INSIDE:
                     aside0 = 0 if stack[-1][0] in ("body", "html", "") else aside0
                 stack.append((name, aside | aside0, inside | inside0, label or label0))
@@ -221,46 +237,67 @@ def _end(stack: list, name: str, implied: bool = False, inline: bool = False) ->
 
 def features(found: list) -> list[list[float]]:
     """The values of ``FEATURES`` for each block; beyond the ends of the page stand blocks without words."""
-    density = [b[2] / b[1] for b in found]
+    density = [b[2] / max(b[1], 1) for b in found]
     size = [float(b[1]) for b in found]
+    marked = float(any(b[4] and not b[3] for b in found))
     out = []
     for i, b in enumerate(found):
         before = (size[i - 1], density[i - 1]) if i else (0.0, 0.0)
         after = (size[i + 1], density[i + 1]) if i + 1 < len(found) else (0.0, 0.0)
-        out.append([size[i], density[i], *before, *after, float(b[3]), float(b[4]), float(b[5])])
+        out.append([size[i], density[i], *before, *after, float(b[3]), float(b[4]), float(b[5]), marked])
     return out
 
 
 def labelled_pages() -> list[str]:
-    """Template pages whose elements carry ``data-label`` keep or drop.  Lengths are varied by rule."""
+    """Template pages whose elements carry ``data-label`` keep or drop.  Lengths are varied by rule.
+
+    Every page has an article between boilerplate.  The article stands in an element that names it, or in one that does
+    not, or in none; its blocks are paragraphs, lines of ``div`` or a mixture.  The boilerplate names itself or not.
+    """
     text = lambda n, k=0: " ".join(f"w{(i * 7 + k) % 23}" for i in range(n))
     links = lambda n, k=2: "".join(f"<li><a href='/x'>{text(k, i)}</a></li>" for i in range(n))
     keep = [
-        lambda n: f"<p>{text(n)}</p>", lambda n: f"<h2>{text(1 + n % 9)}</h2>", lambda n: f"<p>{text(n)} <a href='/y'>{text(1 + n // 12)}</a> {text(n // 2)}</p>",
+        lambda n: f"<p>{text(n)}</p>", lambda n: f"<h2>{text(1 + n % 9)}</h2><p>{text(n + 6)}</p>", lambda n: f"<p>{text(n)} <a href='/y'>{text(1 + n // 12)}</a> {text(n // 2)}</p>",
         lambda n: f"<ul><li>{text(1 + n % 13)}</li><li>{text(2 + n % 7)}</li></ul>", lambda n: f"<blockquote>{text(n)}</blockquote>", lambda n: f"<p>{text(1 + n % 3)}</p>",
-        lambda n: f"<table><tr><td>{text(2)}</td><td>{text(3)}</td></tr></table>",
+        lambda n: f"<table><tr><td>{text(2)}</td><td>{text(3)}</td></tr></table>", lambda n: f"<p><a href='/r'>{text(1 + n % 6)}</a></p><p>{text(n + 10)}</p>",
+        lambda n: f"<p>{text(2 + n % 9)} <a href='/s'>{text(1 + n % 3)}</a> {text(1 + n % 5)}</p>", lambda n: f"<ul><li>{text(2 + n % 5)} <a href='/t'>{text(1 + n % 2)}</a></li><li><a href='/u'>{text(2)}</a> {text(2 + n % 8)}</li></ul>",
     ]
-    drop = [
+    named = [
         lambda n: f"<nav><ul>{links(2 + n % 6)}</ul></nav>", lambda n: f"<div class='ad'>{text(2 + n % 30)}</div>", lambda n: f"<footer>{text(3 + n % 20)} <a href='/z'>{text(2)}</a></footer>",
         lambda n: f"<aside><h3>{text(2)}</h3><p>{text(n % 60 + 1)}</p></aside>", lambda n: f"<div class='cookie-notice'><p>{text(5 + n % 40)}</p></div>", lambda n: f"<form><label>{text(2)}</label><p>{text(n % 12 + 1)}</p></form>",
-        lambda n: f"<div id='comments'><p>{text(n % 80 + 1)}</p><p>{text(n % 9 + 1)}</p></div>", lambda n: f"<ul>{links(3 + n % 5)}</ul>", lambda n: f"<header><div>{text(1 + n % 8)}</div></header>",
-        lambda n: f"<div class='sidebar'><p>{text(1 + n % 50)}</p></div>", lambda n: f"<p><a href='/n'>{text(1 + n % 6)}</a></p>",
-        lambda n: f"<div>{text(1 + n % 7)}</div>", lambda n: f"<div><a href='/p'>{text(1 + n % 3)}</a> | <a href='/q'>{text(2)}</a></div>",
+        lambda n: f"<div id='comments'><p>{text(n % 80 + 1)}</p><p>{text(n % 9 + 1)}</p></div>", lambda n: f"<header><div>{text(1 + n % 8)}</div></header>", lambda n: f"<div class='sidebar'><p>{text(1 + n % 50)}</p></div>",
+    ]
+    unnamed = [
+        lambda n: f"<ul>{links(3 + n % 5)}</ul>", lambda n: f"<div><a href='/p'>{text(1 + n % 3)}</a> | <a href='/q'>{text(2)}</a></div><div><a href='/s'>{text(1 + n % 4)}</a></div>",
+        lambda n: f"<ul>{links(2 + n % 4, 3 + n % 9)}</ul>", lambda n: f"<div><a href='/p'>{text(4)}</a> {text(1 + n % 3)} <a href='/q'>{text(3)}</a></div><ul>{links(3)}</ul>",
+        lambda n: f"<div><a href='/p'>{text(1 + n % 3)}</a></div><h3>{text(1 + n % 3)}</h3><ul>{links(3 + n % 6, 1 + n % 7)}</ul>",
     ]
+    wrap = lambda x: f"<div data-label='drop'>{x}</div>" if x else ""
+    naming = ["<article{}>|</article>", "<main{}>|</main>", "<div id='content'{}>|</div>", "<div class='post type-post category-news'{}>|</div>", "<div class='entry-content has-sidebar'{}>|</div>"]
+    silent = ["<div{}>|</div>", "<div class='row wide'{}>|</div>", "<section{}>|</section>"]
     pages = []
-    for k in range(96):
+    for k in range(480):
         size = [3 + (k * 11 + j * 17) % 90 for j in range(12)]
-        body = "".join(keep[(k + j * 3) % len(keep)](size[j]) for j in range(1 + k % 6))
-        # inside the text stand only blocks that say what they are: comments, adverts, sidebars, forms
-        inner = drop[[6, 1, 9, 5][k % 4]](size[7]) if k % 3 == 0 else ""
-        opening = ["<article data-label='keep'>", "<main data-label='keep'>", "<div id='content' data-label='keep'>", "<div data-label='keep'>"][k % 4]
-        closing = ["</article>", "</main>", "</div>", "</div>"][k % 4]
-        title = f"<h1>{text(2 + k % 10)}</h1>" if k % 4 != 3 else ""
-        if k % 4 == 3:  # nothing tells the text's element: only paragraphs of some length
-            body = "".join(f"<p>{text(9 + size[j])}</p>" for j in range(1 + k % 4)) + (f"<p>{text(1 + k % 8)}</p><p>{text(12 + k)}</p>" if k % 8 == 7 else "")
-        wrap = lambda x: f"<div data-label='drop'>{x}</div>" if x else ""
-        outer = [wrap(drop[(k + j) % len(drop)](size[6 + j])) for j in range(5)]
-        pages.append(f"<html><body>{outer[0]}{outer[1]}{opening}{title}{body}{wrap(inner)}{closing}{outer[2]}{outer[3]}{wrap(drop[2](size[9]))}</body></html>")
+        marks = k % 2 == 0
+        opening, closing = (naming[k // 2 % len(naming)] if marks else silent[k // 2 % len(silent)]).format(" data-label='keep'").split("|")
+        title = f"<h1>{text(2 + k % 10)}</h1>" if k // 2 % 3 else ""
+        if marks:  # blocks of any kind and length
+            body = "".join(keep[(k // 2 + j * 3) % len(keep)](size[j]) for j in range(1 + k % 6))
+            # inside the text stand blocks that say what they are, and rows of links
+            inner = [named[6], named[1], named[8], unnamed[0], unnamed[2], lambda n: ""][k // 2 % 6](size[7])
+            outer = [(named + unnamed + [lambda n: f"<div>{text(n)}</div>"])[(k // 2 + 4 * j) % 15](size[6 + j]) for j in range(5)]
+        else:
+            line = ["<p>{}</p>", "<div>{}</div>", "{}<hr>"][k // 6 % 3]
+            body = "".join(line.format(text([9 + size[j], 4 + size[j] % 14][k // 2 % 2])) for j in range(2 + k % 5))
+            if k % 8 == 7:
+                body += f"<p>{text(10 + k % 30)} <a href='/y'>{text(2 + k % 4)}</a></p><p>{text(1 + k % 3)}</p><p>{text(12 + k % 50)}</p>"
+            inner = ""
+            outer = [([*unnamed, named[0], named[2]] if k % 4 == 1 else [*unnamed, *named])[(k // 2 + 3 * j) % (7 if k % 4 == 1 else 14)](size[6 + j]) for j in range(5)]
+        if k // 2 % 4 == 3:  # nothing before the text, or nothing around it
+            outer = ["", "", *([""] * 3 if k // 8 % 2 else outer[2:])]
+            if k // 8 % 4 == 1:  # a single block
+                title, body, inner = "", f"<p>{text(size[3])}</p>", ""
+        pages.append(f"<html><body>{wrap(outer[0])}{wrap(outer[1])}{opening}{title}{body}{wrap(inner)}{closing}{wrap(outer[2])}{wrap(outer[3])}{wrap(outer[4])}</body></html>")
     return pages
 
 
@@ -312,4 +349,5 @@ def extract(pages: DataFrame, html: str = "html", tree: tuple | None = None) ->
 
 
 def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page: page_id, url, text, n_chars; see ``extract`` for odd rows."""
     return extract(read(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")

@@ -366,6 +366,39 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0), tree=tree).count() == 0
 
 
+def test_articles_of_many_forms(spark):
+    tree = html_text.train(spark)
+
+    def features_used(node):
+        return {html_text.FEATURES[node[0]]} | features_used(node[2]) | features_used(node[3]) if isinstance(node, tuple) else set()
+
+    assert {"words", "link_density"} <= features_used(tree) and {"density_before", "density_after"} & features_used(tree)
+    one, two = ("the river runs past the old mill and the town " * 3).strip(), ("many people came to see the bridge last year " * 2).strip()
+    article = f"<h1>A day out</h1><p>{one}</p><p>{two}</p>"
+    want = f"A day out\n\n{one}\n\n{two}"
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News today</a></li><li><a href=c>About us</a></li><li><a href=d>Shop</a></li></ul>"
+    end = "<div><a href=x>Imprint</a> | <a href=y>Privacy</a></div><div><a href=z>Contact</a></div>"
+    for open_, close in (
+        ('<div class="content has-sidebar">', "</div>"), ('<div class="post type-post category-news tag-x">', "</div>"), ("<article><header>", "</header></article>"),
+        ("<article>", "</article>"), ('<div class="row">', "</div>"), ("", ""),
+    ):
+        inner = article.replace("</h1>", "</h1></header>").replace("</p></header>", "</p>") if "<header>" in open_ else article
+        page = f"{open_}{inner}{close.replace('</header>', '')}"
+        for before, after in (("", ""), (f"<nav>{menu}</nav>", f"<footer>{end}</footer>"), (menu, end)):
+            assert html_text.main_text(f"<html><body>{before}{page}{after}</body></html>", tree) == want, (open_, before)
+    lines = [" ".join(one.split()[: 8 + i]) for i in range(6)]
+    assert html_text.main_text("<body>" + "".join(f"<p>{x}</p>" for x in [one, two] * 3) + "</body>", tree) == "\n\n".join([one, two] * 3)
+    assert html_text.main_text("<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>", tree) == "\n\n".join(lines)
+    assert html_text.main_text(f"<body>{menu}" + "".join(f"<div>{x}</div>" for x in lines) + f"{end}</body>", tree) == "\n\n".join(lines)
+    advert = '<div class="nb"><p>Advertisement</p></div>'
+    assert html_text.main_text(f"<article><h1>A day out</h1><p>{one}</p>{advert}<p>{two}</p></article>", tree) == want
+    comments = f'<div class="post-comments"><p>{one}</p></div>'
+    assert html_text.main_text(f"<body><article>{article}</article>{comments}</body>", tree) == want
+    assert html_text.main_text(f"<body><div class=story>{article}{menu}</div></body>", tree) == want
+    short = "<p>See the <a href=r>report</a> for more.</p>"
+    assert html_text.main_text(f"<body>{menu}<article><h1>A day out</h1>{short}<p>{one}</p>{short}</article></body>", tree) == f"A day out\n\nSee the report for more.\n\n{one}\n\nSee the report for more."
+
+
 def test_scripts_and_open_heads_end_where_they_end():
     read = lambda page: [b[0] for b in html_text.blocks(page)]
     text = "<p>First text.</p>{}<p>Second text.</p>"
