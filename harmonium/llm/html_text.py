@@ -285,7 +285,8 @@ def labelled_pages() -> list[str]:
             body = "".join(keep[(k // 2 + j * 3) % len(keep)](size[j]) for j in range(1 + k % 6))
             # inside the text stand blocks that say what they are, and rows of links
             inner = [named[6], named[1], named[8], unnamed[0], unnamed[2], lambda n: ""][k // 2 % 6](size[7])
-            outer = [(named + unnamed + [lambda n: f"<div>{text(n)}</div>"])[(k // 2 + 4 * j) % 15](size[6 + j]) for j in range(5)]
+            beside = [lambda n: f"<div>{text(n)}</div>", lambda n: f"<p>{text(1 + n % 40)}</p>", lambda n: f"<div><p>{text(n)}</p><p>{text(3 + n % 25)}</p></div>"]
+            outer = [(beside if (k // 2 + j) % 2 else named + unnamed)[(k // 2 + 4 * j) % (3 if (k // 2 + j) % 2 else 14)](size[6 + j]) for j in range(5)]
         else:
             line = ["<p>{}</p>", "<div>{}</div>", "{}<hr>"][k // 6 % 3]
             body = "".join(line.format(text([9 + size[j], 4 + size[j] % 14][k // 2 % 2])) for j in range(2 + k % 5))
