@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from harmonium.session import materialise, tune
 
-__all__ = ["batches", "bounded_batches", "broadcast_if_small", "materialise", "mix", "prepared", "read", "slices", "word_hashes", "words"]
+__all__ = ["SLICE_BYTES", "batches", "bounded_batches", "broadcast_if_small", "materialise", "mix", "prepared", "read", "slices", "word_hashes", "words"]
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows of a Python step that are worked on together.
 SLICE_ROWS = 512
+#: Bytes of such a part where what is made of a text is many times its size.
+SLICE_BYTES = 1 << 20
 #: Largest list of ids or groups that is sent to every task; anything longer is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -52,10 +54,18 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows, and of about ``size`` bytes at most unless a single row is longer."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+            todo = [batch.slice(start, rows)]
+            while todo:
+                part = todo.pop()
+                if size is None or part.num_rows < 2 or part.nbytes <= size:
+                    yield part
+                else:
+                    half = part.num_rows // 2
+                    todo += [part.slice(half), part.slice(0, half)]
 
 
 def batches(schema: pa.Schema, columns: list) -> pa.RecordBatch:

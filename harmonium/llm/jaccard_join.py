@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from harmonium.llm.common import DOCUMENT_COLUMNS, batches, broadcast_if_small, materialise, mix, prepared, read, slices, word_hashes, words
+from harmonium.llm.common import DOCUMENT_COLUMNS, SLICE_BYTES, batches, bounded_batches, broadcast_if_small, materialise, mix, prepared, read, slices, word_hashes, words
 from harmonium.llm.components import components
 
 #: Shingle length in words, and the threshold in per cent.
@@ -124,7 +124,7 @@ def _sets(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())])
 
     def run(parts):
-        for part in slices(parts):
+        for part in slices(parts, size=SLICE_BYTES):
             out = [(len(h), *_identity(h)) for h in (shingles(t, k) for t in part.column(1).to_pylist())]
             yield batches(schema, [part.column(0), *map(list, zip(*out, strict=True))])
 
@@ -136,7 +136,7 @@ def _keys(k: int, percent: int):
     schema = pa.schema([("node", pa.int64()), ("key", pa.int64()), ("code", pa.int64())])
 
     def run(parts):
-        for part in slices(parts):
+        for part in slices(parts, size=SLICE_BYTES):
             nodes, keys, codes = [], [], []
             for text, a, b, node in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 h = shingles(text, k)
@@ -157,7 +157,7 @@ def _hashes(k: int):
     schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(parts):
-        for part in slices(parts):
+        for part in slices(parts, size=SLICE_BYTES):
             found = [shingles(t, k) for t in part.column(1).to_pylist()]
             yield batches(schema, [*map(list, zip(*map(_identity, found), strict=True)), [h.view(np.int64) for h in found]])
 
@@ -173,7 +173,7 @@ def _parities(k: int):
     schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("p", pa.list_(pa.int64()))])
 
     def run(parts):
-        for part in slices(parts):
+        for part in slices(parts, size=SLICE_BYTES):
             found = [shingles(t, k) for t in part.column(1).to_pylist()]
             odd = [np.packbits((np.bincount((h >> np.uint64(20)).astype(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1).astype(bool)).view(np.int64) for h in found]
             yield batches(schema, [*map(list, zip(*map(_identity, found), strict=True)), odd])
@@ -198,6 +198,8 @@ HUB_SHARE = 1 / 16
 HUB_ROUNDS = 3
 #: Keys with more holders are joined under the parity bound as well; its number of classes.
 CROWDED, PARITIES = 64, 1024
+#: Keys just before that a row on a crowded key carries; a pair that shares none of them is formed again, which is work only.
+EARLIER = 24
 
 
 class JaccardJoin:
@@ -219,7 +221,10 @@ class JaccardJoin:
         self.k, self.percent = k, percent
 
     def fit(self, docs: DataFrame) -> JaccardJoin:
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        with bounded_batches(docs.sparkSession):
+            return self._fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+    def _fit(self, texts: DataFrame) -> JaccardJoin:
         self._sets = materialise(texts.mapInArrow(_sets(self.k), "doc_id long, n_shingles long, set_a long, set_b long"), "sets")
         nodes = self._sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"))
         # a node is called by its first doc_id; by a hash, if different sets have that doc_id
@@ -312,7 +317,7 @@ class JaccardJoin:
             .select("key", F.col("node").alias("a"), _size("code").alias("size_a"), F.col("group").alias("group_a"), deletion.alias("deletion_a"), "second", "n_all")
         )
         asks = materialise(asks, "asks")
-        gives = held.select("key", F.col("node").alias("b"), _size("code").alias("size_b"), F.col("group").alias("group_b"), deletion.alias("deletion_b"))
+        gives = held.select("key", F.col("node").alias("b"), _size("code").alias("size_b"), F.col("group").alias("group_b"), deletion.alias("deletion_b"), probe.alias("probe_b"))
         smaller = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("b") < F.col("a")))
         fits = smaller & (F.col("size_b") * 100 >= F.col("size_a") * percent) & (
             ~F.col("deletion_a") & (~F.col("deletion_b") | (F.col("second") == 1)) | F.col("deletion_a") & ~F.col("deletion_b"))
@@ -324,13 +329,27 @@ class JaccardJoin:
         if not many.limit(1).count():
             return pairs.distinct()
         many_gives = materialise(gives.join(many.select("key").distinct(), "key", "left_semi"), "crowded")
-        parity = self._of_nodes(many.select(F.col("a").alias("node")).union(many_gives.select(F.col("b").alias("node"))).distinct(), texts, _parities(self.k), "p")
+        return pairs.union(self._crowded_pairs(many, many_gives, fits, texts)).distinct()
+
+    def _crowded_pairs(self, asks: DataFrame, gives: DataFrame, fits: Column, texts: DataFrame) -> DataFrame:
+        """Pairs on crowded keys that the parity bound leaves, each under the first of the keys it shares, or few more.
+
+        Every row carries the whole-segment keys that its node holds just before in the order of keys.  A pair that has met
+        under one of them is not formed again; by induction along that order, its first key always forms it.
+        """
+        parity = self._of_nodes(asks.select(F.col("a").alias("node")).union(gives.select(F.col("b").alias("node"))).distinct(), texts, _parities(self.k), "p")
         words_ = range(PARITIES // 64)
         of = lambda end: parity.select(F.col("node").alias(end), *[F.col("p")[i].alias(f"{end}{i}") for i in words_])
+
+        def earlier(rows: DataFrame, end: str, *also: str) -> DataFrame:
+            before = W.partitionBy(end, *also).orderBy("key").rowsBetween(-EARLIER, -1)
+            return rows.withColumn(f"earlier_{end}", F.collect_list(F.when(~F.col(f"deletion_{end}"), F.col("key"))).over(before))
+
         differ = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in words_)
-        bound = F.expr(f"((size_a + size_b) * {100 - percent}) div {100 + percent}")
-        crowded = many.join(of("a"), "a").join(many_gives.join(of("b"), "b"), "key").where((F.col("group_a") != F.col("group_b")) & fits & (differ <= bound)).select("a", "b")
-        return pairs.union(crowded).distinct()
+        bound = F.expr(f"((size_a + size_b) * {100 - self.percent}) div {100 + self.percent}")
+        left, right = earlier(asks, "a").join(of("a"), "a"), earlier(gives, "b", "probe_b").join(of("b"), "b")
+        met = F.arrays_overlap("earlier_a", "earlier_b")
+        return left.join(right, "key").where((F.col("group_a") != F.col("group_b")) & fits & (differ <= bound) & ~met).select("a", "b")
 
     def _of_nodes(self, nodes: DataFrame, texts: DataFrame, step, column: str) -> DataFrame:
         """(node, column): what ``step`` makes of the nodes' texts."""
