@@ -339,7 +339,7 @@ class JaccardJoin:
         """
         parity = self._of_nodes(asks.select(F.col("a").alias("node")).union(gives.select(F.col("b").alias("node"))).distinct(), texts, _parities(self.k), "p")
         words_ = range(PARITIES // 64)
-        of = lambda end: parity.select(F.col("node").alias(end), *[F.col("p")[i].alias(f"{end}{i}") for i in words_])
+        of = lambda end: parity.select(F.col("node").alias(end), *[F.coalesce(F.col("p")[i], F.lit(0)).alias(f"{end}{i}") for i in words_])  # noqa: E731  (no null checks in the inner loop)
 
         def earlier(rows: DataFrame, end: str, *also: str) -> DataFrame:
             before = W.partitionBy(end, *also).orderBy("key").rowsBetween(-EARLIER, -1)
