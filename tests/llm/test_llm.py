@@ -106,6 +106,41 @@ def test_small_sets_link_by_an_appended_word(spark):
             assert all(jaccard_join.bands(s, percent)[0] in reached for s in range(r, r * 100 // percent + 1)), (percent, r)
 
 
+def test_crowded_pairs_are_formed_about_once(spark, monkeypatch):
+    """Texts with a common passage: the rows of the crowded join grow no faster than the pairs that differ."""
+    base, rows = prose(200, 17).split(), []
+    for i in range(40):
+        copy = list(base)
+        for at in random.Random(i).sample(range(len(copy)), 7):
+            copy[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    formed = []
+    plain = jaccard_join.JaccardJoin._crowded_pairs
+
+    def counted(self, *args):
+        found = plain(self, *args)
+        formed.append((found.count(), found.distinct().count()))
+        return found
+
+    monkeypatch.setattr(jaccard_join, "CROWDED", 1)
+    monkeypatch.setattr(jaccard_join, "HUB_ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join.JaccardJoin, "_crowded_pairs", counted)
+    got = jaccard_join.JaccardJoin().fit(spark.createDataFrame(rows, "doc_id long, text string")).membership.collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    assert formed and all(n <= 2 * different for n, different in formed)
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from harmonium.llm.common import slices
+
+    texts = ["a" * n for n in (0, 10, 5000, 20, 30, 3000, 1)]
+    parts = list(slices(iter([pa.record_batch([pa.array(texts)], ["text"])]), rows=5, size=1000))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.nbytes <= 1000 for p in parts)
+
+
 def test_crowded_keys_give_the_same_links(spark, monkeypatch):
     base = prose(120, 300).split()
     rows = []
@@ -116,8 +151,9 @@ def test_crowded_keys_give_the_same_links(spark, monkeypatch):
         rows.append((i, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(rows)
-    for crowded, rounds in ((1, 1), (64, 1), (4, 3)):
+    for crowded, rounds, earlier in ((1, 1, 24), (1, 1, 1), (64, 1, 24), (4, 3, 2)):
         monkeypatch.setattr(jaccard_join, "CROWDED", crowded)
+        monkeypatch.setattr(jaccard_join, "EARLIER", earlier)
         monkeypatch.setattr(jaccard_join, "HUB_ROUNDS", rounds)
         got = jaccard_join.JaccardJoin().fit(docs).membership.collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
