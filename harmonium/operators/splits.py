@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harmonium.operators import ranking
+from harmonium.session import fine_partitions, materialise
 
 PART = "split"
 
@@ -54,15 +55,21 @@ def assign_split(df: DataFrame, strategy: str = "random", test_size: float = 0.2
     Rows are dealt in the order of an md5 digest: the first go to test, the
     next to val, the rest to train; per user for ``user_stratified``, where
     users with fewer than ``min_rows`` rows stay in train.  Equal rows are
-    counted first, so copies never crowd one task.
+    counted first, so copies never crowd one task.  The result is written once, in tasks of bounded size.
     """
     if strategy not in ("random", "user_stratified"):
         raise ValueError(f"Unknown split strategy: {strategy}")
+    with fine_partitions(df.sparkSession):
+        return materialise(_dealt(df, strategy, test_size, val_size, random_state, user_col, item_col, min_rows, slice_rows, copy_chunk), "split")
+
+
+def _dealt(df: DataFrame, strategy: str, test_size: float, val_size: float, random_state: int, user_col: str, item_col: str,
+           min_rows: int, slice_rows: int, copy_chunk: int) -> DataFrame:
     keys = [user_col] if strategy == "user_stratified" else []
     named = [c for c in (user_col, item_col) if c in df.columns] or df.columns
     others = [c for c in df.columns if c not in named]
 
-    rows = df.groupBy(*df.columns).agg(F.count("*").alias("__copies"))
+    rows = materialise(df.groupBy(*df.columns).agg(F.count("*").alias("__copies")), "split-rows")
     rows = rows.withColumn("__digest", ranking.digest(*named, seed=random_state))
     sizes = rows.groupBy(*keys).agg(F.sum("__copies").alias("size"), F.max("__copies").alias("copies"))
     largest = sizes.agg(F.max("size").alias("size"), F.max("copies").alias("copies")).first()
