@@ -25,6 +25,8 @@ USER_BLOCK = 512
 ITEM_BLOCK = 2048
 #: bytes of item factors one task holds
 GROUP_BYTES = 256 << 20
+#: with more items, item blocks that cannot reach a user's list are left out; ranges of reach they are dealt into
+BOUNDED_FROM, REACH_RANGES = 4 * ITEM_BLOCK, 256
 #: scores of one user's positives that one row carries
 POSITIVES = 10_000
 
@@ -34,14 +36,18 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def _blocks(rows: DataFrame, id_col: str, size: int, prefix: str) -> tuple[DataFrame, int]:
-    """Rows packed into blocks of about ``size``: block, ids, flat factors, biases."""
+def _blocks(rows: DataFrame, id_col: str, size: int, prefix: str, extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
+    """Rows packed into blocks of about ``size``: block, ids, flat factors, biases, and ``extra`` aggregates.
+
+    Rows that come with a column ``iblock`` are dealt already.
+    """
     count = max(1, -(-rows.count() // size))
-    block = F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int")
+    block = F.col("iblock") if "iblock" in rows.columns else F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int")
     one = F.struct(F.col(id_col).alias("id"), "factors", "bias")
-    packed = rows.groupBy(block.alias(f"{prefix}block")).agg(F.collect_list(one).alias("rows"))
+    extra = extra or {}
+    packed = rows.groupBy(block.alias(f"{prefix}block")).agg(F.collect_list(one).alias("rows"), *[c.alias(n) for n, c in extra.items()])
     return packed.select(
-        f"{prefix}block",
+        f"{prefix}block", *extra,
         F.transform("rows", lambda r: r["id"]).alias(f"{prefix}ids"),
         F.flatten(F.transform("rows", lambda r: r["factors"])).alias(f"{prefix}flat"),
         F.transform("rows", lambda r: r["bias"]).alias(f"{prefix}bias"),
@@ -54,9 +60,13 @@ def _with_bias(rows: DataFrame, id_col: str) -> DataFrame:
 
 
 def _block_pairs(users: DataFrame, items: DataFrame, user_col: str, item_col: str) -> DataFrame:
-    """Every user block next to every item block, spread over (item group, user lane) keys."""
-    left, n_users = _blocks(users, user_col, USER_BLOCK, "u")
-    right, n_items = _blocks(items, item_col, ITEM_BLOCK, "i")
+    """Every user block next to every item block, spread over (item group, user lane) keys.
+
+    With columns ``least`` (see ``_least_scores``) and ``reach`` (see ``_by_reach``) block pairs without a possible entry are left out.
+    """
+    bounded = "least" in users.columns
+    left, n_users = _blocks(users, user_col, USER_BLOCK, "u", {"u_least": F.min(F.col("least") - F.col("bias")), "u_long": F.max("length")} if bounded else None)
+    right, n_items = _blocks(items, item_col, ITEM_BLOCK, "i", {c: F.max(c.removeprefix("i_")) for c in ("i_reach", "i_bias", "i_length")} if bounded else None)
     width = items.select(F.max(F.size("factors"))).first()[0] or 1
     tasks = 4 * users.sparkSession.sparkContext.defaultParallelism
     # Users are sent once per item group, items once per user lane: as few groups as memory allows,
@@ -68,7 +78,39 @@ def _block_pairs(users: DataFrame, items: DataFrame, user_col: str, item_col: st
     left = left.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = right.withColumn("group", F.pmod(F.col("iblock"), F.lit(groups)))
     right = right.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    return left.join(right.hint("shuffle_hash"), ["group", "lane"])
+    pairs = left.join(right.hint("shuffle_hash"), ["group", "lane"])
+    if not bounded:
+        return pairs
+    product = F.col("i_length") * F.col("u_long")
+    slack = F.lit(1e-9) * (F.abs(product) + F.abs("i_bias") + F.abs("u_least") + 1)  # for what rounding can do
+    possible = F.least("i_reach", F.col("i_bias") + product) + slack >= F.col("u_least")
+    return pairs.where(F.coalesce(possible, F.lit(True))).drop("u_least", "u_long", "i_reach", "i_bias", "i_length")
+
+
+def _length() -> Column:
+    return F.sqrt(dot("factors", "factors"))
+
+
+def _by_reach(users: DataFrame, items: DataFrame, item_col: str) -> DataFrame | None:
+    """``items`` with their block, length and reach: no user's score of an item, without the user's bias, is above it.
+
+    By Cauchy and Schwarz that is the bias and the product of the lengths.  Blocks hold items of similar reach.  None, if a
+    user's length is not a finite number.
+    """
+    longest = users.agg(F.max(_length())).first()[0]
+    if longest is None or not np.isfinite(longest):
+        return None
+    reach = F.coalesce(F.col("bias") + F.col("length") * F.lit(longest), F.lit(float("inf")))
+    items = materialise(items.withColumn("length", F.coalesce(_length(), F.lit(float("inf")))).withColumn("reach", reach), "score-reach")
+    ranges = min(REACH_RANGES, -(-items.count() // ITEM_BLOCK))
+    edges = sorted(set(items.approxQuantile("reach", [i / ranges for i in range(1, ranges)], 0.001)))
+    items = items.withColumn("range", F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col("reach"))) if edges else F.lit(0))
+    sizes = dict(items.groupBy("range").count().collect())  # one row a range
+    parts = [max(1, -(-sizes.get(i, 0) // ITEM_BLOCK)) for i in range(len(edges) + 1)]
+    starts = np.concatenate([[0], np.cumsum(parts)[:-1]]).tolist()
+    of = lambda numbers: F.get(F.array(*[F.lit(n) for n in numbers]), F.col("range"))
+    block = (of(starts) + F.pmod(F.xxhash64(item_col), of(parts))).cast("int")
+    return materialise(items.withColumn("iblock", block).drop("range"), "score-dealt")
 
 
 def _matrix(row: pa.RecordBatch, i: int, prefix: str) -> tuple[np.ndarray, np.ndarray, list]:
@@ -102,6 +144,23 @@ def top_items(users: DataFrame, items: DataFrame, k: int = 10, exclude: DataFram
     """
     users = materialise(_with_bias(users, user_col), "score-users")  # counted, then packed
     items = materialise(_with_bias(items, item_col), "score-items")
+    if items.count() > BOUNDED_FROM and (dealt := _by_reach(users, items, item_col)) is not None:
+        leading = materialise(dealt.orderBy(F.desc("reach"), item_col).limit(ITEM_BLOCK).select(*items.columns), "score-leading")
+        users = _least_scores(users, _scored(users, leading, k, exclude, user_col, item_col), k, user_col, item_col)
+        items = dealt
+    scored = _scored(users, items, k, exclude, user_col, item_col)
+    return ranking.first_rows(scored, [user_col], [F.desc("score"), F.asc(item_col)], k, rank_col="rank")
+
+
+def _least_scores(users: DataFrame, found: DataFrame, k: int, user_col: str, item_col: str) -> DataFrame:
+    """``users`` with their length and the k-th best score of those found, which the list's last will not be below."""
+    kth = ranking.first_rows(found, [user_col], [F.desc("score"), F.asc(item_col)], k, rank_col="rank").where(F.col("rank") == k)
+    least = users.join(kth.select(user_col, F.col("score").alias("least")), user_col, "left")
+    return materialise(least.withColumns({"least": F.coalesce("least", F.lit(float("-inf"))), "length": _length()}), "score-least")
+
+
+def _scored(users: DataFrame, items: DataFrame, k: int, exclude: DataFrame | None, user_col: str, item_col: str) -> DataFrame:
+    """(user, item, score): of every block pair the k best items per user."""
     pairs = _block_pairs(users, items, user_col, item_col)
     user_type, item_type = users.schema[user_col].dataType, items.schema[item_col].dataType
     barring = exclude is not None
@@ -109,9 +168,12 @@ def top_items(users: DataFrame, items: DataFrame, k: int = 10, exclude: DataFram
         n_u, n_i = users.count(), items.count()
         ublock = F.pmod(F.xxhash64(user_col), F.lit(max(1, -(-n_u // USER_BLOCK)))).cast("int")
         iblock = F.pmod(F.xxhash64(item_col), F.lit(max(1, -(-n_i // ITEM_BLOCK)))).cast("int")
+        exclude = exclude.select(F.col(user_col).cast(user_type), F.col(item_col).cast(item_type)).distinct()
+        if "iblock" in items.columns:
+            exclude, iblock = exclude.join(items.select(item_col, "iblock").distinct(), item_col), F.col("iblock")
         # at most one block pair's cells per group
         barred = (
-            exclude.select(F.col(user_col).cast(user_type), F.col(item_col).cast(item_type)).distinct()
+            exclude
             .groupBy(ublock.alias("ublock"), iblock.alias("iblock"))
             .agg(F.collect_list(F.struct(F.col(user_col).alias("u"), F.col(item_col).alias("i"))).alias("cells"))
             .select("ublock", "iblock", F.transform("cells", lambda c: c["u"]).alias("xu"),
@@ -126,31 +188,25 @@ def top_items(users: DataFrame, items: DataFrame, k: int = 10, exclude: DataFram
             for i in range(batch.num_rows):
                 u, u_bias, u_ids = _matrix(batch, i, "u")
                 v, v_bias, v_ids = _matrix(batch, i, "i")
-                scores = u @ v.T + v_bias + u_bias[:, None]
+                order = np.argsort(np.asarray(v_ids.to_pylist()), kind="stable")
+                scores = u @ v[order].T + v_bias[order] + u_bias[:, None]
                 if barring and batch.column("xu")[i].is_valid:
+                    place = np.argsort(order)
                     rows = _positions(u_ids, batch.column("xu")[i].values)
                     cols = _positions(v_ids, batch.column("xi")[i].values)
                     known = (rows >= 0) & (cols >= 0)
-                    scores[rows[known], cols[known]] = -np.inf
-                out_u, out_v, out_s = [], [], []
-                order = np.argsort(np.asarray(v_ids.to_pylist()), kind="stable")
-                scores = scores[:, order]
+                    scores[rows[known], place[cols[known]]] = -np.inf
                 size = min(k, scores.shape[1])
-                for r in range(scores.shape[0]):
-                    row = scores[r]
-                    edge = np.partition(row, row.size - size)[row.size - size]
-                    near = np.flatnonzero((row >= edge) & np.isfinite(row))
-                    best = near[np.argsort(-row[near], kind="stable")][:size]
-                    out_u.append(np.full(best.size, r))
-                    out_v.append(order[best])
-                    out_s.append(row[best])
+                edge = np.partition(scores, scores.shape[1] - size, axis=1)[:, -size]
+                row, col = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
+                value = scores[row, col]
+                best = np.lexsort((col, -value, row))
+                best = best[np.arange(len(row)) - np.searchsorted(row, row) < size]
                 yield pa.RecordBatch.from_arrays(
-                    [u_ids.take(pa.array(np.concatenate(out_u))), v_ids.take(pa.array(np.concatenate(out_v))),
-                     pa.array(np.concatenate(out_s))],
+                    [u_ids.take(pa.array(row[best])), v_ids.take(pa.array(order[col[best]])), pa.array(value[best])],
                     names=[user_col, item_col, "score"])
 
-    scored = pairs.mapInArrow(score, schema)
-    return ranking.first_rows(scored, [user_col], [F.desc("score"), F.asc(item_col)], k, rank_col="rank")
+    return pairs.mapInArrow(score, schema)
 
 
 def user_auc(users: DataFrame, items: DataFrame, truth: DataFrame, user_col: str = "userID",

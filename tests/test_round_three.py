@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from harmonium import session
-from harmonium.operators import splits
+from harmonium.operators import scoring, splits
 
 
 def test_split_is_written_in_many_small_tasks(spark, monkeypatch):
@@ -21,3 +23,29 @@ def test_split_is_written_in_many_small_tasks(spark, monkeypatch):
     assert seen and all(s == session.FINE_SETTINGS for s in seen)
     assert {c: spark.conf.get(c, None) for c in session.FINE_SETTINGS} == before
     assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 281, "test": 81, "val": 41}
+
+
+def test_top_items_leave_out_item_blocks_below_a_users_list(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    users = spark.createDataFrame([(u, rng.normal(size=4).tolist(), float(u % 3)) for u in range(30)] + [(None, [0.5] * 4, 0.0)], "userID long, factors array<double>, bias double")
+    rows = [(i, rng.normal(size=4).tolist(), float(i % 10) * 4) for i in range(400)] + [(7, [0.0] * 4, 36.5), (900, [1.0] * 4, 36.0), (901, [1.0] * 4, 36.0)]
+    items = spark.createDataFrame(rows, "artistID long, factors array<double>, bias double")
+    barred = spark.createDataFrame([(u, i) for u in range(0, 30, 2) for i in (9, 19, 29, 900, 5000)], "userID long, artistID long")
+    for exclude in (None, barred):
+        expected = scoring.top_items(users, items, 3, exclude).collect()
+        with monkeypatch.context() as small:
+            for name, size in (("USER_BLOCK", 8), ("ITEM_BLOCK", 20), ("BOUNDED_FROM", 50)):
+                small.setattr(scoring, name, size)
+            pairs, whole = [], scoring._block_pairs
+
+            def counted(u, i, *names):
+                out = whole(u, i, *names)
+                pairs.append((out.count(), out.sparkSession, u, i))
+                return out
+
+            small.setattr(scoring, "_block_pairs", counted)
+            got = scoring.top_items(users, items, 3, exclude).collect()
+        key = lambda r: (r["userID"] is not None, r["userID"], r["rank"])
+        assert [(r["userID"], r["artistID"], r["rank"], round(r["score"], 9)) for r in sorted(got, key=key)] == \
+            [(r["userID"], r["artistID"], r["rank"], round(r["score"], 9)) for r in sorted(expected, key=key)]
+        assert 0 < pairs[-1][0] < 4 * 20 / 2
