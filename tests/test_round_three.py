@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 from harmonium import session
-from harmonium.operators import scoring, splits
+from harmonium.operators import factors, scoring, splits
+from harmonium.operators.feature_training import Adagrad
 
 
 def test_split_is_written_in_many_small_tasks(spark, monkeypatch):
@@ -49,3 +50,30 @@ def test_top_items_leave_out_item_blocks_below_a_users_list(spark, monkeypatch):
         assert [(r["userID"], r["artistID"], r["rank"], round(r["score"], 9)) for r in sorted(got, key=key)] == \
             [(r["userID"], r["artistID"], r["rank"], round(r["score"], 9)) for r in sorted(expected, key=key)]
         assert 0 < pairs[-1][0] < 4 * 20 / 2
+
+
+def test_training_without_features_does_not_copy_all_items_for_every_batch(monkeypatch):
+    rng, asked = np.random.default_rng(2), []
+    users, items = np.sort(rng.integers(0, 50, 3000)), rng.integers(0, 4000, 3000)
+    u, f = (Adagrad(rng.normal(size=(n, 9)), np.ones((n, 9)), 0.05) for n in (50, 4000))
+    whole = factors._Own.vectors
+
+    def watched(self, rows, table):
+        out = whole(self, rows, table)
+        asked.append((len(self), out.size // 9))
+        return out
+
+    monkeypatch.setattr(factors._Own, "vectors", watched)
+    before = u.values.copy()
+    factors._train_bucket(users, factors._Own(items), items, np.ones(3000), factors._Own(np.arange(4000)), np.arange(4000), u, f, "bpr", 4000, rng)
+    assert not np.allclose(before, u.values) and all(taken <= factors._BATCH for _, taken in asked)
+
+
+def test_adagrad_adds_up_equal_rows_before_it_moves_them():
+    rng = np.random.default_rng(3)
+    for rows in (rng.integers(0, 5, 40), np.zeros(0, np.int64)):
+        grads, table = rng.normal(size=(len(rows), 3)), Adagrad(np.zeros((6, 3)), np.ones((6, 3)), 0.1)
+        total = np.zeros((6, 3))
+        np.add.at(total, rows, grads)
+        table.step(rows, grads)
+        assert np.allclose(table.values, -0.1 * total) and np.allclose(table.squares, 1 + total * total)
