@@ -13,7 +13,6 @@ of all rows costs one comparison.  Lists are cut into chunks and the queries of
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +29,8 @@ FIT_ROWS, MOST_LISTS, ROUNDS = 16_384, 1_024, 8
 PROBED_SHARE, LEAST_PROBED = 0.85, 8
 #: Columns of a block, the test's width in standard deviations, rows of a chunk and queries of a block.
 COLUMNS, WIDTH, CHUNK = 16, 3.0, 4_096
+#: Queries that advance together; pairs are read one by one when this share of them is alive.
+TOGETHER, SPARSE = 128, 0.1
 SEED = 20
 
 
@@ -57,38 +58,55 @@ def fit_lists(x: np.ndarray, lists: int, seed: int = SEED) -> np.ndarray:
     return centres
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, k: int, columns: int = COLUMNS, width: float = WIDTH) -> Iterator[np.ndarray]:
-    """For each (rotated unit) query, the places of its ``k`` nearest rows, with all that tie with the last.
+def survivors(queries: np.ndarray, rows: np.ndarray, k: int, columns: int = COLUMNS, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, row) of each (rotated unit) query's ``k`` nearest rows, with all that tie with the last, in order.
 
     ``k`` squared distances over all dimensions set the bound, first those of the rows that lead after one block.  Over
-    ``d`` of ``D`` dimensions a row is abandoned if its partial sum exceeds ``bound * d / D * (1 + width / sqrt(d)) ** 2``.
+    ``d`` of ``D`` dimensions a row is abandoned if its partial sum exceeds ``bound * d / D * (1 + width / sqrt(d)) ** 2``,
+    or the bound itself.  The queries advance together: while many rows are alive, a block of columns is one matrix
+    product for all of them; later only the pairs alive are read.
     """
-    d = rows.shape[1]
-    for q in queries:
-        alive = np.arange(len(rows))
-        part = ((rows[:, :columns] - q[:columns]) ** 2).sum(1)
-        lead = np.argpartition(part, k - 1)[:k] if len(rows) > k else alive
-        bound = ((rows[lead] - q) ** 2).sum(1).max()
-        for done in range(columns, d + columns, columns):
-            at = min(done, d)
-            most = bound if at == d else bound * at / d * (1 + width / math.sqrt(at)) ** 2
-            keep = part <= most + 1e-9
-            alive, part = alive[keep], part[keep]
-            if at == d:
-                break
-            upto = min(at + columns, d)
-            part = part + ((rows[alive, at:upto] - q[at:upto]) ** 2).sum(1)
-        if len(alive) > k:
-            alive = alive[part <= np.partition(part, k - 1)[k - 1] + 1e-9]
-        yield alive
-
-
-def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines of ``q`` with the rows of ``x``, each scaled by a power of two, which rounds nothing and keeps the squares in range."""
-    q, x = np.asarray(q, np.float64), np.asarray(x, np.float64)
-    q = np.ldexp(q, -np.frexp(np.abs(q).max())[1])
-    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
-    return (x @ q) / (np.sqrt((x * x).sum(1)) * np.sqrt(q @ q))
+    n, d = rows.shape
+    r_squares, q_squares = rows * rows, queries * queries
+
+    def block(start: int, end: int) -> np.ndarray:
+        q, r = queries[:, start:end], rows[:, start:end]
+        return q_squares[:, start:end].sum(1)[:, None] + r_squares[:, start:end].sum(1) - 2 * (q @ r.T)
+
+    part = block(0, min(columns, d))
+    lead = np.argpartition(part, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), part.shape)
+    bound = ((rows[lead] - queries[:, None]) ** 2).sum(2).max(1)
+    pairs = None  # (query, row, partial sum) once few are alive
+    for done in range(columns, d + columns, columns):
+        at = min(done, d)
+        most = bound * min(1.0, at / d * (1 + width / math.sqrt(at)) ** 2) + 1e-9
+        upto = min(at + columns, d)
+        if pairs is None:
+            alive = part <= most[:, None]
+            if at == d or np.count_nonzero(alive) > SPARSE * alive.size:
+                part[~alive] = np.inf
+                part += block(at, upto) if at < d else 0
+                continue
+            q, r = np.nonzero(alive)
+            pairs = q, r, part[q, r]
+        else:
+            keep = pairs[2] <= most[pairs[0]]
+            pairs = tuple(x[keep] for x in pairs)
+        if at < d:
+            q, r, p = pairs
+            pairs = q, r, p + ((rows[r, at:upto] - queries[q, at:upto]) ** 2).sum(1)
+    if pairs is not None:
+        part = np.full(part.shape, np.inf)
+        part[pairs[0], pairs[1]] = pairs[2]
+    last = np.partition(part, k - 1, axis=1)[:, k - 1] + 1e-9 if n > k else np.full(len(part), np.inf)
+    return np.nonzero((part <= last[:, None]) & (part < np.inf))
+
+
+def cosines(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of vectors, each scaled by a power of two, which rounds nothing and keeps the squares in range."""
+    scaled = [np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (np.asarray(queries, np.float64), np.asarray(rows, np.float64))]
+    norms = [np.sqrt((x * x).sum(1)) for x in scaled]
+    return (scaled[0][q] * scaled[1][r]).sum(1) / (norms[0][q] * norms[1][r])
 
 
 class VectorSearch:
@@ -171,13 +189,17 @@ class VectorSearch:
         columns, width = self.columns, self.width
 
         def compare(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-            out = []
+            asked_for, ids = q["entry"].to_numpy(), v["entry"].to_numpy()
+            out = {"entry": [np.empty(0, np.int64)], "found": [np.empty(0, np.int64)], "score": [np.empty(0)]}
             if len(q) and len(v):
-                asked_for, held_here = np.stack(q["embedding"].to_numpy()), np.stack(v["embedding"].to_numpy())
-                ids = v["entry"].to_numpy()
-                for i, near in enumerate(scan(unit(asked_for) @ turn.value, unit(held_here) @ turn.value, k + 1, columns, width)):
-                    out.append(pd.DataFrame({"entry": q["entry"].iat[i], "found": ids[near], "score": cosine(asked_for[i], held_here[near])}))
-            return pd.concat(out) if out else pd.DataFrame({"entry": [], "found": [], "score": []}).astype({"entry": "int64", "found": "int64", "score": "float64"})
+                wanted, held_here = np.stack(q["embedding"].to_numpy()), np.stack(v["embedding"].to_numpy())
+                turned, near = unit(wanted) @ turn.value, unit(held_here) @ turn.value
+                for start in range(0, len(wanted), TOGETHER):
+                    at, found = survivors(turned[start : start + TOGETHER], near, k + 1, columns, width)
+                    out["entry"].append(asked_for[start + at])
+                    out["found"].append(ids[found])
+                    out["score"].append(cosines(wanted[start : start + TOGETHER], held_here, at, found))
+            return pd.DataFrame({c: np.concatenate(x) for c, x in out.items()})
 
         keys = ["list", "chunk", "block"]
         return left.select(*keys, "entry", "embedding").groupBy(*keys).cogroup(right.select(*keys, "entry", "embedding").groupBy(*keys)).applyInPandas(compare, "entry long, found long, score double")
