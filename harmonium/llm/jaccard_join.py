@@ -17,13 +17,15 @@ can be used as equi-join keys.
 
 Equal sets become one node first.  Each key's members are then checked against the smallest of them only; keys whose
 members all lie in one component by that time are dropped, so a large group of near copies costs a linear number of
-comparisons.  Pairs are formed across components alone.
+comparisons.  The holders of keys with very many are then compared with a few of them, drawn anew
+in rounds; the nearest of each are verified, so that a dense cluster is one component before pairs are formed, which
+happens across components alone.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +200,11 @@ HUB_SHARE = 1 / 16
 HUB_ROUNDS = 3
 #: Keys with more holders are joined under the parity bound as well; its number of classes.
 CROWDED, PARITIES = 64, 1024
+#: Rounds at most in which holders of a crowded key are compared with so many of them (twice as many in each) drawn anew, each with its nearest few
+#: verified; another round follows if one in so many holders was linked.  All they leave to the last comparison is work.
+CROWD_ROUNDS, DRAWN, NEAREST, WORTHWHILE = 6, 64, 2, 50
+#: Drawn holders that may travel to every task.
+DRAWN_BROADCAST = 50_000
 #: Keys just before that a row on a crowded key carries; a pair that shares none of them is formed again, which is work only.
 EARLIER = 24
 
@@ -238,7 +245,11 @@ class JaccardJoin:
             merged = components(near)
             if not found.limit(1).count():
                 break
-        cross = self._verified(self._cross_pairs(shared, merged, texts), texts)
+        found, parity = self._crowd_links(shared, merged, texts)
+        if found:
+            near = reduce(DataFrame.unionByName, found, near)
+            merged = components(near)
+        cross = self._verified(self._cross_pairs(shared, merged, parity, texts), texts)
         self.edges = materialise(near.unionByName(cross), "links")
         self._components = components(self.edges)
         self.membership = self._members()
@@ -275,7 +286,52 @@ class JaccardJoin:
         pairs = held.join(hubs, "key").where(fits).groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.least(size, hub).alias("size")).count()
         return pairs.where(F.col("count") >= F.col("size") * HUB_SHARE).select("a", "b")
 
-    def _cross_pairs(self, shared: DataFrame, merged: DataFrame, texts: DataFrame) -> DataFrame:
+    def _parity_columns(self, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+        """(node, p0, p1, ...): no null checks in the inner loop."""
+        parity = self._of_nodes(nodes, texts, _parities(self.k), "p")
+        return parity.select("node", *[F.coalesce(F.col("p")[i], F.lit(0)).alias(f"p{i}") for i in range(PARITIES // 64)])
+
+    def _within_bound(self, differ: Column) -> Column:
+        return differ <= F.expr(f"((size_a + size_b) * {100 - self.percent}) div {100 + self.percent}")
+
+    def _crowd_links(self, shared: DataFrame, merged: DataFrame, texts: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+        """Verified links that put the holders of crowded keys together before all pairs of different components are compared,
+        and the holders' parities.
+
+        In a round a node stands under one of its crowded keys, the first in an order drawn anew, so that near copies often
+        stand under the same.  Under each key every node meets the same few holders, and the nearest of them by parities
+        are verified.  The work and the rows of a round grow with the number of nodes, however many link with one another.
+        """
+        held = materialise(shared.where(~_flag(DELETION) & ~_flag(EMPTY) & (F.col("n_all") > CROWDED)).select("node", "key", _size("code").alias("size")), "crowd")
+        if not held.limit(1).count():
+            return [], None
+        parity = self._parity_columns(held.select("node").distinct(), texts)
+        group = held.select("node").distinct().join(merged.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+        group = materialise(group, "crowd-groups")
+        least, links = group.count() // WORTHWHILE, []
+        for turn in range(CROWD_ROUNDS):
+            under = held.groupBy("node").agg(F.min_by("key", F.struct(F.xxhash64(F.lit(turn), "key"), "key")).alias("key"), F.max("size").alias("size"))
+            under = materialise(under.join(group, "node").join(parity, "node"), "crowd-under")
+            order = W.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
+            drawn = under.withColumn("place", F.row_number().over(order)).where(F.col("place") <= (DRAWN << turn)).drop("place")
+            ends = [df.select("key", *[F.col(c).alias(f"{c}_{end}") for c in under.columns if c != "key"]) for df, end in ((under, "a"), (materialise(drawn, "crowd-drawn"), "b"))]
+            differ = sum(F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITIES // 64))
+            size = F.col("size_a"), F.col("size_b")
+            fits = (F.col("group_a") != F.col("group_b")) & (F.least(*size) * 100 >= F.greatest(*size) * self.percent) & self._within_bound(differ)
+            met = ends[0].join(broadcast_if_small(ends[1], DRAWN_BROADCAST), "key").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), differ.alias("differ"))
+            met = met.withColumn("place", F.row_number().over(W.partitionBy("a").orderBy("differ", "b"))).where(F.col("place") <= NEAREST)
+            found = self._verified(met.select("a", "b"), texts)
+            n = found.count()
+            if n:
+                links.append(found)
+            if n <= least:
+                break
+            of = lambda end: group.select(F.col("node").alias(end), F.col("group").alias(f"group_{end}"))
+            bound = components(found.join(of("a"), "a").join(of("b"), "b").select(F.col("group_a").alias("a"), F.col("group_b").alias("b")))
+            group = materialise(group.join(bound.withColumnRenamed("node", "group"), "group", "left").select("node", F.coalesce("component", "group").alias("group")), "crowd-groups")
+        return links, parity
+
+    def _cross_pairs(self, shared: DataFrame, merged: DataFrame, parity: DataFrame | None, texts: DataFrame) -> DataFrame:
         """Candidate pairs of different components, by the cheapest sufficient points of the larger set."""
         percent = self.percent
         held = shared.join(merged.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
@@ -329,27 +385,30 @@ class JaccardJoin:
         if not many.limit(1).count():
             return pairs.distinct()
         many_gives = materialise(gives.join(many.select("key").distinct(), "key", "left_semi"), "crowded")
-        return pairs.union(self._crowded_pairs(many, many_gives, fits, texts)).distinct()
+        return pairs.union(self._crowded_pairs(many, many_gives, fits, parity, texts)).distinct()
 
-    def _crowded_pairs(self, asks: DataFrame, gives: DataFrame, fits: Column, texts: DataFrame) -> DataFrame:
+    def _crowded_pairs(self, asks: DataFrame, gives: DataFrame, fits: Column, parity: DataFrame | None, texts: DataFrame) -> DataFrame:
         """Pairs on crowded keys that the parity bound leaves, each under the first of the keys it shares, or few more.
 
         Every row carries the whole-segment keys that its node holds just before in the order of keys.  A pair that has met
         under one of them is not formed again; by induction along that order, its first key always forms it.
         """
-        parity = self._of_nodes(asks.select(F.col("a").alias("node")).union(gives.select(F.col("b").alias("node"))).distinct(), texts, _parities(self.k), "p")
+        nodes = asks.select(F.col("a").alias("node")).union(gives.select(F.col("b").alias("node"))).distinct()
+        if parity is None:
+            parity = self._parity_columns(nodes, texts)
+        else:
+            parity = parity.unionByName(self._parity_columns(nodes.join(parity.select("node"), "node", "left_anti"), texts))
         words_ = range(PARITIES // 64)
-        of = lambda end: parity.select(F.col("node").alias(end), *[F.coalesce(F.col("p")[i], F.lit(0)).alias(f"{end}{i}") for i in words_])  # noqa: E731  (no null checks in the inner loop)
+        of = lambda end: parity.select(F.col("node").alias(end), *[F.col(f"p{i}").alias(f"{end}{i}") for i in words_])
 
         def earlier(rows: DataFrame, end: str, *also: str) -> DataFrame:
             before = W.partitionBy(end, *also).orderBy("key").rowsBetween(-EARLIER, -1)
             return rows.withColumn(f"earlier_{end}", F.collect_list(F.when(~F.col(f"deletion_{end}"), F.col("key"))).over(before))
 
         differ = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in words_)
-        bound = F.expr(f"((size_a + size_b) * {100 - self.percent}) div {100 + self.percent}")
         left, right = earlier(asks, "a").join(of("a"), "a"), earlier(gives, "b", "probe_b").join(of("b"), "b")
         met = F.arrays_overlap("earlier_a", "earlier_b")
-        return left.join(right, "key").where((F.col("group_a") != F.col("group_b")) & fits & (differ <= bound) & ~met).select("a", "b")
+        return left.join(right, "key").where((F.col("group_a") != F.col("group_b")) & fits & self._within_bound(differ) & ~met).select("a", "b")
 
     def _of_nodes(self, nodes: DataFrame, texts: DataFrame, step, column: str) -> DataFrame:
         """(node, column): what ``step`` makes of the nodes' texts."""
