@@ -20,8 +20,9 @@ import heapq
 import math
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterable
-from itertools import accumulate, chain, pairwise
+from itertools import chain, count, islice, pairwise
 from operator import itemgetter
 
 import ahocorasick
@@ -36,14 +37,21 @@ from harmonium.llm.mixing import mixed
 #: Vocabulary file; a parameter of everything below.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-#: Chunks a worker remembers; on reaching it, the older half is forgotten.
-REMEMBERED = 200_000
+#: Chunks a worker remembers, and their characters; beyond it, the half that was not met for longest is forgotten.
+REMEMBERED, REMEMBERED_CHARS = 150_000, 2_400_000
 #: Loss of a byte against the rarest piece.
 BYTE_LOSS = 10.0
 #: Scores are multiples of it: exact in sums of up to 2 ** 33.
 STEP = 2.0**-20
 #: Characters of the texts whose chunks are worked on together; the fewest new chunks of one length for that.
-GATHERED, TOGETHER = 1 << 20, 24
+GATHERED, TOGETHER = 1 << 18, 24
+#: Chunks of one length that are worked on at a time.
+ABREAST = 8192
+
+
+def _spans(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Places ``first``, ``first + 1``, ... of ``many`` members each, one span after the other."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
 
 
 class PieceModel:
@@ -84,12 +92,19 @@ class PieceModel:
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.pieces))
         self.chunks = re.compile(f" *[^ {alone}]+| +|[{alone}]" if alone else " *[^ ]+| +").findall
         self._plant()
-        self._young: dict[str, tuple] = {}
-        self._old: dict[str, tuple] = {}
+        self._byte_many = np.array([len(b) for b in self.bytes_of], np.int64)
+        self._byte_first = np.cumsum(self._byte_many) - self._byte_many
+        self._bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        # a chunk's number, and by it the score and loss of its best path, and where its pieces stand
+        self._number: defaultdict[str, int] = defaultdict(count().__next__)
+        self._scores, self._losses = np.empty(0), np.empty(0)
+        self._first, self._many = np.empty(0, np.int64), np.empty(0, np.int64)
+        self._flat = np.empty(0, np.int32)
+        self._held, self._turn, self._met = 0, 0, np.empty(0, np.int64)
         self._lists: dict[tuple[str, int], tuple] = {}
 
     def _plant(self) -> None:
-        """The pieces as a tree: sorted steps (node, character) with the nodes they lead to, and the nodes' pieces."""
+        """The pieces as a tree: a hash table of steps (node, character) with the nodes they lead to, and the nodes' pieces."""
         steps: dict[int, int] = {}
         piece, score = [-1], [0.0]
         for text, (i, s, _) in self.pieces.items():
@@ -102,9 +117,39 @@ class PieceModel:
                     score.append(0.0)
                 node = steps[step]
             piece[node], score[node] = i, s
-        self._steps = np.array(sorted(steps), np.int64)
-        self._leads = np.array([steps[x] for x in sorted(steps)], np.int64)
         self._piece, self._score = np.array(piece, np.int32), np.array(score)
+        step, lead = np.fromiter(steps, np.int64, len(steps)), np.fromiter(steps.values(), np.int32, len(steps))
+        bits = max(4, (3 * len(steps)).bit_length())
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._steps, self._leads = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        at, todo = self._slot(step), np.arange(len(steps))
+        while len(todo):
+            at[todo] &= self._mask
+            free = todo[self._steps[at[todo]] < 0]
+            self._steps[at[free]] = step[free]  # of steps for one slot, the last has it
+            todo = todo[self._steps[at[todo]] != step[todo]]
+            at[todo] += 1
+        self._leads[at] = lead
+        #: the nodes of the characters that are pieces; 0 for others
+        self._root = np.zeros(0x110000, np.int64)
+        known = np.array([ord(c) for c in self.chars], np.int64)
+        self._root[known] = self._walk(np.zeros(len(known), np.int64), known)[1]
+
+    def _slot(self, step: np.ndarray) -> np.ndarray:
+        return (step.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self._shift).astype(np.int64)
+
+    def _walk(self, node: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the nodes have a step by their character, and the nodes these lead to."""
+        step = node << 21 | code
+        at = self._slot(step)
+        found = self._steps[at]
+        other = np.flatnonzero((found != step) & (found >= 0))
+        while len(other):
+            at[other] = at[other] + 1 & self._mask
+            found[other] = self._steps[at[other]]
+            other = other[(found[other] != step[other]) & (found[other] >= 0)]
+        there = np.flatnonzero(found == step)
+        return there, self._leads[at[there]].astype(np.int64)
 
     def spelled(self, char: str) -> tuple[float, tuple[int, ...]]:
         """(score, ids) of a character as its bytes."""
@@ -152,27 +197,39 @@ class PieceModel:
         return array("i", chain.from_iterable(reversed(parts))).tobytes(), score[n], score[n] - second[n]
 
     def best_of_length(self, chunks: list[str]) -> Iterable[tuple[bytes, float, float]]:
-        """``best`` of many chunks of one length, all of whose characters are pieces; one walk down the tree for all."""
-        n, rows = len(chunks[0]), len(chunks)
-        code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(rows, n).T.copy()
+        """``best`` of many chunks of one length, all of whose characters are pieces."""
+        code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(chunks), -1)
+        ids, many, score, loss = self._abreast(code.T.copy())
+        edge = [0, *np.cumsum(many).tolist()]
+        return zip([ids[a:b].tobytes() for a, b in pairwise(edge)], score.tolist(), loss.tolist(), strict=True)
+
+    def _abreast(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces one after the other, their numbers, scores and losses of the chunks in the columns of ``code``; one walk down the tree for all."""
+        n, rows = code.shape
         score, second = np.full((n + 1, rows), -math.inf), np.full((n + 1, rows), -math.inf)
         score[0] = 0.0
         took, length = np.zeros((n + 1, rows), np.int32), np.zeros((n + 1, rows), np.int64)
         for i in range(n):
-            row, node = np.arange(rows), np.zeros(rows, np.int64)
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                step = node << 21 | code[j - 1, row]
-                at = np.minimum(np.searchsorted(self._steps, step), len(self._steps) - 1)
-                there = self._steps[at] == step
-                row, node = row[there], self._leads[at[there]]
+            # a single character is always a piece
+            node = self._root[code[i]]
+            s = self._score[node]
+            total, before = score[i] + s, score[i + 1].copy()
+            second[i + 1] = np.maximum(np.maximum(second[i + 1], second[i] + s), np.minimum(total, before))
+            better = total > before
+            for kept, value in ((score, total), (took, self._piece[node]), (length, 1)):
+                np.copyto(kept[i + 1], value, where=better)
+            row = np.arange(rows)
+            for j in range(i + 2, min(n, i + self.longest) + 1):
+                there, node = self._walk(node, code[j - 1, row])
+                row = row[there]
                 if not len(row):
                     break
-                ends = self._piece[node] >= 0
+                ends = np.flatnonzero(self._piece[node] >= 0)
                 own, leaf = row[ends], node[ends]
                 s = self._score[leaf]
                 total, before = score[i, own] + s, score[j, own]
                 second[j, own] = np.maximum(np.maximum(second[j, own], second[i, own] + s), np.minimum(total, before))
-                better = total > before
+                better = np.flatnonzero(total > before)
                 own = own[better]
                 score[j, own], took[j, own], length[j, own] = total[better], self._piece[leaf[better]], j - i
         on_path = np.zeros((rows, n + 1), bool)
@@ -181,30 +238,61 @@ class PieceModel:
             on_path[row, at] = True
             at = at - length[at, row]
             row, at = row[at > 0], at[at > 0]
-        ids = took.T[on_path].tobytes()
-        edge = [0, *(4 * np.cumsum(on_path.sum(1))).tolist()]
-        return zip([ids[a:b] for a, b in pairwise(edge)], score[n].tolist(), (score[n] - second[n]).tolist(), strict=True)
-
-    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, float, float]]:
-        """``best`` of every chunk; those of up to 64 characters are remembered."""
-        found, new = {}, {}
-        for c in chunks:
-            known = self._young.get(c) or self._old.get(c)
-            if known is None:
-                new.setdefault(len(c) if len(c) <= 64 and self.chars.issuperset(c) else 0, []).append(c)
+        return took.T[on_path], on_path.sum(1), score[n], score[n] - second[n]
+
+    def _numbered(self, chunks: list[str]) -> np.ndarray:
+        """The numbers of the chunks; the best paths of new ones are looked for."""
+        if len(self._number) > REMEMBERED or self._held > REMEMBERED_CHARS:
+            self._forget()
+        known = len(self._number)
+        number = np.fromiter(map(self._number.__getitem__, chunks), np.int64, len(chunks))
+        new = list(islice(self._number, known, None))
+        if new:
+            self._learn(new)
+        self._turn += 1
+        self._met[number] = self._turn
+        return number
+
+    def _forget(self) -> None:
+        """Keep half of the chunks, those met last, and of these no long ones."""
+        names = list(self._number)
+        kept = [k for k in np.argsort(-self._met, kind="stable")[: REMEMBERED // 2].tolist() if len(names[k]) <= 64]
+        self._number = defaultdict(count(len(kept)).__next__, zip((names[k] for k in kept), range(len(kept)), strict=True))
+        self._held = sum(len(names[k]) for k in kept)
+        self._scores, self._losses, self._met = self._scores[kept], self._losses[kept], self._met[kept]
+        self._flat = self._flat[_spans(self._first[kept], self._many[kept])]
+        self._many = self._many[kept]
+        self._first = np.cumsum(self._many) - self._many
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Add the best paths of new chunks, in the order of their numbers."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        start = np.cumsum(size) - size
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        usual = np.logical_and.reduceat(self._root[code] > 0, start) & (size <= 64)
+        score, loss, many, first = np.empty(len(chunks)), np.empty(len(chunks)), np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        flat, end = [self._flat], len(self._flat)
+        kind = np.where(usual, size, 0)
+        order = np.argsort(kind, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+            length = int(kind[same[0]])
+            if length and len(same) >= TOGETHER:
+                for some in np.split(same, range(ABREAST, len(same), ABREAST)):
+                    ids, many[some], score[some], loss[some] = self._abreast(code[start[some] + np.arange(length)[:, None]].astype(np.int64))
+                    first[some] = end + np.cumsum(many[some]) - many[some]
+                    flat.append(ids)
+                    end += len(ids)
             else:
-                found[c] = known
-        for size, some in new.items():
-            if size and len(some) >= TOGETHER:
-                found.update(zip(some, self.best_of_length(some), strict=True))
-            else:
-                found.update((c, self.best(c)) for c in some)
-        for c, known in found.items():
-            if len(c) <= 64:
-                if len(self._young) >= REMEMBERED // 2:
-                    self._young, self._old = {}, self._young
-                self._young[c] = known
-        return found
+                for k in same.tolist():
+                    ids, score[k], loss[k] = self.best(chunks[k])
+                    first[k], many[k] = end, len(ids) // 4
+                    flat.append(np.frombuffer(ids, np.int32))
+                    end += len(ids) // 4
+        self._flat = np.concatenate(flat)
+        self._scores, self._losses = np.concatenate([self._scores, score]), np.concatenate([self._losses, loss])
+        self._first, self._many = np.concatenate([self._first, first]), np.concatenate([self._many, many])
+        self._met = np.concatenate([self._met, np.zeros(len(chunks), np.int64)])
+        self._held += int(size.sum())
 
     def search(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
         """The ``n`` best paths of a chunk's lattice: (score, packed ids), best first.
@@ -259,24 +347,34 @@ class PieceModel:
                 size += len(texts[at] or "")
                 split.append(self.chunks(" " + texts[at]) if texts[at] else [])
                 at += 1
-            known = self.learn(set(chain.from_iterable(split)))
+            every = list(chain.from_iterable(split))
+            number = self._numbered(every)
+            many, scores, losses = self._many[number], self._scores[number], self._losses[number]
+            ids = self._flat[_spans(self._first[number], many)]
+            spelled = self._bytes[_spans(self._byte_first[ids], self._byte_many[ids])].tobytes()
+            equal = spelled == "".join(every).encode("utf-8", "surrogatepass")
+            packed, offset = ids.tobytes(), np.concatenate([[0], 4 * np.cumsum(many)])
+            del every, number, many, ids, spelled
+            last = 0
             for chunks in split:
-                yield self._chained(chunks, known, n)
+                first, last = last, last + len(chunks)
+                edges = offset[first : last + 1] - offset[first]
+                yield self._chained(chunks, packed[offset[first] : offset[last]], edges, scores[first:last], losses[first:last], equal, n)
 
-    def _chained(self, chunks: list[str], known: dict, n: int) -> tuple[list[tuple[float, bytes]], bool]:
+    def _chained(self, chunks: list[str], whole: bytes, offset: np.ndarray, scores: np.ndarray, losses: np.ndarray, equal: bool, n: int) -> tuple[list[tuple[float, bytes]], bool]:
+        """The ``n`` best of a text from its best, ``whole``, with the chunks' offsets in it; equal: known to spell the text."""
         if not chunks:
             return [(0.0, b"")], True
-        parts, scores, losses = map(list, zip(*map(known.__getitem__, chunks), strict=True))
-        total, whole = sum(scores), b"".join(parts)
-        equal = self.spell(whole) == "".join(chunks).encode("utf-8", "surrogatepass")
+        total = float(scores.sum())
+        equal = equal or self.spell(whole) == "".join(chunks).encode("utf-8", "surrogatepass")
         # of equal losses, those of the first chunks
         loose = []
         for _ in range(n - 1):
-            least = min(losses)
-            if least == math.inf:
+            least = int(losses.argmin())
+            if losses[least] == math.inf:
                 break
-            loose.append(losses.index(least))
-            losses[loose[-1]] = math.inf
+            loose.append(least)
+            losses[least] = math.inf
         if not loose:
             return [(total, whole)], equal
         loose.sort()
@@ -289,7 +387,6 @@ class PieceModel:
         choices = [((), 0.0, 1)]
         for found in lists:
             choices = [((*c, i), loss + found[i][0], rank * (i + 1)) for c, loss, rank in choices for i in range(min(len(found), n // rank))]
-        offset = list(accumulate(map(len, parts), initial=0))
         out = []
         for choice, loss, _ in sorted(choices, key=lambda c: (c[1], c[0]))[:n]:
             new, last = [], 0
