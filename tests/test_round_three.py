@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from harmonium import session
 from harmonium.operators import factors, scoring, splits
@@ -77,3 +78,23 @@ def test_adagrad_adds_up_equal_rows_before_it_moves_them():
         np.add.at(total, rows, grads)
         table.step(rows, grads)
         assert np.allclose(table.values, -0.1 * total) and np.allclose(table.squares, 1 + total * total)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-160, 1e160, 1e300])
+def test_area_counts_are_exact_without_every_ordered_sum(scale, monkeypatch):
+    """Only scores within rounding of a wanted one are added up in order (before: those of all items)."""
+    rng = np.random.default_rng(3)
+    u, v, bias = rng.standard_normal((30, 20)) * min(scale, 1e150), rng.standard_normal((400, 20)), rng.standard_normal(400) * scale
+    v[50:90], bias[50:90] = v[7], bias[7]
+    v[200] = 0.0
+    exact = np.zeros((30, 400))
+    for x, y in zip(u.T, v.T, strict=True):
+        exact += np.multiply.outer(x, y)
+    exact += bias
+    sums, added = scoring._ordered_sums, []
+    monkeypatch.setattr(scoring, "_ordered_sums", lambda a, b: added.append(len(b)) or sums(a, b))
+    wanted = [(r, exact[r, [7, 60, 3, 200]]) for r in range(0, 30, 2)]
+    got = list(scoring._below(u, v, bias, wanted))
+    for (r, part), (less, upto) in zip(wanted, got, strict=True):
+        assert [(exact[r] < x).sum() for x in part] == less.tolist() and [(exact[r] <= x).sum() for x in part] == upto.tolist()
+    assert scale >= 1e300 or sum(added) < exact.size / 2
