@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harmonium.llm.common import materialise
+from harmonium.llm.common import discard, materialise
+
+#: Up to so many edges (16 bytes each), a round is one task without a shuffle.
+FEW_EDGES = 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,12 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
     )
     seen = _sign(current)
     while seen[0]:
+        if seen[0] <= FEW_EDGES:
+            current = current.coalesce(1)
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
-        current = materialise(small.where("a <> b").distinct(), "edges")
+        before, current = current, materialise(small.where("a <> b").distinct(), "edges")
+        discard(before)
         now = _sign(current)
         if now == seen:
             break

@@ -29,12 +29,13 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from harmonium.llm.common import DOCUMENT_COLUMNS, SLICE_BYTES, batches, bounded_batches, broadcast_if_small, materialise, mix, prepared, read, slices, word_hashes, words
+from harmonium.llm.common import DOCUMENT_COLUMNS, SLICE_BYTES, batches, bounded_batches, broadcast_if_small, discard, materialise, mix, prepared, read, shuffles_removed, slices
 from harmonium.llm.components import components
 
 #: Shingle length in words, and the threshold in per cent.
@@ -45,22 +46,79 @@ BAND_RATIO = 1.6
 DELETION_EVERY, LEAST_DELETIONS = 32, 4
 
 
-def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``k``-word shingles of ``text``.
+#: The rule of words as a table of bytes: A-Z in lower case, white space as a space.
+_FOLDED = bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: A number for each byte (0 for the space), the base of the polynomial over a word's bytes, and the bytes hashed together.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * (np.arange(256) != 32)
+_BASE, HASHED_BYTES = 0x9E3779B97F4A7C17, 1 << 16
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
-    Fewer than ``k`` words make one shingle of the whole sequence; without words (null, empty or white space only) the
-    set is empty.
-    """
-    tokens = words(text)
-    if not tokens:
-        return np.empty(0, np.uint64)
-    h = word_hashes(tokens)
-    width = min(k, len(h))
-    out = np.full(len(h) - width + 1, width, np.uint64)
+
+@lru_cache(2)
+def _powers(base: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(HASHED_BYTES - 1, base, np.uint64)]))
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of folded ``raw`` and where they begin, from the running sums of one polynomial over all its bytes."""
+    b, power, inverse = np.frombuffer(raw, np.uint8), _powers(_BASE), _powers(_INVERSE)
+    space = np.ones(len(b) + 2, bool)
+    np.equal(b, 32, out=space[1:-1])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * power[: len(b)], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start
+
+
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of folded ``raw``, and where they begin; a word too long for the tables is hashed alone."""
+    found, starts, at = [], [], 0
+    while at < len(raw):
+        end = len(raw) if len(raw) - at <= HASHED_BYTES else raw.rfind(b" ", at, at + HASHED_BYTES)
+        if end >= 0:
+            h, start = _hashed(raw[at:end])
+        else:
+            end = raw.find(b" ", at)
+            end = len(raw) if end < 0 else end
+            h, start = np.array([xxhash.xxh3_64_intdigest(raw[at:end])], np.uint64), np.zeros(1, np.int64)
+        found.append(h)
+        starts.append(start + at)
+        at = end + 1
+    return (np.concatenate(found), np.concatenate(starts)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def _windows(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows of ``width`` words."""
+    out = np.full(max(len(h) - width + 1, 0), width, np.uint64)
     for i in range(width):
-        out = (out ^ h[i : len(h) - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ h[i : len(out) + i]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return np.unique(mix(out))
+    return mix(out)
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    new = h[1:] != h[:-1]
+    return h if new.all() else h[np.concatenate([[True], new])]
+
+
+def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the ``k``-word shingles of each text.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case.  Fewer than ``k`` make one shingle of the whole sequence;
+    without words (null, empty or white space only) the set is empty.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    h, start = hashed_words(b" ".join(raw).translate(_FOLDED))
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    edge = [*np.searchsorted(start, np.cumsum(size) - size).tolist(), len(h)]
+    every = _windows(h, k)
+    return [_distinct(every[a : b - k + 1] if b - a >= k else _windows(h[a:b], b - a) if b > a else h[:0]) for a, b in zip(edge, edge[1:], strict=False)]
+
+
+def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
+    return shingle_sets([text], k)[0]
 
 
 def largest_difference(r: int, s: int, percent: int) -> int:
@@ -103,11 +161,11 @@ def segment_keys(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.
     for i, band in enumerate(bands(len(h), percent)):
         probe = int(not i)
         m, with_deletions = band_shape(band, percent)
-        segment = (h % np.uint64(m)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        at, held = segment[order], token[order]
+        segment = (h % np.uint64(m)).astype(np.uint16 if m <= 1 << 16 else np.int64)
+        order = np.argsort(segment, kind="stable")  # by digits, if segments are short numbers
+        at, held = segment[order].astype(np.int64), token[order]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(held, dtype=np.uint64)])
-        edge = np.searchsorted(at, np.arange(m + 1))
+        edge = np.concatenate([[0], np.cumsum(np.bincount(segment, minlength=m))])
         sums = total[edge[1:]] - total[edge[:-1]]
         base = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32) + np.uint64(1))
         upto = edge[with_deletions]
@@ -116,9 +174,11 @@ def segment_keys(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.
     return np.concatenate(keys).view(np.int64), np.concatenate(codes).astype(np.int32)
 
 
-def _identity(h: np.ndarray) -> tuple[int, int]:
-    """Two hashes that stand for a set."""
-    return int(np.sum(mix(h), dtype=np.uint64).view(np.int64)), int(np.sum(mix(h ^ np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64).view(np.int64))
+def _identities(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes that stand for each set."""
+    every, edge = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    total = lambda x: np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[edge]
+    return tuple(np.diff(total(mix(every ^ np.uint64(salt)))).view(np.int64) for salt in (0, 0xD6E8FEB86659FD93))
 
 
 def _sets(k: int):
@@ -127,8 +187,8 @@ def _sets(k: int):
 
     def run(parts):
         for part in slices(parts, size=SLICE_BYTES):
-            out = [(len(h), *_identity(h)) for h in (shingles(t, k) for t in part.column(1).to_pylist())]
-            yield batches(schema, [part.column(0), *map(list, zip(*out, strict=True))])
+            found = shingle_sets(part.column(1).to_pylist(), k)
+            yield batches(schema, [part.column(0), [len(h) for h in found], *_identities(found)])
 
     return run
 
@@ -139,46 +199,52 @@ def _keys(k: int, percent: int):
 
     def run(parts):
         for part in slices(parts, size=SLICE_BYTES):
+            found = shingle_sets(part.column(0).to_pylist(), k)
+            a, b = _identities(found)
+            own = np.flatnonzero((a == part.column(1).to_numpy()) & (b == part.column(2).to_numpy()))
+            named = part.column(3).to_numpy()
             nodes, keys, codes = [], [], []
-            for text, a, b, node in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                h = shingles(text, k)
-                if _identity(h) != (a, b):
-                    continue
-                key, code = segment_keys(h, percent)
-                nodes.append(np.full(len(key), node, np.int64))
+            for i in own.tolist():
+                key, code = segment_keys(found[i], percent)
+                nodes.append(np.full(len(key), named[i], np.int64))
                 keys.append(key)
-                codes.append(code.astype(np.int64) | len(h) << 32)
+                codes.append(code.astype(np.int64) | len(found[i]) << 32)
             if keys:
                 yield batches(schema, [np.concatenate(nodes), np.concatenate(keys), np.concatenate(codes)])
 
     return run
 
 
+def _odd(h: np.ndarray) -> np.ndarray:
+    """For each of ``PARITIES`` classes of shingles, whether the set holds an odd number.
+
+    Every element in which two sets differ turns one parity at most, so the number of different parities is never more
+    than that of different elements.
+    """
+    return np.packbits((np.bincount((h >> np.uint64(20)).astype(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1).astype(bool)).view(np.int64)
+
+
 def _hashes(k: int):
-    """(doc_id, text) to (set_a, set_b, hashes)."""
-    schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    """(doc_id, text) to (set_a, set_b, hashes, p)."""
+    schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("hashes", pa.list_(pa.int64())), ("p", pa.list_(pa.int64()))])
 
     def run(parts):
         for part in slices(parts, size=SLICE_BYTES):
-            found = [shingles(t, k) for t in part.column(1).to_pylist()]
-            yield batches(schema, [*map(list, zip(*map(_identity, found), strict=True)), [h.view(np.int64) for h in found]])
+            found = shingle_sets(part.column(1).to_pylist(), k)
+            edge = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield batches(schema, [*_identities(found), pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(found).view(np.int64))), list(map(_odd, found))])
 
     return run
 
 
 def _parities(k: int):
-    """(doc_id, text) to (set_a, set_b, p): for each of ``PARITIES`` classes of shingles, whether the set holds an odd number.
-
-    Every element in which two sets differ turns one parity at most, so the number of different parities is never more
-    than that of different elements.
-    """
+    """(doc_id, text) to (set_a, set_b, p)."""
     schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("p", pa.list_(pa.int64()))])
 
     def run(parts):
         for part in slices(parts, size=SLICE_BYTES):
-            found = [shingles(t, k) for t in part.column(1).to_pylist()]
-            odd = [np.packbits((np.bincount((h >> np.uint64(20)).astype(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1).astype(bool)).view(np.int64) for h in found]
-            yield batches(schema, [*map(list, zip(*map(_identity, found), strict=True)), odd])
+            found = shingle_sets(part.column(1).to_pylist(), k)
+            yield batches(schema, [*_identities(found), list(map(_odd, found))])
 
     return run
 
@@ -196,7 +262,8 @@ PROBE, DELETION, EMPTY = 1, 2, 4
 #: In the first comparison of a key's holders with the first of them, two sets are compared if this share of the smaller
 #: one's size is the number of keys that say so.  The second comparison does not depend on it.
 HUB_SHARE = 1 / 16
-#: Such comparisons at most, each with other first holders; all they leave to the second is work.
+#: Such comparisons at most, each with other first holders; another follows if one in ``WORTHWHILE`` nodes was linked.  All
+#: they leave to the second is work.
 HUB_ROUNDS = 3
 #: Keys with more holders are joined under the parity bound as well; its number of classes.
 CROWDED, PARITIES = 64, 1024
@@ -228,7 +295,7 @@ class JaccardJoin:
         self.k, self.percent = k, percent
 
     def fit(self, docs: DataFrame) -> JaccardJoin:
-        with bounded_batches(docs.sparkSession):
+        with bounded_batches(docs.sparkSession), shuffles_removed(docs.sparkSession):
             return self._fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     def _fit(self, texts: DataFrame) -> JaccardJoin:
@@ -238,12 +305,12 @@ class JaccardJoin:
         alone = F.count("*").over(W.partitionBy("first")) == 1
         self._nodes = materialise(nodes.withColumn("node", F.when(alone, F.col("first")).otherwise(F.xxhash64("set_a", "set_b"))), "nodes")
         shared = materialise(self._shared(texts), "keys")
-        near, merged = None, None
+        near, merged, least = None, None, self._nodes.count() // WORTHWHILE
         for turn in range(HUB_ROUNDS):
             found = self._verified(self._hub_pairs(shared, merged, turn), texts)
             near = found if near is None else near.unionByName(found)
             merged = components(near)
-            if not found.limit(1).count():
+            if found.count() <= least:
                 break
         found, parity = self._crowd_links(shared, merged, texts)
         if found:
@@ -287,9 +354,12 @@ class JaccardJoin:
         return pairs.where(F.col("count") >= F.col("size") * HUB_SHARE).select("a", "b")
 
     def _parity_columns(self, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-        """(node, p0, p1, ...): no null checks in the inner loop."""
-        parity = self._of_nodes(nodes, texts, _parities(self.k), "p")
-        return parity.select("node", *[F.coalesce(F.col("p")[i], F.lit(0)).alias(f"p{i}") for i in range(PARITIES // 64)])
+        """(node, p0, p1, ...)."""
+        return self._spread(self._of_nodes(nodes, texts, _parities(self.k), "p"))
+
+    def _spread(self, parity: DataFrame, *also: str) -> DataFrame:
+        """A column for each word of ``p``: no null checks in the inner loop."""
+        return parity.select("node", *also, *[F.coalesce(F.col("p")[i], F.lit(0)).alias(f"p{i}") for i in range(PARITIES // 64)])
 
     def _within_bound(self, differ: Column) -> Column:
         return differ <= F.expr(f"((size_a + size_b) * {100 - self.percent}) div {100 + self.percent}")
@@ -313,14 +383,15 @@ class JaccardJoin:
             under = held.groupBy("node").agg(F.min_by("key", F.struct(F.xxhash64(F.lit(turn), "key"), "key")).alias("key"), F.max("size").alias("size"))
             under = materialise(under.join(group, "node").join(parity, "node"), "crowd-under")
             order = W.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
-            drawn = under.withColumn("place", F.row_number().over(order)).where(F.col("place") <= (DRAWN << turn)).drop("place")
-            ends = [df.select("key", *[F.col(c).alias(f"{c}_{end}") for c in under.columns if c != "key"]) for df, end in ((under, "a"), (materialise(drawn, "crowd-drawn"), "b"))]
+            drawn = materialise(under.withColumn("place", F.row_number().over(order)).where(F.col("place") <= (DRAWN << turn)).drop("place"), "crowd-drawn")
+            ends = [df.select("key", *[F.col(c).alias(f"{c}_{end}") for c in under.columns if c != "key"]) for df, end in ((under, "a"), (drawn, "b"))]
             differ = sum(F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITIES // 64))
             size = F.col("size_a"), F.col("size_b")
             fits = (F.col("group_a") != F.col("group_b")) & (F.least(*size) * 100 >= F.greatest(*size) * self.percent) & self._within_bound(differ)
             met = ends[0].join(broadcast_if_small(ends[1], DRAWN_BROADCAST), "key").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), differ.alias("differ"))
             met = met.withColumn("place", F.row_number().over(W.partitionBy("a").orderBy("differ", "b"))).where(F.col("place") <= NEAREST)
             found = self._verified(met.select("a", "b"), texts)
+            discard(under, drawn)
             n = found.count()
             if n:
                 links.append(found)
@@ -328,7 +399,9 @@ class JaccardJoin:
                 break
             of = lambda end: group.select(F.col("node").alias(end), F.col("group").alias(f"group_{end}"))
             bound = components(found.join(of("a"), "a").join(of("b"), "b").select(F.col("group_a").alias("a"), F.col("group_b").alias("b")))
-            group = materialise(group.join(bound.withColumnRenamed("node", "group"), "group", "left").select("node", F.coalesce("component", "group").alias("group")), "crowd-groups")
+            before, group = group, materialise(group.join(bound.withColumnRenamed("node", "group"), "group", "left").select("node", F.coalesce("component", "group").alias("group")), "crowd-groups")
+            discard(before, bound)
+        discard(held, group)
         return links, parity
 
     def _cross_pairs(self, shared: DataFrame, merged: DataFrame, parity: DataFrame | None, texts: DataFrame) -> DataFrame:
@@ -337,6 +410,7 @@ class JaccardJoin:
         held = shared.join(merged.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
         apart = held.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
         held = materialise(held.join(apart, "key", "left_semi"), "apart")
+        discard(shared)
         deletion, probe = _flag(DELETION), _flag(PROBE)
         segment = F.shiftright(F.col("code").bitwiseAND((1 << 32) - 1), 3)
         starts = _starts(percent)
@@ -410,23 +484,34 @@ class JaccardJoin:
         met = F.arrays_overlap("earlier_a", "earlier_b")
         return left.join(right, "key").where((F.col("group_a") != F.col("group_b")) & fits & self._within_bound(differ) & ~met).select("a", "b")
 
-    def _of_nodes(self, nodes: DataFrame, texts: DataFrame, step, column: str) -> DataFrame:
-        """(node, column): what ``step`` makes of the nodes' texts."""
+    def _of_nodes(self, nodes: DataFrame, texts: DataFrame, step, *columns: str) -> DataFrame:
+        """(node, columns): what ``step`` makes of the nodes' texts."""
         kept = materialise(self._nodes.join(nodes, "node", "left_semi"), "wanted")
         ids = broadcast_if_small(kept.select(F.col("first").alias("doc_id")).distinct())
-        found = texts.join(ids, "doc_id", "left_semi").mapInArrow(step, f"set_a long, set_b long, {column} array<long>")
-        return materialise(found.dropDuplicates(["set_a", "set_b"]).join(kept, ["set_a", "set_b"]).select("node", column), column)
+        found = texts.join(ids, "doc_id", "left_semi").mapInArrow(step, ", ".join(["set_a long, set_b long", *(f"{c} array<long>" for c in columns)]))
+        made = materialise(found.dropDuplicates(["set_a", "set_b"]).join(kept, ["set_a", "set_b"]).select("node", "size", *columns), columns[0])
+        discard(kept)
+        return made
 
     def _verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs that link, by the whole sets of those that the parity bound leaves."""
         pairs = materialise(pairs, "pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        hashes = self._of_nodes(nodes, texts, _hashes(self.k), "hashes")
-        both = F.size(F.array_intersect("x", "y"))
-        return materialise(
-            pairs.join(hashes.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(hashes.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        made = self._of_nodes(nodes, texts, _hashes(self.k), "hashes", "p")
+        parity = self._spread(made, "size")
+        words_ = range(PARITIES // 64)
+        of = lambda end: parity.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), *[F.col(f"p{i}").alias(f"{end}{i}") for i in words_])
+        differ = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in words_)
+        near = materialise(pairs.join(of("a"), "a").join(of("b"), "b").where(self._within_bound(differ)).select("a", "b"), "within")
+        both, ends = F.size(F.array_intersect("x", "y")), near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+        whole = made.select("node", "hashes").join(broadcast_if_small(ends), "node", "left_semi")
+        found = materialise(
+            near.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
             .where(both * 100 >= (F.size("x") + F.size("y") - both) * self.percent).select("a", "b"),
             "verified",
         )
+        discard(pairs, made, near)
+        return found
 
     def _members(self) -> DataFrame:
         named = self._nodes.join(self._components, "node", "left").withColumn("component", F.coalesce("component", "node"))
